@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation from every participant's side, one row per rendered turn."""
-    return chat_rotation.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+    """Every conversation from every participant's side, one row per rendered turn; -1 where nothing is trained on."""
+    turns = chat_rotation.rotate_perspectives(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+    return turns.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("train_start", "train_end")})
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +151,8 @@ placed AS (
   SELECT *, row_number() OVER w - 1 AS position, sum(length(rendered)) OVER w - length(rendered) AS char_start
   FROM shaped WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, position, speaker, chat_role, name, rendered, char_start::BIGINT AS char_start,
-  CASE WHEN chat_role = 'assistant' THEN (char_start + length(head))::BIGINT END AS train_start,
-  CASE WHEN chat_role = 'assistant' THEN (char_start + length(rendered))::BIGINT END AS train_end
+  CASE WHEN chat_role = 'assistant' THEN (char_start + length(head))::BIGINT ELSE -1 END AS train_start,
+  CASE WHEN chat_role = 'assistant' THEN (char_start + length(rendered))::BIGINT ELSE -1 END AS train_end
 FROM placed
 """
 
