@@ -54,9 +54,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    """A string column as UTF-8 bytes, without decoding."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def binary_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes, without decoding, a few rows at a time."""
+    column = batch.column(name)
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).cast(pa.binary()).to_pylist()
 
 
 #: Words of the membership bitmap (each of 64 bits): a fixed bound of 8 MB, whatever the input.
