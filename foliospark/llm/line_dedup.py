@@ -202,41 +202,65 @@ def banded_edits(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, e
     return done & (np.abs(la - lb) <= edits)
 
 
-def near_pairs(lines: list[str], edits: int, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of lines within the edit distance; with ``cross`` only pairs of different sides."""
+def near_pairs(lines: list[str], edits: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of lines within the edit distance, of many groups at once.
+
+    Lines of a group are neighbours; pairs are compared within a group, and
+    where ``side`` is not negative only across its two values.
+    """
     n = len(lines)
-    size = np.array([len(x) for x in lines])
-    codes = [np.frombuffer(x.encode("utf-32-le"), dtype=np.int32) for x in lines]
-    counts = np.stack([np.bincount(c & 63, minlength=64) for c in codes]).astype(np.int32)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[np.abs(size[j] - size[i]) <= edits]
-        if cross is not None:
-            j = j[cross[j] != cross[i]]
+    group = np.zeros(n, dtype=np.int64) if group is None else group
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.int32)
+    begin = np.append(0, np.cumsum(size))
+    counts = np.bincount(np.repeat(np.arange(n), size) * 64 + (flat & 63), minlength=64 * n).reshape(n, 64).astype(np.int32)
+    left, right = [], []
+    for step in range(1, n):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fits = np.abs(size[i] - size[j]) <= edits
+        if side is not None:
+            fits &= (side[i] < 0) | (side[i] != side[j])
+        i, j = i[fits], j[fits]
         # An edit changes the letter counts by two at most.
-        j = j[np.abs(counts[j] - counts[i]).sum(axis=1) <= 2 * edits]
-        if len(j):
-            found.append((np.full(len(j), i), j))
-    if not found:
+        fits = np.abs(counts[i] - counts[j]).sum(axis=1) <= 2 * edits
+        left.append(i[fits])
+        right.append(j[fits])
+    if not left:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j = np.concatenate(left), np.concatenate(right)
     good = np.zeros(len(i), dtype=bool)
-    longest = int(size.max())
-    step = max(1, 4_000_000 // max(1, longest))
-    for lo in range(0, len(i), step):
-        a, b = i[lo : lo + step], j[lo : lo + step]
-        left, right = _padded(codes, a, -1), _padded(codes, b, -2)
-        good[lo : lo + step] = banded_edits(left, size[a], right, size[b], edits)
+    order = np.argsort(size[i], kind="stable")  # pairs of like lengths together
+    at = 0
+    while at < len(order):
+        here = order[at : at + max(1, 1_000_000 // max(1, int(size[i[order[min(at + 4095, len(order) - 1)]]])))][:4096]
+        good[here] = _within(flat, begin[i[here]], size[i[here]], begin[j[here]], size[j[here]], edits)
+        at += len(here)
     return i[good], j[good]
 
 
-def _padded(codes: list[np.ndarray], at: np.ndarray, fill: int) -> np.ndarray:
-    width = max(len(codes[k]) for k in at)
-    out = np.full((len(at), width), fill, dtype=np.int32)
-    for r, k in enumerate(at):
-        out[r, : len(codes[k])] = codes[k]
-    return out
+def _rows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
+    """Slices of ``flat`` as rows of one width."""
+    at = np.arange(int(size.max(initial=0)))
+    inside = at < size[:, None]
+    return np.where(inside, flat[np.where(inside, begin[:, None] + at, 0)], fill) if len(flat) else np.full(inside.shape, fill)
+
+
+def _within(flat: np.ndarray, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, edits: int) -> np.ndarray:
+    """Banded distance of what is left of each pair without its common start and end."""
+    least = np.minimum(la, lb)
+    differ = _rows(flat, a, least, -1) != _rows(flat, b, least, -1)
+    head = np.where(differ.any(axis=1), differ.argmax(axis=1), least) if differ.shape[1] else least
+    rest = least - head
+    back = np.arange(differ.shape[1])
+    open_ = back < rest[:, None]
+    pa_, pb = a[:, None] + la[:, None] - 1 - back, b[:, None] + lb[:, None] - 1 - back
+    differ = open_ & (flat[np.where(open_, pa_, 0)] != flat[np.where(open_, pb, 0)])
+    tail = np.where(differ.any(axis=1), differ.argmax(axis=1), rest) if differ.shape[1] else rest
+    la, lb, a, b = la - head - tail, lb - head - tail, a + head, b + head
+    return banded_edits(_rows(flat, a, la, -1), la, _rows(flat, b, lb, -2), lb, edits)
 
 
 def _verify(edits: int):
@@ -245,18 +269,11 @@ def _verify(edits: int):
         for table in sorted_runs(batches, by):
             cuts = group_starts(table, by)
             name, block, bi, bj = (table[c].to_numpy() for c in ("name", "block", "bi", "bj"))
-            lines = table["line"]
-            us, vs = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                here = lines.slice(a, b - a).to_pylist()
-                i, j = near_pairs(here, edits, block[a:b] if bi[a] != bj[a] else None)
-                if len(i):
-                    root = local_components(b - a, i, j)
-                    off = np.flatnonzero(root != np.arange(b - a))
-                    us.append(name[a:b][off])
-                    vs.append(name[a:b][root[off]])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            i, j = near_pairs(table["line"].to_pylist(), edits, group, np.where(bi == bj, -1, block))
+            root = local_components(table.num_rows, i, j)
+            off = np.flatnonzero(root != np.arange(table.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(name[off]), pa.array(name[root[off]])], names=["u", "v"])
 
     return run
 
