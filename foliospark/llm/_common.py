@@ -24,6 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
+#: Rows of one Arrow batch between the JVM and a Python task, as documents vary from a line to a book.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keeps the session's Arrow batches small, as both sides hold whole ones; returns ``df``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -54,6 +67,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in small pieces: bounds what a Python task builds from one of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
     """A string column as UTF-8 bytes, without decoding, a few rows at a time."""
     column = batch.column(name)
@@ -61,8 +81,8 @@ def binary_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
         yield from column.slice(at, 256).cast(pa.binary()).to_pylist()
 
 
-#: Words of the membership bitmap (each of 64 bits): a fixed bound of 8 MB, whatever the input.
-BITMAP_WORDS = 1 << 20
+#: Words of the membership bitmap (each of 64 bits): a fixed bound of 2 MB, whatever the input.
+BITMAP_WORDS = 1 << 18
 
 
 def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import binary_column
+from foliospark.llm._common import binary_column, bounded_batches
 
 #: Symbols of one index; bounds the memory of a task.
 SHARD_SYMBOLS = 2_000_000
@@ -258,7 +258,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).collect()
     test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows if r["i"] is not None], window)
     kept = list(keep if keep is not None else docs.columns)
-    source = docs.select(*kept, F.col(text_col).alias("folio_text"))
+    source = bounded_batches(docs).select(*kept, F.col(text_col).alias("folio_text"))
     added = T.StructType().add("folio_words", T.LongType()).add("folio_spans", SPANS).add("folio_items", T.ArrayType(T.StringType()))
     schema = T.StructType([*source.select(*kept).schema.fields, *added.fields])
     return source.mapInArrow(_scan(test, kept), schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, sorted_runs
+from foliospark.llm._common import bounded_batches, connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, slices, sorted_runs
 
 EDITS = 2
 MIN_CHARS = 20
@@ -38,7 +38,7 @@ MIN_CHARS = 20
 BLOCK_LINES = 1024
 #: Members of a key up to which its group is recognised by its member set.
 NAMED_GROUP = 512
-_SEEN = 300_000
+_SEEN = 100_000
 
 
 def line_name(raw: bytes) -> int:
@@ -74,7 +74,7 @@ def _keys(edits: int, min_chars: int):
         places: dict[int, tuple[list, list]] = {}
         seen: set[int] = set()
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             keys: list[int] = []
             items: list[int] = []
             for text in batch.column("text"):
@@ -144,7 +144,7 @@ def _texts(bitmap: np.ndarray, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             names, lines = [], []
             for text in batch.column("text"):
                 for line in (text.as_py() or "").split("\n"):
@@ -280,7 +280,7 @@ def _verify(edits: int):
 
 def near_line_classes(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``node`` and ``component`` (both line names) of the lines that have a near-equal other line."""
-    base = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    base = bounded_batches(docs).select(F.col(text_col).alias("text")).where("text is not null")
     keyed = base.mapInArrow(_keys(edits, min_chars), "key long, item long").repartition("key").sortWithinPartitions("key", "item")
     groups = materialize(keyed.mapInArrow(candidate_groups, "grp long, name long, hot boolean").distinct(), "groups")
     lines = base.mapInArrow(_texts(key_bitmap(groups, "name"), min_chars), "name long, line string").dropDuplicates(["name"])
@@ -297,7 +297,7 @@ def near_line_classes(docs: DataFrame, text_col: str = "text", edits: int = EDIT
 
 def _occurrences(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, number, names = [], [], []
             for r, text in enumerate(batch.column("text")):
                 for k, line in enumerate((text.as_py() or "").split("\n")):

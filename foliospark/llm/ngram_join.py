@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import binary_column, connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, sorted_runs
+from foliospark.llm._common import binary_column, bounded_batches, connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, slices, sorted_runs
 
 #: N-grams in one verification block: bounds a task's memory, not the result.
 BLOCK_WEIGHT = 1_500_000
@@ -40,7 +41,7 @@ BLOCK_WEIGHT = 1_500_000
 COUNT_FRAGMENTS = 16
 #: Fresh orders tried when a fragment is empty, before emptiness itself is a key.
 ROTATIONS = 8
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 class _WordHash(dict):
@@ -67,17 +68,21 @@ def class_of(grams: np.ndarray) -> int:
 
 
 @lru_cache
-def size_bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the size bands, and the fragments used for the pairs of bands (t-1, t).
+def size_bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the size bands; fragments used for the pairs of bands (t-1, t); how many of them may be empty.
 
-    A set's partner of at least that similarity lies in its own band or the next.
+    A set's partner of at least that similarity lies in its own band or the
+    next.  Linked sets touch at most D fragments with what differs, so of
+    D + 1 + spare fragments spare + 1 are alike: one of them has n-grams if at
+    most ``spare`` are empty.  The spare follows the share that chance leaves empty.
     """
     low = [1]
     while low[-1] < 1 << 40:
         low.append(low[-1] * 100 // percent + 1)
     top = np.array(low[1:] + [low[-1] * 2], dtype=object) - 1
-    fragments = [int(2 * t * (100 - percent) // (100 + percent)) + 1 for t in top]
-    return np.array(low, dtype=np.int64), np.array(fragments, dtype=np.int64)
+    needed = [int(2 * t * (100 - percent) // (100 + percent)) + 1 for t in top]
+    spare = [ceil(f * min(0.15, 1.6 * exp(-low[max(0, t - 1)] / f))) for t, f in enumerate(needed)]
+    return np.array(low, dtype=np.int64), np.array(needed, dtype=np.int64) + spare, np.array(spare, dtype=np.int64)
 
 
 def _fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -86,7 +91,7 @@ def _fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
 
 def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     """Hashed (band, fragment, segment) keys of one set; linked sets share at least one."""
-    low, fragments = size_bands(percent)
+    low, fragments, spare = size_bands(percent)
     band = int(np.searchsorted(low, len(grams), side="right")) - 1
     keys = []
     for tag in (band, band + 1):
@@ -99,7 +104,7 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
             starts = np.append(True, of[1:] != of[:-1]).nonzero()[0]
             sums = np.add.reduceat(order, starts)
             keys.append(mix64(sums ^ mix64((of[starts] << np.uint64(20)) + np.uint64(tag * 64 + rotation))))
-            if len(starts) == count:
+            if count - len(starts) <= spare[tag]:
                 break
         else:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), of)
@@ -107,22 +112,42 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _signatures(n: int, percent: int):
+def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, met, none = _WordHash(), set(), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            sizes, classes, keys = [], [], []
+        cache = _WordHash()
+        for batch in slices(batches):
+            sizes, classes = [], []
             for text in binary_column(batch, "text"):
                 grams = ngram_set(text.lower().split(), n, cache) if text else ()
                 sizes.append(len(grams))
-                name = class_of(grams) if len(grams) else None
-                classes.append(name)
-                # A task gives the keys of a class once, so copies add no rows.
-                keys.append(none if name is None or name in met else segment_keys(grams, percent).view(np.int64))
+                classes.append(class_of(grams) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["id", "n", "cls"])
+            if len(cache) > WORD_CACHE:
+                cache.clear()
+
+    return run
+
+
+def _segments(n: int, percent: int):
+    """Keys of the segments, once per task and class, so that copies add no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, met = _WordHash(), set()
+        for batch in slices(batches):
+            keys, names, held = [], [], 0
+            for text in binary_column(batch, "text"):
+                grams = ngram_set(text.lower().split(), n, cache) if text else ()
+                if not len(grams) or (name := class_of(grams)) in met:
+                    continue
                 met.add(name)
-            offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(keys)) if keys else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], names=["id", "n", "cls", "keys"])
+                keys.append(segment_keys(grams, percent).view(np.int64))
+                names.append(name)
+                held += len(keys[-1])
+                if held > 500_000:
+                    yield _pairs(keys, names)
+                    keys, names, held = [], [], 0
+            if keys:
+                yield _pairs(keys, names)
             if len(cache) > WORD_CACHE:
                 cache.clear()
             if len(met) > WORD_CACHE:
@@ -131,6 +156,11 @@ def _signatures(n: int, percent: int):
     return run
 
 
+def _pairs(keys: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+    items = np.repeat(np.array(names, dtype=np.int64), [len(k) for k in keys])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(items)], names=["key", "item"])
+
+
 def star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From a stream sorted by ``key``: an edge from each item to its key's first item."""
     key, first = None, 0
@@ -186,7 +216,7 @@ def _texts(n: int, ids: np.ndarray, names: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             id_ = batch.column("id")
             maybe = in_bitmap(ids, mix64(id_.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)) | id_.is_null().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(maybe))
@@ -239,12 +269,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``component`` is the smallest id reachable by links (its own id for a row
     without links).  ``percent`` is the similarity bound in hundredths.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_signatures(n, percent), "id long, n long, cls long, keys array<long>"), "signatures")
+    base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = materialize(base.mapInArrow(_signatures(n), "id long, n long, cls long"), "signatures")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
 
     # Classes that share a segment, joined loosely; only these are verified.
-    dealt = signed.select(F.explode("keys").alias("key"), F.col("cls").alias("item")).repartition("key").sortWithinPartitions("key")
+    dealt = base.where("text is not null").mapInArrow(_segments(n, percent), "key long, item long").repartition("key").sortWithinPartitions("key")
     loose = connected_components(dealt.mapInArrow(star_edges, "u long, v long"))
     found = classes.join(loose.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     weights = found.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)).cast("int").alias("nb"))

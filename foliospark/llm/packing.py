@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import materialize
+from foliospark.llm._common import bounded_batches, materialize, slices
 
 END_TOKEN = 0
 
@@ -76,7 +76,7 @@ def encode(text: str, path: str) -> np.ndarray:
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             row, number, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column("text")):
                 ids = np.append(encode(text.as_py() or "", path), np.uint32(END_TOKEN)).astype("<u4")
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
     At most ``capacity`` counts and the plan (at most the square of the
     capacity in moves, in practice a few thousand) pass through the driver.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = "part int, id long, piece int, start long, length long, ids_crc32 long, rank long"
     pieces = materialize(base.mapInArrow(_pieces(tokenizer, capacity), schema), "pieces")
     # Ranks were counted per task; the tasks' counts of a length, summed up, make them global.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import binary_column, materialize
+from foliospark.llm._common import binary_column, bounded_batches, materialize, slices
 
 #: Weight of the pooled diagonal in a class covariance.
 SHRINKAGE = 0.15
@@ -67,7 +67,7 @@ def statistics(raw: bytes | None) -> list[float]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics(t) for t in binary_column(batch, "text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
@@ -138,7 +138,7 @@ def _fit(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrin
 
 
 def _statistics_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return base.mapInArrow(_features, "id long, x array<double>")
 
 
@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = _fit(_statistics_of(docs, id_col, text_col), labels, id_col, label_col, shrinkage)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in binary_column(batch, text_col)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.score(x) >= threshold)) if len(x) else batch
 

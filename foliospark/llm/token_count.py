@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm._common import bounded_batches, slices
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a task.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class UnigramCounter:
@@ -117,9 +119,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary_path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [counter.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["id", "n_tokens", "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return base.mapInArrow(run, "id long, n_tokens long, score double")
