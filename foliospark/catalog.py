@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from foliospark.plans import documents, pages, tables, vault
+from foliospark.plans.registry import ORACLES, QUERIES
 
-def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that several documents share, by digest."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id")).where("documents > 1")
+__all__ = ["documents", "pages", "tables", "vault"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"duplicate_texts": duplicate_texts}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"duplicate_texts": "SELECT sha256(text) AS digest, count(*) AS documents, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) > 1"}
+    return dict(ORACLES)
