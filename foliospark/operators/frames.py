@@ -104,7 +104,8 @@ def paragraphs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def sentences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``path``, ``pos``, ``nth``, ``sentence``; there is no ASCII full stop among the marks."""
     each = paragraphs(docs, 0).select("path", "pos", "line_no", F.posexplode(F.regexp_extract_all("paragraph", F.lit(SENTENCE), F.lit(0))).alias("nth", "raw"))
-    kept = each.withColumn("sentence", collapsed(F.col("raw"))).where(F.length("sentence") >= min_chars)
+    # Paragraphs have single blanks already.
+    kept = each.withColumn("sentence", F.trim("raw")).where(F.length("sentence") >= min_chars)
     for lead in LEAD_INS:
         kept = kept.where(~F.col("sentence").startswith(lead))
     return kept.where(~F.col("sentence").rlike(CITATION) & ~F.col("sentence").rlike(CONTRACT)).select("path", "pos", "line_no", "nth", "sentence")

@@ -6,6 +6,9 @@ executors and only where a column needs them.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ SOURCE_SUFFIXES = ["pdf", "ppt", "pptx"]
 def files(spark: SparkSession, root: str, glob: str = "*", max_bytes: int | None = None) -> DataFrame:
     """``path`` (relative), ``size``, ``modified`` and ``content`` of the files under ``root``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.concat(F.lit("\x00"), F.col("path")), base, -1)
+    base = "/" + urlsplit(root).path.strip("/") + "/"
+    relative = F.regexp_replace("path", f"^.*?{re.escape(base)}", "")
     out = found.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     return out if max_bytes is None else out.where(F.col("size") <= max_bytes)
 
