@@ -37,6 +37,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts the lineage and survives lost executors."""
     spark = df.sparkSession

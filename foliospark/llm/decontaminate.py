@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import binary_column, bounded_batches
+from foliospark.llm._common import binary_column, bounded_batches, fresh
 
 #: Symbols of one index; bounds the memory of a task.
 SHARD_SYMBOLS = 2_000_000
@@ -37,6 +37,8 @@ SAMPLE = 16
 #: The benchmark is a broadcast; this is its checked bound in bytes of text.
 MAX_BENCHMARK_BYTES = 256 << 20
 
+#: Columns that the operator adds; input columns of these names give way.
+ADDED = ("folio_words", "folio_spans", "folio_items")
 SPANS = T.ArrayType(T.StructType().add("first", T.LongType()).add("last", T.LongType()))
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -214,7 +216,7 @@ class _Known(dict):
         return 0
 
 
-def _scan(test: Phrases, kept: list[str]):
+def _scan(test: Phrases, kept: list[str], work: str):
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def emit(rows: list[pa.RecordBatch], docs: list[np.ndarray]) -> pa.RecordBatch:
@@ -230,7 +232,7 @@ def _scan(test: Phrases, kept: list[str]):
         get, rows, docs, size = _Known(test.vocabulary).__getitem__, [], [], 0
         for batch in batches:
             first = 0
-            for k, text in enumerate(binary_column(batch, "folio_text")):
+            for k, text in enumerate(binary_column(batch, work)):
                 words = words_of(text)
                 docs.append(np.fromiter(map(get, words), dtype=np.int64, count=len(words)))
                 size += len(words)
@@ -257,11 +259,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         raise ValueError(f"the benchmark holds {bytes_} bytes of text; decontaminate in parts of at most {MAX_BENCHMARK_BYTES}")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).collect()
     test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows if r["i"] is not None], window)
-    kept = list(keep if keep is not None else docs.columns)
-    source = bounded_batches(docs).select(*kept, F.col(text_col).alias("folio_text"))
+    kept = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
+    work = fresh("folio_text", kept)
+    source = bounded_batches(docs).select(*kept, F.col(text_col).alias(work))
     added = T.StructType().add("folio_words", T.LongType()).add("folio_spans", SPANS).add("folio_items", T.ArrayType(T.StringType()))
     schema = T.StructType([*source.select(*kept).schema.fields, *added.fields])
-    return source.mapInArrow(_scan(test, kept), schema)
+    return source.mapInArrow(_scan(test, kept, work), schema)
 
 
 def remove_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:

@@ -1,0 +1,445 @@
+"""Each operator against a brute-force version or an exact round trip, on small and awkward tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import DATA, rows_of
+from pyspark.sql import functions as F
+
+pytest.importorskip("foliospark.llm")
+import public_tokenizers  # noqa: E402
+
+from foliospark.llm import _common, chat_rotation, decontaminate, line_dedup, link_graph, ngram_join, packing, quality, queries, shard, token_count, weak_rules  # noqa: E402
+
+LINE = "the quick brown fox jumps over the lazy dog near the old river bank today"
+AWKWARD = [
+    (1, LINE + "\n" + LINE), (2, LINE.replace("quick", "quack")), (3, None), (4, ""), (5, " \n\t "), (6, "one"), (6, "one"), (7, "é漢字 😀 " * 9),
+    (None, "no id here but some words to hold on to"), (8, "x" * 70_000), (9, "w " * 20_000), (10, LINE), (11, "A B c\x00d|e\n\n" + "#$% " * 30), (12, LINE.upper()),
+]
+CLASH = "doc_id long, text string, id string, cls string, folio_text string, folio_size string, keys string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "a", None, "b", "c", "d") for i, t in AWKWARD]
+    return spark.createDataFrame(rows, CLASH).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], CLASH)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+
+
+def union_find(nodes, edges):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in nodes}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, duck, name):
+    found, wanted = queries.queries()[name](spark, DATA).toPandas(), duck.execute(queries.oracle_sql()[name]).df()
+    assert sorted(found.columns) == sorted(wanted.columns)
+    assert rows_of(found) == rows_of(wanted)
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2040)]
+    found = {r["node"]: r["component"] for r in _common.connected_components(spark.createDataFrame([*edges, (None, 3), (7, 7)], "u long, v long")).collect()}
+    wanted = union_find({n for e in edges for n in e}, edges)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert found == {n: wanted[n] for n in linked}
+
+
+# 1: chat rotation
+
+
+def test_rotation_reassembles(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", "x"), (1, 600, "ann", "é"), (2, None, None, "q"), (3, 0, "system", "alone"), (None, 0, "ann", "z")]
+    rows = chat_rotation.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    views = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["position"]):
+        views[(r["conv"], r["perspective"])].append(r)
+    assert {k: len(v) for k, v in views.items()} == {(1, "ann"): 5, (1, "bob"): 5, (2, "unknown"): 1, (None, "ann"): 1}
+    for (_, who), view in views.items():
+        whole = "".join(r["rendered"] for r in view)
+        assert [r["position"] for r in view] == list(range(len(view)))
+        for r in view:
+            assert whole[r["char_start"] :].startswith(r["rendered"])
+            assert (r["train_start"] is not None) == (r["speaker"] == who) == (r["chat_role"] == "assistant")
+            if r["train_start"] is not None:
+                assert whole[r["train_start"] : r["train_end"]].endswith("<|end|>\n")
+
+
+# 2: token counts
+
+
+def test_counts_equal_the_tokenizers_library(spark, docs, corpus):
+    from tokenizers import Tokenizer, models
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    exact = Tokenizer(models.Unigram(token_count.piece_vocabulary(path), 0, True))
+    for table in (docs, corpus.where("doc_id < 60")):
+        for n, text in _pairs(token_count.count_tokens(table, path), table):
+            assert n == (len(exact.encode(token_count.MARK + text.replace(" ", token_count.MARK)).ids) if text else 0)
+
+
+def _pairs(counted, table):
+    by = collections.defaultdict(list)
+    for r in counted.collect():
+        by[r["id"]].append(r["n_tokens"])
+    texts = collections.defaultdict(list)
+    for r in table.select("doc_id", "text").collect():
+        texts[r["doc_id"]].append(r["text"])
+    assert {k: len(v) for k, v in by.items()} == {k: len(v) for k, v in texts.items()}
+    return [(n, t) for k in by for n, t in zip(by[k], texts[k], strict=True)]
+
+
+def test_tie_rules_on_random_vocabularies():
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(5)
+    for _ in range(60):
+        vocab = [("<unk>", 0.0)] + [(p, float(-rng.randint(1, 4))) for p in sorted({"".join(rng.choice("ab▁c") for _ in range(rng.randint(1, 4))) for _ in range(12)})]
+        mine, exact = token_count.UnigramCounter(vocab, False), Tokenizer(models.Unigram(vocab, 0, False))
+        for _ in range(20):
+            text = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 25)))
+            assert mine.count(text)[0] == len(exact.encode(token_count.MARK + text.replace(" ", token_count.MARK)).ids), (vocab, text)
+
+
+# 3: decontamination
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, LINE), (2, "one"), (3, None), (4, ""), (5, "brown fox"), (5, "漢字")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").encode().lower())
+        for k in range(len(w) - min(10, len(w)) + 1 if w else 0):
+            wins[tuple(w[k : k + min(10, len(w))])].add(str(i))
+    rows = decontaminate.find_contamination(docs, bench).collect()
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        w = word.findall((r["text"] or "").encode().lower())
+        hit, names = set(), set()
+        for g, owners in wins.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit.update(range(k, k + len(g)))
+                    names |= owners
+        assert r["folio_words"] == len(w) and r["folio_items"] == sorted(names)
+        assert {x for s in r["folio_spans"] for x in range(s["first"], s["last"] + 1)} == hit
+    cut = decontaminate.remove_spans(decontaminate.find_contamination(docs, bench))
+    assert LINE.encode() not in b"".join((r["text"] or "").encode() for r in cut.collect())
+    assert decontaminate.find_contamination(empty, bench).count() == 0
+    none = decontaminate.find_contamination(docs, bench.limit(0)).collect()
+    assert len(none) == len(AWKWARD) and not any(r["folio_spans"] for r in none)
+
+
+def test_index_search_and_locate():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        seq = np.append(0, rng.integers(0, 4, rng.integers(0, 80)))
+        index = decontaminate.FMIndex(seq, 3)
+        for n in (1, 2, 4):
+            patterns = rng.integers(1, 4, (4, n))
+            for p, a, b in zip(patterns, *index.search(patterns), strict=True):
+                assert sorted(index.locate(np.arange(a, b))) == [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p).all()]
+
+
+# 4: sharding
+
+
+def test_shards(spark, docs, corpus, empty):
+    for table, shards in ((corpus, 24), (docs, 3), (docs.limit(1).crossJoin(spark.range(900).select()), 4)):
+        rows = shard.shard_by_bytes(table, shards).select("folio_shard", "folio_slot", "folio_size", "doc_id").collect()
+        assert len(rows) == table.count()
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r["folio_shard"]].append(r)
+        assert set(by) <= set(range(shards))
+        for members in by.values():
+            assert sorted(r["folio_slot"] for r in members) == list(range(len(members)))
+        sizes = [sum(r["folio_size"] for r in by.get(s, [])) for s in range(shards)]
+        assert max(sizes) - min(sizes) <= 2 * max(r["folio_size"] for r in rows) + 0.01 * sum(sizes) / shards
+    assert shard.shard_by_bytes(empty, 24).count() == 0
+
+
+# 5: quality
+
+
+def test_held_out_accuracy(spark, docs, empty):
+    small = DATA.replace("0.001", "0.01")
+    found = queries.op5_quality_qda(spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in found) >= 0.95 * len(found)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (2, None), (1, 1)], "doc_id long, quality int")
+    for marks in (labels, labels.limit(1), labels.limit(0)):
+        out = quality.score_quality(docs, marks).collect()
+        assert len(out) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in out)
+        quality.keep_good(docs, marks).collect()
+    assert quality.score_quality(empty, labels).count() == 0
+
+
+# 6: n-gram join
+
+
+def brute_components(rows, n, percent):
+    sets, lower = [], str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower))
+        k = min(n, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    edges = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    top = union_find(range(len(rows)), edges)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[top[k]] = min(low.get(top[k], i), i)
+    return sorted((str(i), len(sets[k]), str(low.get(top[k]) if sets[k] else i), sum(k in e for e in edges)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("n", "percent", "weight"), [(3, 90, None), (5, 80, None), (3, 80, 150), (2, 50, 40)])
+def test_ngram_components(spark, docs, empty, monkeypatch, n, percent, weight):
+    rng, rows = random.Random(7), [(i, t) for i, t in AWKWARD if t is None or len(t) < 20_000]
+    for base in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([9, 30, 80, 200]))]
+        for copy in range(6):
+            rows.append((100 + base * 10 + copy, " ".join(w if rng.random() > copy * 0.012 else f"z{rng.randrange(9)}" for w in words)))
+    if weight:
+        monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", weight)  # many blocks: each pair of them is a task
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.ngram_components(table, n=n, percent=percent).collect()
+    assert sorted((str(r["id"]), r["n_grams"], str(r["component"]), r["links"]) for r in found) == brute_components(rows, n, percent)
+    assert ngram_join.ngram_components(empty, n=n, percent=percent).count() == 0
+    assert ngram_join.ngram_components(docs, n=n, percent=percent).count() == len(AWKWARD)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, max(1, len(a) * (100 - percent) // 100) + 1) :], rng.integers(0, 2**63, rng.integers(0, len(a) // 8 + 1), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            assert len(np.intersect1d(ngram_join.segment_keys(a, percent), ngram_join.segment_keys(b, percent)))
+
+
+# 7: line dedup
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def mutated(rng, text, n):
+    out = list(text)
+    for _ in range(n):
+        p, how = rng.randrange(len(out)), rng.randrange(3)
+        out[p : p + (how > 0)] = [rng.choice("abé漢 ")] if how < 2 else []
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("edits", "named", "block"), [(1, 512, 1024), (2, 512, 1024), (3, 3, 2)])
+def test_line_dedup(spark, docs, empty, monkeypatch, edits, named, block):
+    monkeypatch.setattr(line_dedup, "NAMED_GROUP", named)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)  # small blocks: hot keys are dealt
+    rng = random.Random(edits)
+    bases = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(21, 60))) for _ in range(25)]
+    rows = [(k, "\n".join(mutated(rng, rng.choice(bases), rng.randint(0, 4)) for _ in range(3))) for k in range(40)] + [(i, t) for i, t in AWKWARD if t is None or len(t) < 20_000]
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits).collect()
+    assert len(done) == len(rows)
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 20})
+    top = union_find(lines, [(a, b) for a, b in itertools.combinations(lines, 2) if abs(len(a) - len(b)) <= edits and edits_between(a, b) <= edits])
+    seen = {}
+    order = sorted(done, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    for r in order:
+        kept = []
+        for k, x in enumerate((r["text"] or "").split("\n")):
+            if len(x) >= 20:
+                place = seen.setdefault(top[x], (r["doc_id"], r["text"], k))
+                if place != (r["doc_id"], r["text"], k):
+                    continue
+            kept.append(x)
+        if sum(i == r["doc_id"] for i, _ in rows) == 1:
+            assert r["folio_kept_text"] == (None if r["text"] is None else "\n".join(kept)), r["doc_id"]
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(docs).count() == len(AWKWARD)
+
+
+# 8: link graph
+
+
+def test_hosts_and_rules(spark):
+    urls = [(1, "http://A.Example.NET/en/x?q", "net/"), (2, None, None), (3, "no scheme", None), (4, "x://example.com/de/", "example.com/de/"), (5, "x://a.org", None), (6, "x://fr.org/fr/a", "org/fr/"), (7, "x://badexample.com/de/", None), (8, "x://b.net/", "net/"), (9, "a://h/://y.net/", None), (10, "http://Example.net/en/", "example.net/en/")]
+    pages = spark.createDataFrame([(i, u, None) for i, u, _ in urls], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in link_graph.filter_urls(pages, queries.URL_RULES).collect()}
+    assert rows[1]["folio_host"] == "a.example.net" and rows[1]["folio_rule"] == "example.net/en/" and rows[1]["folio_verdict"] == "allow"
+    for i, _, rule in urls[1:]:
+        assert rows[i]["folio_rule"] == rule, i
+    assert rows[9]["folio_host"] == "h" and rows[9]["folio_path"] == "/://y.net/"
+    assert link_graph.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_propagation_equals_power_iteration(spark):
+    rng = random.Random(1)
+    hosts = [f"h{k}.com" for k in range(12)]
+    pages, html = [], {}
+    for k in range(60):
+        h = rng.choice(hosts)
+        html[k] = "".join(f"<a class=x href='{rng.choice(['http:', 'https:', ''])}//{rng.choice(hosts)}/p'>t</a>" for _ in range(rng.randrange(4))) + "<a href='/own'>o</a>"
+        pages.append((k, f"http://{h}/{rng.choice('abc')}/", html[k]))
+    rules = [link_graph.Rule("com", "/a/", "allow"), link_graph.Rule("com", "/b/", "block")]
+    found = {r["host"]: r for r in link_graph.judge_hosts(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    links = collections.Counter()
+    for _, u, h in pages:
+        for dst in re.findall("//([^/]+)/p", h):
+            src = u.split("/")[2]
+            if src != dst:
+                links[(src, dst)] += 1
+    nodes = sorted({u.split("/")[2] for _, u, _ in pages} | {h for e in links for h in e})
+    at = {h: k for k, h in enumerate(nodes)}
+    for kind, sign, flip in (("trust", "a", False), ("distrust", "b", True)):
+        seed = np.zeros(len(nodes))
+        for _, u, _ in pages:
+            seed[at[u.split("/")[2]]] += u.split("/")[3] == sign
+        total = seed.sum()
+        seed /= total
+        flow = np.zeros((len(nodes), len(nodes)))
+        for (a, b), n in links.items():
+            flow[(at[b], at[a]) if flip else (at[a], at[b])] += n
+        out = flow.sum(axis=1)
+        rank = seed.copy()
+        for _ in range(200):
+            rank = 0.15 * seed + 0.85 * ((flow / np.where(out == 0, 1, out)[:, None]).T @ rank + rank[out == 0].sum() * seed)
+        for h, r in found.items():
+            assert abs(r[kind] - rank[at[h]] * total / r["pages"]) < 2e-3
+
+
+# 9: packing
+
+
+def sequential_best_fit(lengths, capacity):
+    import bisect
+
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(bins, n)
+        bisect.insort(bins, (bins.pop(k) if k < len(bins) else capacity) - n)
+    return len(bins)
+
+
+def test_plan_is_sequential_best_fit():
+    rng = random.Random(4)
+    for _ in range(150):
+        capacity = rng.choice([7, 16, 50, 300])
+        lengths = [rng.randint(1, capacity if rng.random() < 0.7 else min(4, capacity)) for _ in range(rng.randrange(300))]
+        counts = collections.Counter(lengths)
+        plan = list(zip(*packing.best_fit_plan(counts, capacity).values(), strict=True))
+        bins = collections.defaultdict(list)
+        for k, (n, rank, each, first, offset) in enumerate(plan):
+            end = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == n else counts[n]
+            for q in range(end - rank):
+                bins[first + q // each].append((offset + q % each * n, n))
+        assert sum(map(len, bins.values())) == len(lengths)
+        for members in bins.values():
+            at = 0
+            for offset, n in sorted(members):
+                assert offset == at
+                at += n
+            assert at <= capacity
+        assert len(bins) == sequential_best_fit(lengths, capacity)
+
+
+def test_packing_round_trip(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact = Tokenizer.from_file(path)
+    odd = docs.select("doc_id", "text").union(spark.createDataFrame([(50, "a<|endoftext|>b"), (51, "it's  \n\n 12,5 'll"), (52, " " * 3000)], "doc_id long, text string"))
+    rows = packing.pack(odd, path, 256).collect()
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r["id"]].append(r)
+    for r in odd.where("doc_id <> 6").collect():
+        ids = np.array([*exact.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = sorted(pieces[r["doc_id"]], key=lambda p: p["piece"])
+        assert [p["piece"] for p in mine] == list(range(len(mine))) and sum(p["length"] for p in mine) == len(ids)
+        assert all(p["length"] == 256 for p in mine[1:])
+        for p in mine:
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for members in bins.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(members))]
+        assert [o for o, _ in sorted(members)] == ends[:-1] and ends[-1] <= 256
+    assert len(bins) == sequential_best_fit([r["length"] for r in rows], 256)
+    assert packing.pack(empty, path).count() == 0
+
+
+# 10: weak rules
+
+
+def test_base_statistics(spark, docs, corpus, empty):
+    word = re.compile("[^\x20\x09-\x0d]+")
+    for table in (docs.select("doc_id", "text", "id"), corpus):
+        for r in weak_rules.judge(table).collect():
+            t = r["text"] or ""
+            w = word.findall(t)
+            wins = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+            covered = {p for i in range(len(w) - 2) if wins[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+            lines = [x for x in t.split("\n") if word.search(x)]
+            assert (r["folio_words"], r["folio_chars"], r["folio_symbols"], r["folio_dup_lines"], r["folio_repeat_words"]) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+    assert weak_rules.judge(empty).count() == 0
+
+
+def test_posterior_is_bayes_and_tells_bad_from_good(spark):
+    found = queries.op10_weak_rules(spark, DATA.replace("0.001", "0.01")).join(spark.read.parquet(DATA.replace("0.001", "0.01") + "/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert sum(r["kept"] == bool(r["quality"]) for r in found) >= 0.97 * len(found)
+    judged = weak_rules.judge(spark.read.parquet(f"{DATA}/documents.parquet"), keep_columns=["doc_id"]).collect()
+    model = weak_rules.estimate(collections.Counter(tuple(r["folio_votes"]) for r in judged))
+    for r in judged:
+        assert abs(model.posterior(tuple(r["folio_votes"])) - r["folio_posterior"]) < 1e-9
+
+
+# the digests of the queries
+
+
+def test_query_digests(spark):
+    for r in queries.op3_decontaminate(spark, DATA).limit(50).collect():
+        assert r["items_sha256"] == hashlib.sha256(b"").hexdigest() or r["n_items"] > 0
+    sharded = queries.op4_histogram_sort(spark, DATA).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(sharded) == len(texts)
+    for r in sharded:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
