@@ -6,6 +6,9 @@ into fragments; a document's set falls into one segment per fragment.
 * Candidates: two sets with Jaccard similarity t differ in at most D n-grams,
   a bound that their sizes fix.  With D + 1 fragments at least one segment is
   the same in both, so equal segments (per size band) find every such pair.
+  Keys that a shared passage makes equal by chance are weeded out on counts per
+  fragment: their L1 distance never exceeds what differs between two sets, so
+  leaders with a triangle bound join whatever may be linked, and little else.
 * Verification: the overlap of a pair is counted fragment by fragment and the
   partial overlaps are summed.
 
@@ -33,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import binary_column, bounded_batches, connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, slices, sorted_runs
+from foliospark.llm._common import binary_column, bounded_batches, connected_components, discard, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, slices, sorted_runs
 
 #: N-grams in one verification block: bounds a task's memory, not the result.
 BLOCK_WEIGHT = 1_500_000
+#: Classes in one block of a key that many share, and members up to which a key's group is named by its member set.
+BLOCK_CLASSES, NAMED_GROUP = 2048, 512
 #: Equal cuts of the hash order in which partial overlaps are counted.
 COUNT_FRAGMENTS = 16
 #: Fresh orders tried when a fragment is empty, before emptiness itself is a key.
@@ -112,16 +117,23 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def fragment_counts(grams: np.ndarray) -> bytes:
+    """N-grams per fragment of a cut whose fineness follows the set's size; counts stop at 255."""
+    cuts = 1 << max(4, min(14, int(len(grams) // 4).bit_length()))
+    return np.minimum(np.bincount(_fragment_of(grams, cuts).astype(np.int64), minlength=cuts), 255).astype(np.uint8).tobytes()
+
+
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
         for batch in slices(batches):
-            sizes, classes = [], []
+            sizes, classes, counts = [], [], []
             for text in binary_column(batch, "text"):
                 grams = ngram_set(text.lower().split(), n, cache) if text else ()
                 sizes.append(len(grams))
                 classes.append(class_of(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["id", "n", "cls"])
+                counts.append(fragment_counts(grams) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary())], names=["id", "n", "cls", "counts"])
             if len(cache) > WORD_CACHE:
                 cache.clear()
 
@@ -161,23 +173,68 @@ def _pairs(keys: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(items)], names=["key", "item"])
 
 
-def star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a stream sorted by ``key``: an edge from each item to its key's first item."""
-    key, first = None, 0
-    for batch in batches:
-        if not batch.num_rows:
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a stream sorted by (key, item): the members of keys that several classes share.
+
+    Small groups with the same members get one name; larger ones keep their key.
+    """
+    for table in sorted_runs(batches, ["key"]):
+        key, item = table["key"].to_numpy(), table["item"].to_numpy()
+        fresh = np.append(True, (key[1:] != key[:-1]) | (item[1:] != item[:-1]))
+        key, item = key[fresh], item[fresh]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        several = size > 1
+        if not several.any():
             continue
-        k, item = (batch.column(c).to_numpy() for c in ("key", "item"))
-        start = np.append(True, k[1:] != k[:-1])
-        at = np.flatnonzero(start)
-        head = item[at].copy()
-        if k[0] == key:
-            head[0] = first
-        rep = head[np.cumsum(start) - 1]
-        key, first = k[-1], rep[-1]
-        off = item != rep
-        pairs = np.unique(np.stack([item[off], rep[off]], axis=1), axis=0) if off.any() else np.empty((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        item, start, size, key = item[np.repeat(several, size)], start[several], size[several], key[start[several]]
+        at = np.append(0, np.cumsum(size))
+        hot = size > NAMED_GROUP
+        name = key.copy()
+        for g in np.flatnonzero(~hot).tolist():
+            name[g] = xxhash.xxh3_64_intdigest(item[at[g] : at[g + 1]].tobytes()) - (1 << 63)
+        rows = np.unique(np.stack([np.repeat(name, size), item, np.repeat(hot, size)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(bool))], names=["grp", "cls", "hot"])
+
+
+def leader_edges(sizes: np.ndarray, counts: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect every pair which may be linked, through leaders.
+
+    An item within half of the bound of a leader needs no leader of its own;
+    what is linked to it is within one and a half bounds of that leader.
+    """
+    cuts = min(map(len, counts))
+    table = np.stack([np.frombuffer(c, dtype=np.uint8).reshape(cuts, -1).sum(axis=1, dtype=np.int32) for c in counts])
+    share, most = (100 - percent) / (100 + percent), 100 / percent
+    open_, us, vs = np.ones(len(sizes), dtype=bool), [], []
+    while open_.any():
+        leader = int(open_.argmax())
+        far = np.abs(table - table[leader]).sum(axis=1)
+        open_[(far <= share * (sizes + sizes[leader]) / 2) & open_] = False
+        open_[leader] = False
+        bound = share * (sizes * (most + 1) + (sizes * most + sizes[leader]) / 2)
+        near = np.flatnonzero(far <= bound + 1)
+        near = near[near != leader]
+        us.append(near)
+        vs.append(np.full(len(near), leader))
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _loose_edges(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = ["grp", "bi", "bj"]
+        for table in sorted_runs(batches, by):
+            cuts = group_starts(table, by)
+            cls, size, counts = table["cls"].to_numpy(), table["n"].to_numpy(), table["counts"].to_pylist()
+            us, vs = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                u, v = leader_edges(size[a:b], counts[a:b], percent)
+                us.append(cls[a + u])
+                vs.append(cls[a + v])
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return run
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -270,12 +327,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     without links).  ``percent`` is the similarity bound in hundredths.
     """
     base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_signatures(n), "id long, n long, cls long"), "signatures")
+    signed = materialize(base.mapInArrow(_signatures(n), "id long, n long, cls long, counts binary"), "signatures")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
 
-    # Classes that share a segment, joined loosely; only these are verified.
-    dealt = base.where("text is not null").mapInArrow(_segments(n, percent), "key long, item long").repartition("key").sortWithinPartitions("key")
-    loose = connected_components(dealt.mapInArrow(star_edges, "u long, v long"))
+    # Classes that share a segment and may be alike, joined loosely; only these are verified.
+    dealt = base.where("text is not null").mapInArrow(_segments(n, percent), "key long, item long").repartition("key").sortWithinPartitions("key", "item")
+    groups = materialize(dealt.mapInArrow(shared_keys, "grp long, cls long, hot boolean").distinct(), "groups")
+    weights = groups.where("hot").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK_CLASSES)).cast("int").alias("nb"))
+    sized = groups.where("not hot").select("grp", "cls", F.lit(1).alias("nb")).union(groups.where("hot").join(weights, "grp").select("grp", "cls", "nb"))
+    known = signed.where("cls is not null").select("cls", "n", "counts").dropDuplicates(["cls"])
+    members = _block_pairs(sized.join(known, "cls")).select("grp", "bi", "bj", "cls", "n", "counts")
+    by = ["grp", "bi", "bj"]
+    loose = connected_components(members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_loose_edges(percent), "u long, v long"))
+    discard(groups)
     found = classes.join(loose.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     weights = found.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)).cast("int").alias("nb"))
     found = materialize(found.join(weights, "comp"), "found")
@@ -285,8 +349,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = base.where("text is not null").mapInArrow(_texts(n, ids, key_bitmap(found, "cls")), "cls long, text string").dropDuplicates(["cls"])
     held = texts.join(found.select("comp", "cls", "m", "nb"), "cls")
 
-    held = held.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    sides = held.select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cls", "m", (F.col("nb") > 1).alias("multi"), "text")
+    sides = _block_pairs(held).select("comp", "bi", "bj", "block", "cls", "m", (F.col("nb") > 1).alias("multi"), "text")
     by = ["comp", "bi", "bj"]
     checked = materialize(sides.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(n, percent), "u long, v long, links long, multi boolean"), "checked")
 
@@ -305,6 +368,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("id", F.col("n").alias("n_grams"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "id").alias("component"))
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Deals the classes of a group into ``nb`` blocks, and each class to every pair of blocks it belongs to."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
+
+
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = mix64(batch.column("low").to_numpy().view(np.uint64)).view(np.int64)

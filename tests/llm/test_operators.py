@@ -228,6 +228,8 @@ def test_ngram_components(spark, docs, empty, monkeypatch, n, percent, weight):
         for copy in range(6):
             rows.append((100 + base * 10 + copy, " ".join(w if rng.random() > copy * 0.012 else f"z{rng.randrange(9)}" for w in words)))
     if weight:
+        monkeypatch.setattr(ngram_join, "NAMED_GROUP", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 2)
         monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", weight)  # many blocks: each pair of them is a task
     table = spark.createDataFrame(rows, "doc_id long, text string")
     found = ngram_join.ngram_components(table, n=n, percent=percent).collect()
