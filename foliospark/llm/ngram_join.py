@@ -220,19 +220,31 @@ def leader_edges(sizes: np.ndarray, counts: list[bytes], percent: int) -> tuple[
     return np.concatenate(us), np.concatenate(vs)
 
 
+def _joined(root: np.ndarray, us: np.ndarray, vs: np.ndarray) -> np.ndarray:
+    """``root`` (a pointer to a smaller member, or itself) after a few more edges."""
+    for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+        while root[u] != u:
+            u = root[u]
+        while root[v] != v:
+            v = root[v]
+        root[max(u, v)] = min(u, v)
+    return root
+
+
 def _loose_edges(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = ["grp", "bi", "bj"]
         for table in sorted_runs(batches, by):
             cuts = group_starts(table, by)
             cls, size, counts = table["cls"].to_numpy(), table["n"].to_numpy(), table["counts"].to_pylist()
-            us, vs = [], []
+            names, node = np.unique(cls, return_inverse=True)
+            root = np.arange(len(names))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 u, v = leader_edges(size[a:b], counts[a:b], percent)
-                us.append(cls[a + u])
-                vs.append(cls[a + v])
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                # Only what hangs together matters: at most one edge a class leaves the task.
+                root = local_components(len(names), np.concatenate([np.arange(len(names)), node[a + u]]), np.concatenate([root, node[a + v]])) if b - a > 16 else _joined(root, node[a + u], node[a + v])
+            off = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[root[off]])], names=["u", "v"])
 
     return run
 
