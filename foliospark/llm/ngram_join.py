@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm._common import binary_column, bounded_batches, connected_components, discard, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, slices, sorted_runs
 
-#: N-grams in one verification block: bounds a task's memory, not the result.
-BLOCK_WEIGHT = 1_500_000
+#: N-grams and classes in one verification block: they bound a task's memory, not the result.
+BLOCK_WEIGHT, BLOCK_SETS = 1_000_000, 1024
 #: Classes in one block of a key that many share, and members up to which a key's group is named by its member set.
 BLOCK_CLASSES, NAMED_GROUP = 2048, 512
 #: Equal cuts of the hash order in which partial overlaps are counted.
@@ -353,7 +353,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     loose = connected_components(members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_loose_edges(percent), "u long, v long"))
     discard(groups)
     found = classes.join(loose.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
-    weights = found.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)).cast("int").alias("nb"))
+    weights = found.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("nb"))
     found = materialize(found.join(weights, "comp"), "found")
 
     hashed = found.select("cls", "low").where("low is not null")
