@@ -85,7 +85,7 @@ def manifest_rows(notes: DataFrame) -> DataFrame:
     """Piped rows with a code cell of every ``source_manifest.md`` outside hidden trees."""
     chosen = notes.where((F.col("name") == "source_manifest.md") & ~F.col("path").startswith("."))
     rows = chosen.select(F.col("path").alias("manifest_path"), F.posexplode(F.split("text", "\r\n|\r|\n")).alias("i", "line")).where(F.col("line").rlike(r"^\| `"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     return rows.select("manifest_path", (F.col("i") + 1).alias("line_no"), cells.alias("cells"))
 
 
