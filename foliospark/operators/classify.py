@@ -32,27 +32,6 @@ def note_type(path: Column, declared: Column, valid: list[str]) -> Column:
     return F.when(path.contains(".obsidian/templates/"), "template").when(declared.isin(valid), declared).otherwise(inferred)
 
 
-def example_grade(has_question: Column, has_conditions: Column, has_steps: Column, has_answer: Column) -> Column:
-    """A: complete; B: no steps shown; C: no conditions; D: no question or no answer."""
-    return first_match([(~has_question | ~has_answer, "D"), (~has_conditions, "C"), (~has_steps, "B")], "A")
-
-
-# Terms of absolute claims and the contexts that take their edge.
-CLAIM_TERMS = "一定|必然|绝对|完全|永远|保证"
-NEGATED = "不一定|不必然|不能|不会|不是|并不是|没有|无须|未必|并非|尚未|无法|不可|未提供|无保证"
-HEDGED = "通常|一般|可能|有助于|往往|部分|仅"
-CONDITIONAL = "若|如果|当|只要|除非|只有|满足|给定|取决于|条件是|前提是"
-ASKED = "[?？]|是否|能否|可否|为什么|为何|如何|怎样"
-
-
-def claim_category(sentence: Column) -> Column:
-    """Null without an absolute term; else question, negated, conditional, hedged or high_confidence."""
-    return F.when(
-        sentence.rlike(CLAIM_TERMS),
-        first_match([(sentence.rlike(ASKED), "question"), (sentence.rlike(NEGATED), "negated"), (sentence.rlike(CONDITIONAL), "conditional"), (sentence.rlike(HEDGED), "hedged")], "high_confidence"),
-    )
-
-
 def provenance_status(expected: Column, found: Column, contract: Column) -> Column:
     """missing, exact, contract (digests differ, the contract holds) or mismatch."""
     return first_match([(found.isNull(), "missing"), (found == expected, "exact"), (F.coalesce(contract, F.lit(False)), "contract")], "mismatch")

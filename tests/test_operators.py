@@ -2,10 +2,9 @@
 
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import classify, coverage, frames, links, matching, rules, state
+from foliospark.operators import coverage, frames, links, matching, rules, state
 from foliospark.sources import packages, vault
 from foliospark.streaming import incremental
 
@@ -75,11 +74,6 @@ def test_coverage(spark):
     assert coverage.adjacent_parts(entries).count() == 2
 
 
-@pytest.mark.parametrize(("sentence", "category"), [("这一定成立", "high_confidence"), ("不一定成立", "negated"), ("如果有界，一定成立", "conditional"), ("是否一定成立", "question"), ("通常保证", "hedged"), ("无", None)])
-def test_claims(spark, sentence, category):
-    assert spark.createDataFrame([(sentence,)], "s string").select(classify.claim_category(F.col("s")).alias("c")).first()["c"] == category
-
-
 def test_vault_scan_and_packages(spark, tmp_path):
     for name in ("a.md", "sub/b.md", "scripts/c.md", "AGENT.md"):
         (tmp_path / "v" / name).parent.mkdir(parents=True, exist_ok=True)
