@@ -146,3 +146,50 @@ def display_width(text: pd.Series) -> pd.Series:
     """Columns on screen: two for wide and full-width characters, none for combining ones."""
     width = lambda c: 0.0 if unicodedata.combining(c) else 2.0 if unicodedata.east_asian_width(c) in "WF" else 1.0
     return text.map(lambda x: None if x is None else sum(map(width, x)))
+
+
+def _units(c: str) -> float:
+    # Widths of character classes in ems.
+    if unicodedata.combining(c):
+        return 0.0
+    if c.isspace():
+        return 0.35
+    if unicodedata.east_asian_width(c) in "WF":
+        return 1.0
+    return 0.9 if c in "MW@%&" else 0.3 if c in "ilI.,:;!|'`" else 0.7 if c.isupper() else 0.58 if c.isdigit() else 0.55
+
+
+@F.pandas_udf(T.DoubleType())
+def title_units(text: pd.Series) -> pd.Series:
+    """Estimated width of a slide's title in ems."""
+    return text.map(lambda x: None if x is None else sum(map(_units, x)))
+
+
+# Commands whose doubled backslash is an artefact, and signs with their command.
+COMMANDS = (
+    "alpha|beta|gamma|delta|epsilon|varepsilon|theta|lambda|mu|pi|rho|sigma|phi|varphi|omega|nabla|frac|sum|prod|sqrt|log|ln|exp|min|max|argmin|argmax|"
+    "left|right|mathrm|mathbf|mathcal|mathbb|top|rightarrow|to|le|ge|times|cdot|infty|partial|Vert|lVert|rVert"
+)
+MATH_SIGNS = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "θ": "theta", "λ": "lambda", "μ": "mu", "π": "pi", "ρ": "rho", "σ": "sigma", "φ": "phi",
+    "ω": "omega", "∑": "sum", "∏": "prod", "√": "sqrt", "∇": "nabla", "∂": "partial", "≤": "le", "≥": "ge", "→": "to", "×": "times", "·": "cdot", "∞": "infty",
+}
+MATH_LINE = r"[$\\=_^≤≥→∑∇∂]"
+
+
+def slide_line(line: Column, math: bool = False) -> Column:
+    """A line of slide text: composed, invisible characters off, backslashes and the blanks before marks repaired; signs as commands in math lines if asked."""
+    out = F.regexp_replace(nfkc(line), r"[\u200b-\u200f\u2060\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    out = F.regexp_replace(F.regexp_replace(out, "[﹨＼]", r"\\"), rf"\\{{2,}}({COMMANDS})\b", r"\\$1")
+    out = F.regexp_replace(out, r"(?U)\s+([,.;:，。；：])", "$1")
+    if math:
+        signs = out
+        for sign, command in MATH_SIGNS.items():
+            signs = F.replace(signs, F.lit(sign), F.lit("\\" + command))
+        out = F.when(out.rlike(MATH_LINE), signs).otherwise(out)
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)\\\s+([A-Za-z]+)", r"\\$1"), r"(?U)\s+$", "")
+
+
+def compact_slide(text: Column) -> Column:
+    """Lines of slide text that ``slide_line`` cleaned, joined by line ends: at most two blank ones in a run, one line end at the end."""
+    return F.concat(F.regexp_replace(F.regexp_replace(text, "\n{4,}", "\n\n\n"), r"(?U)\s+$", ""), F.lit("\n"))
