@@ -129,3 +129,22 @@ def resolved_url(base: pd.Series, href: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
+
+
+def _requested(value: str) -> str:
+    parts = urlsplit(value)
+    try:
+        host = (parts.hostname or "").encode("idna").decode("ascii")
+    except UnicodeError:
+        host = parts.netloc
+    try:
+        place = host if parts.port is None else f"{host}:{parts.port}"
+    except ValueError:
+        place = parts.netloc
+    return urlunsplit((parts.scheme, place, quote(parts.path, safe="/%:@!$&'()*+,;=-._~"), quote(parts.query, safe="!$&'()*+,;=:/?@%_-."), ""))
+
+
+@F.pandas_udf(T.StringType())
+def request_form(url: pd.Series) -> pd.Series:
+    """The URL as a request sends it: an ASCII host, path and query escaped, no fragment or user."""
+    return url.map(lambda x: None if x is None else _requested(x))

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``left``, ``right``, ``comp`` by least-label rounds; each is cut by a checkpoint where a folder is set."""
+def components(edges: DataFrame) -> DataFrame:
+    """``left``, ``right``, ``comp`` by least-label rounds until none changes; each is cut by a checkpoint where a folder is set."""
     now = edges.select("left", "right").distinct().withColumn("comp", F.col("left"))
-    for _ in range(rounds):
+    while True:
         low_r = now.groupBy("right").agg(F.min("comp").alias("c"))
         step = now.drop("comp").join(low_r, "right")
         low_l = step.groupBy("left").agg(F.min("c").alias("comp"))
@@ -23,8 +23,7 @@ def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
         done = changed.isEmpty()
         now = after.checkpoint() if after.sparkSession.sparkContext.getCheckpointDir() else after
         if done:
-            break
-    return now
+            return now
 
 
 def match(edges: DataFrame) -> DataFrame:

@@ -56,12 +56,6 @@ def fence_state(rows: DataFrame, group: str, order: str, is_fence: Column) -> Da
     return rows.withColumn("fenced", (F.sum(is_fence.cast("int")).over(line) % 2 == 1) & ~is_fence)
 
 
-def within_budget(slides: DataFrame, most: int, always: Column) -> DataFrame:
-    """Slides kept within a budget; ``always`` ones come first, the order stays."""
-    kept = slides.withColumn("_nth", F.row_number().over(Window.orderBy((~always).cast("int"), "pos"))).where(F.col("_nth") <= most)
-    return kept.drop("_nth").orderBy("pos")
-
-
 def first_items(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_nth") <= most).drop("_nth")
