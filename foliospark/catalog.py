@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import contracts, documents, pages, tables, vault
+from foliospark.plans import contracts, documents, pages, policies, tables, vault
 from foliospark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["contracts", "documents", "pages", "tables", "vault"]
+__all__ = ["contracts", "documents", "pages", "policies", "tables", "vault"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
