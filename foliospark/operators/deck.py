@@ -53,7 +53,7 @@ CJK_LEAST = 8
 
 
 def summaries(notes: DataFrame) -> DataFrame:
-    """Counts of a note whose code and comments are masked: ``title``, ``headings``, ``links``, ``images``, ``attachments``, ``tables``, ``math_blocks``, ``words``."""
+    """Counts of a note (code masked by the caller; frontmatter and comments are left out here): ``title``, ``headings``, ``links``, ``images``, ``attachments``, ``tables``, ``math_blocks``, ``words``."""
     text = F.coalesce("text", F.lit(""))
     body = F.regexp_replace(text, r"(?s)^\ufeff?---\n.*?\n---(?:\n|\z)", "\n")
     visible = F.regexp_replace(body, r"(?s)<!--.*?-->|%%.*?%%", " ")
