@@ -10,7 +10,8 @@ A page's rule, where one fits, decides the page itself; the propagated verdict
 decides the others.
 
 DataFrame operations only.  Edges are counted per pair of hosts before they are
-shuffled; every round is written to the shared folder.
+shuffled; every round is written to the shared folder.  Rounds go on until no rank can change by more
+than ``TOLERANCE`` pages.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule
 and no rank, and is allowed; null pages have no links; links to the page's own
@@ -30,6 +31,8 @@ from foliospark.llm._common import discard, materialize
 DAMPING = 0.85
 #: Share of a host's pages that must count as distrusted.
 THRESHOLD = 0.5
+#: Pages by which a host's trust or distrust may be off, whatever the number of pages.
+TOLERANCE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -74,31 +77,39 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = 1e-4, max_rounds: int = 60) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scale: dict[str, int], damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = 1000) -> DataFrame:
     """Personalised PageRank of several kinds at once: ``kind``, ``host``, ``rank``.
 
     ``seeds`` (kind, host, seed) sums to 1 per kind, with a row for every node;
     ``edges`` (kind, src, dst, share) sums to 1 per kind and src.  What
     reaches a node without edges returns to the seeds.
+
+    ``scale`` has the pages that a rank of 1 stands for, by kind.  A round
+    shrinks what moves by ``damping`` at least, so all later rounds together
+    move no rank by more than the last round's sum times damping / (1 - damping);
+    the rounds end once that is within ``tolerance`` pages for each kind.
+    Where that is not reached (doubles may not, beyond some 10^10 pages of a kind) it raises.
     """
     ends = edges.select("kind", F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
     fixed = materialize(seeds.join(ends, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("linked", F.lit(False)).alias("linked")), "nodes")
     state = materialize(fixed.withColumn("rank", F.col("seed")).withColumn("moved", F.lit(1.0)), "rank")
     flow = materialize(edges, "flow")
+    # Two numbers per kind: the rank held by nodes without edges, and what the last round moved.
+    tally = lambda t: t.groupBy("kind").agg(F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("rank"))).alias("held"), F.sum("moved").alias("moved")).collect()
+    now = tally(state)
     for _ in range(max_rounds):
         sent = flow.join(state.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        # One number per kind: the rank held by nodes without edges.
-        held = {r["kind"]: r["held"] for r in state.groupBy("kind").agg(F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("rank"))).alias("held")).collect()}
         back = F.lit(0.0)
-        for kind, amount in held.items():
-            back = F.when(F.col("kind") == kind, F.lit(float(amount or 0.0))).otherwise(back)
+        for r in now:
+            back = F.when(F.col("kind") == r["kind"], F.lit(float(r["held"] or 0.0))).otherwise(back)
         new = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back * F.col("seed"))
         after = materialize(state.join(sent, ["kind", "host"], "left").select("kind", "host", "seed", "linked", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")), "rank")
-        moved = after.agg(F.sum("moved")).first()[0] or 0.0
         discard(state)
-        state = after
-        if moved < tolerance:
+        state, now = after, tally(after)
+        if all((r["moved"] or 0.0) * scale[r["kind"]] * damping <= tolerance * (1 - damping) for r in now):
             break
+    else:
+        raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
     discard(flow)
     return state.select("kind", "host", "rank")
 
@@ -123,7 +134,7 @@ def judge_hosts(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_
         out = links.groupBy(src).agg(F.sum("links").alias("all"))
         return links.join(out, src).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("links") / F.col("all")).alias("share"))
 
-    ranks = propagate(seeds, shares("trust", "src", "dst").union(shares("distrust", "dst", "src")), damping)
+    ranks = propagate(seeds, shares("trust", "src", "dst").union(shares("distrust", "dst", "src")), {"trust": totals["allow"] or 0, "distrust": totals["block"] or 0}, damping)
     wide = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("d"))
     scaled = per_host.join(wide, "host").select("host", "pages", (F.col("t") * (totals["allow"] or 0) / F.col("pages")).alias("trust"), (F.col("d") * (totals["block"] or 0) / F.col("pages")).alias("distrust"))
     return scaled.withColumn("blocked", (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")))

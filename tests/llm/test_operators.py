@@ -346,6 +346,24 @@ def test_propagation_equals_power_iteration(spark):
             assert abs(r[kind] - rank[at[h]] * total / r["pages"]) < 2e-3
 
 
+def test_ranks_settle_in_pages_whatever_the_size(spark):
+    """B has 50 blocked pages, A links to B and C to A; a million other blocked pages do not end the rounds early."""
+    others = 1_000_000
+    own = [("b.com", "/b/", 50, ""), ("a.com", "/x/", 30, "<a href='http://b.com/'>"), ("c.com", "/x/", 30, "<a href='http://a.com/'>")]
+    pages = spark.createDataFrame([(f"http://{h}{p}", html) for h, p, n, html in own for _ in range(n)], "url string, html string")
+    pages = pages.union(spark.range(others).select(F.lit("http://z.com/b/"), F.lit(None).cast("string")))
+    found = {r["host"]: r for r in link_graph.judge_hosts(pages, [link_graph.Rule("com", "/b/", "block")]).collect()}
+    # Solved at once: rows b, a, c, z; b flows to a, a to c, and c and z back to the seeds.
+    seed = np.array([50, 0, 0, others]) / (50 + others)
+    flow = np.zeros((4, 4))
+    flow[1, 0] = flow[2, 1] = 1
+    flow[:, 2] = flow[:, 3] = seed
+    rank = np.linalg.solve(np.eye(4) - 0.85 * flow, 0.15 * seed) * (50 + others)
+    for k, (host, n) in enumerate((("b.com", 50), ("a.com", 30), ("c.com", 30), ("z.com", others))):
+        assert abs(found[host]["distrust"] - rank[k] / n) < 1e-4, host
+    assert found["c.com"]["blocked"] and found["a.com"]["blocked"]
+
+
 # 9: packing
 
 
