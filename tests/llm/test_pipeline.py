@@ -51,6 +51,21 @@ def test_near_copies_leave_one(spark):
     assert left == [(False, 2), (False, 4), (True, None)]
 
 
+def test_rows_of_one_id_stand_by_their_own_text(spark):
+    words = [f"word{k}" for k in range(120)]
+    text, near = " ".join(words), " ".join(words[:60] + ["changed"] + words[61:])
+    other, third = " ".join(f"other{k}" for k in range(40)), " ".join(f"third{k}" for k in range(40))
+    rows = [(3, text), (3, other), (2, near), (7, third), (7, third + " end"), (8, None), (8, None), (8, ""), (8, ""), (9, "")]
+    rows += [(None, text), (None, near), (None, other + " x"), (None, other + " x"), (None, "alone without a name"), (None, ""), (None, "")]
+    left = stage("n-gram Jaccard join")(spark, table(spark, rows), DATA).select("doc_id", "text").collect()
+    found = {(r["doc_id"], r["text"]) for r in left if r["doc_id"] != 7 and r["text"] not in (text, near)}
+    assert found == {(3, other), (8, None), (8, ""), (9, ""), (None, other + " x"), (None, "alone without a name"), (None, "")}
+    assert len(left) == len(found) + 3
+    assert [r["text"] for r in left if r["doc_id"] == 2] == [near]
+    assert sum(r["doc_id"] == 7 for r in left) == 1
+    assert sum(r["doc_id"] is None and r["text"] in (text, near) for r in left) == 1
+
+
 def test_benchmark_passages_go(spark, passage):
     rows = table(spark, [(1, "before words stay " + passage + " after words stay"), (2, "a clean text"), (3, passage)])
     left = {r["doc_id"]: r["text"] for r in stage("benchmark decontamination")(spark, rows, DATA).collect()}
