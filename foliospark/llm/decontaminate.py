@@ -11,7 +11,8 @@ Stretches of known words that are shorter than the shortest window cannot hold
 an occurrence and are left out of the index; nothing else is.
 
 Cases: null and wordless texts have no words and no hits; wordless items have
-no window; repeated items each count; an empty benchmark or document table
+no window; repeated items each count; items without a name count as any other
+and share the name null; an empty benchmark or document table
 gives zero hits or no rows.  Rows are kept one to one, repeated ids included,
 and the other columns pass through untouched.
 """
@@ -156,11 +157,11 @@ class Phrases:
 
     vocabulary: dict[bytes, int]
     windows: dict[int, tuple[np.ndarray, list[list[int]]]]
-    items: list[str]
+    items: list[str | None]
     shortest: int
 
 
-def phrases(items: list[tuple[str, bytes | None]], window: int) -> Phrases:
+def phrases(items: list[tuple[str | None, bytes | None]], window: int) -> Phrases:
     """Windows of ``window`` words of every item; an item of fewer words is one window."""
     vocabulary: dict[bytes, int] = {}
     found: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
@@ -173,7 +174,7 @@ def phrases(items: list[tuple[str, bytes | None]], window: int) -> Phrases:
     return Phrases(vocabulary, windows, [name for name, _ in items], min(windows, default=0))
 
 
-def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
+def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, int]], list[str | None]]]:
     """Per document of one shard: merged spans of hit words, and the items that occur."""
     parts, doc_of, word_of = [np.zeros(1, dtype=np.int64)], [np.full(1, -1)], [np.full(1, -1)]
     for d, ids in enumerate(docs):
@@ -184,7 +185,7 @@ def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, i
             doc_of.append(np.full(b - a + 1, d))
             word_of.append(np.append(np.arange(a, b), -1))
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
-    items: list[set[str]] = [set() for _ in docs]
+    items: list[set[str | None]] = [set() for _ in docs]
     if len(parts) > 1:
         index = FMIndex(np.concatenate(parts), len(test.vocabulary))
         doc, word = np.concatenate(doc_of), np.concatenate(word_of)
@@ -196,7 +197,7 @@ def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, i
             for at, p in zip(index.locate(rows).tolist(), np.repeat(found, times).tolist(), strict=True):
                 spans[doc[at]].append((int(word[at]), int(word[at]) + size))
                 items[doc[at]].update(test.items[k] for k in owners[p])
-    return [(_merge(s), sorted(i)) for s, i in zip(spans, items, strict=True)]
+    return [(_merge(s), sorted(i, key=lambda name: (name is None, name or ""))) for s, i in zip(spans, items, strict=True)]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -251,14 +252,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """The columns ``keep`` (all, by default) of every row, with ``folio_words``, ``folio_spans`` and ``folio_items``.
 
     Spans are inclusive ranges of word numbers; items are the names, as text,
-    of the benchmark items with an occurring window.  The benchmark is sent to
-    every task; it is refused beyond ``MAX_BENCHMARK_BYTES``.
+    of the benchmark items with an occurring window; items whose name is null
+    are one null at the end.  The benchmark is sent to every task; it is refused beyond ``MAX_BENCHMARK_BYTES``.
     """
     bytes_ = benchmark.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0
     if bytes_ > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark holds {bytes_} bytes of text; decontaminate in parts of at most {MAX_BENCHMARK_BYTES}")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).collect()
-    test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows if r["i"] is not None], window)
+    test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows], window)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
     work = fresh("folio_text", kept)
     source = bounded_batches(docs).select(*kept, F.col(text_col).alias(work))

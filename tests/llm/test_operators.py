@@ -158,6 +158,23 @@ def test_decontamination(spark, docs, empty):
     assert len(none) == len(AWKWARD) and not any(r["folio_spans"] for r in none)
 
 
+def test_benchmark_items_without_a_name(spark, tmp_path):
+    """Their passages are hit, as in the query's SQL, where all of them are one item without a name."""
+    import duckdb
+
+    first, second, third = (" ".join(f"{w}{k}" for k in range(12)) for w in "abc")
+    spark.createDataFrame([(1, f"x {first} y"), (2, f"{second} and {first}"), (3, f"{third} {second}"), (4, "clean text"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, first), (None, second), (7, third), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = queries.op3_decontaminate(spark, str(tmp_path)).toPandas()
+    assert rows_of(found) == rows_of(duck.execute(queries.oracle_sql()["op3_decontaminate"]).df())
+    assert found.set_index("doc_id")["n_hit"].to_dict() == {1: 12, 2: 24, 3: 24, 4: 0, 5: 0}
+    items = decontaminate.find_contamination(queries.table(spark, str(tmp_path), "documents"), queries.table(spark, str(tmp_path), "benchmark")).collect()
+    assert {r["doc_id"]: r["folio_items"] for r in items} == {1: [None], 2: [None], 3: ["7", None], 4: [], 5: []}
+
+
 def test_index_search_and_locate():
     rng = np.random.default_rng(2)
     for _ in range(60):
