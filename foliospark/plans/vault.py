@@ -185,6 +185,40 @@ def structure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.all_of(rules.heading_issues(found, frames.lines(docs)), rules.table_issues(docs), rules.conflict_markers(docs), rules.residue(docs), rules.empty_notes(docs))
 
 
+_STRUCTURE = (
+    f"WITH t AS ({_TEXTS}),"
+    + r"""
+d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN t.path IS NULL THEN o.text ELSE o.text || chr(10) || t.text END AS text FROM documents o LEFT JOIN t ON t.path = substr('-abcd', (doc_id % 5)::INT + 1, 1) UNION ALL SELECT path, text FROM t),
+l AS (SELECT path, unnest(range(1, len(a) + 1))::INT AS line_no, unnest(a) AS line, edged FROM (SELECT path, string_split_regex(text, '\r\n|\r|\n') AS a, contains(text, '<<<<<<<') AND contains(text, '>>>>>>>') AS edged FROM d)),
+f AS (SELECT *, sum(regexp_matches(line, '^ {0,3}(`{3,}|~{3,})')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) % 2 AS fenced FROM l),
+h AS (SELECT path, line_no, length(regexp_extract(line, '^(#{1,6})', 1)) AS level, trim(regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1)) AS title FROM f WHERE fenced = 0 AND regexp_matches(line, '^#{1,6}\s+\S')),
+g AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS next_level, lead(line_no) OVER w AS next_line, regexp_replace(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), '\]', '', 'g') AS anchor FROM h WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+c AS (SELECT *, line LIKE '|%' AND line LIKE '%|' AS is_row, regexp_matches(line, '^\|(\s*:?-+:?\s*\|)+$') AS is_rule, len(string_split(regexp_replace(regexp_replace(line, '\\\\|\\\|', '', 'g'), '^\||\|$', '', 'g'), '|')) AS cells FROM l),
+i AS (SELECT *, sum((NOT is_row)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS island, is_row AND coalesce(lead(is_rule) OVER w, false) AS head FROM c WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+e AS (SELECT *, last_value(CASE WHEN head THEN cells END IGNORE NULLS) OVER (PARTITION BY path, island ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS expected FROM i)
+SELECT 'heading_jump' AS rule, path, line_no, title AS message FROM g WHERE level - before > 1
+UNION ALL SELECT 'duplicate_anchor', path, line_no, title FROM g WHERE level <= 2 AND (path, anchor) IN (SELECT (path, anchor) FROM g GROUP BY path, anchor HAVING count(*) > 1)
+UNION ALL SELECT 'empty_section', path, line_no, title FROM g WHERE (next_level IS NULL OR next_level <= level) AND NOT EXISTS (SELECT 1 FROM l WHERE l.path = g.path AND l.line_no > g.line_no AND (g.next_line IS NULL OR l.line_no < g.next_line) AND trim(l.line) <> '')
+UNION ALL SELECT 'table_columns', path, line_no, cells || ' for ' || expected FROM e WHERE is_row AND NOT head AND cells <> expected
+UNION ALL SELECT 'conflict_marker', path, line_no, line FROM l WHERE line LIKE '<<<<<<<%' OR line LIKE '>>>>>>>%' OR line LIKE '=======%' AND edged
+UNION ALL SELECT 'template_residue', path, line_no, regexp_extract(line, '相关知识链接|TODO|FIXME|TBD|待补|待完善') FROM l WHERE regexp_matches(line, '相关知识链接|TODO|FIXME|TBD|待补|待完善')
+UNION ALL SELECT 'empty_file', path, 0, 'no content' FROM d WHERE trim(text) = ''
+"""
+)
+
+
+@query(_STRUCTURE)
+def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of ``structure_rules`` over all documents, four in five of which end with one of the fixture's notes, and over the fixture."""
+    fixture = spark.sql(_TEXTS)
+    tails = F.broadcast(fixture.select(F.col("path").alias("tail"), F.col("text").alias("more")))
+    ended = table(spark, sf_dir, "documents").withColumn("tail", F.expr("substr('-abcd', cast(doc_id % 5 as int) + 1, 1)")).join(tails, "tail", "left")
+    text = F.when(F.col("more").isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\n"), "more"))
+    docs = ended.select(F.col("doc_id").cast("string").alias("path"), text.alias("text")).union(fixture)
+    found = frames.headings(docs)
+    return rules.all_of(rules.heading_issues(found, frames.lines(docs)), rules.table_issues(docs), rules.conflict_markers(docs), rules.residue(docs), rules.empty_notes(docs))
+
+
 @query(_VAULT + "k AS (SELECT path, regexp_extract(path, '[^/]*$') AS stem FROM notes), c AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path) AS i FROM k) SELECT path, CASE WHEN i = 1 THEN stem ELSE stem || '_' || substr(sha256(path), 1, 10) END AS out_name FROM c")
 def stable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output names without clashes: the first keeps its stem."""

@@ -96,3 +96,15 @@ def test_incremental(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         incremental.run_rules(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ckpt", {"residue": rules.residue}).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_structure_rules_reach_every_document(spark):
+    from conftest import DATA
+
+    from foliospark import catalog
+
+    found = catalog.queries()["document_structure"](spark, DATA).groupBy("path").agg(F.count("*").alias("n")).collect()
+    per = {r["path"]: r["n"] for r in found}
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").select("doc_id").collect()]
+    assert {p for p in per if p not in "abcd"} >= {str(i) for i in ids if i % 5 in (1, 2, 4)}
+    assert {k: per.get(k) for k in "abcd"} == {"a": 4, "b": 4, "c": 1, "d": 1}
