@@ -16,19 +16,23 @@ def _blank(text: str) -> str:
     return "".join(c if c in "\r\n" else " " for c in text)
 
 
-def mask_inline(text: str) -> str:
-    """Code spans of equal backtick runs, within one block of lines, blanked in place."""
-    out, at = list(text), 0
-    runs = [(m.start(), m.end()) for m in re.finditer("`+", text) if not (m.start() and text[m.start() - 1] == "\\")]
-    k = 0
+def mask_inline(text: str, escapes: bool = True) -> str:
+    """Code spans of equal backtick runs, within one block of lines, blanked in place; each run is looked at once."""
+    runs = [(m.start(), m.end()) for m in re.finditer("`+", text) if not (escapes and m.start() and text[m.start() - 1] == "\\")]
+    later: dict[int, list[int]] = {}
+    for k in range(len(runs) - 1, -1, -1):
+        later.setdefault(runs[k][1] - runs[k][0], []).append(k)  # the nearest run of a length is last
+    out, k = list(text), 0
     while k < len(runs):
         a, b = runs[k]
-        close = next((r for r in range(k + 1, len(runs)) if runs[r][1] - runs[r][0] == b - a), None)
-        if close is None:
+        same = later[b - a]
+        while same and same[-1] <= k:
+            same.pop()
+        if not same:
             k += 1
             continue
-        at = runs[close][1]
-        out[a:at] = _blank(text[a:at])
+        close = same.pop()
+        out[a : runs[close][1]] = _blank(text[a : runs[close][1]])
         k = close + 1
     return "".join(out)
 
@@ -101,6 +105,15 @@ def masked_code(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["masked", "unclosed"])
 
 
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|%%.*?(?:%%|\Z)", re.S)
+
+
+@F.pandas_udf(T.StringType())
+def masked_comments(text: pd.Series) -> pd.Series:
+    """HTML comments and ``%%`` spans blanked in place; one without an end runs to the end of the text."""
+    return text.map(lambda t: None if t is None else _COMMENT.sub(lambda m: _blank(m[0]), t))
+
+
 def mask_plain(text: str) -> str:
     """The simpler masking: fences, lines of four blanks or a tab, then code spans over the whole text."""
     out, fence = [], None
@@ -201,3 +214,27 @@ def _destination(text: str, at: int, depth: int) -> tuple[str, int] | None:
 def markdown_links(text: pd.Series) -> pd.Series:
     """Inline links of a text whose code is masked."""
     return text.map(lambda t: None if t is None else [{"target": a, "start": b, "stop": c} for a, b, c in inline_links(t)])
+
+
+_WIKILINK = re.compile(r"(!?)\[\[([^\]\n]+)\]\]")
+
+
+def visible_line(line: str) -> str:
+    """A line as a reader sees it: code spans and embeds blanked in place, of a wikilink its label, or the name and the heading."""
+
+    def shown(m: re.Match) -> str:
+        if m[1]:
+            return " " * len(m[0])
+        target, bar, label = m[2].partition("|")
+        if not bar:
+            place, _, heading = target.partition("#")
+            name = place.rsplit("/", 1)[-1]
+            label = f"{name}#{heading}" if name and heading else name or heading
+        return f" {label.strip()} "
+
+    return _WIKILINK.sub(shown, mask_inline(line, escapes=False))
+
+
+@F.pandas_udf(T.StringType())
+def visible_prose(line: pd.Series) -> pd.Series:
+    return line.map(lambda x: None if x is None else visible_line(x) if "`" in x or "[[" in x else x)

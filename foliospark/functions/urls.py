@@ -69,16 +69,24 @@ def audit_form(url: Column) -> Column:
     return F.concat(F.lower(head), F.substr(bare, F.length(head) + 1))
 
 
-def status_class(code: Column) -> Column:
-    """Audit status of an HTTP code."""
+def status_class(code: Column, url: Column | None = None, final_url: Column | None = None, robots: Column | None = None) -> Column:
+    """Audit status of an HTTP code.
+
+    A good answer from another URL (in audit form) is a redirect; ``robots``
+    holds the headers that may name a robot rule, which decides what 403 means.
+    """
+    moved = F.lit(False) if final_url is None else F.coalesce(audit_form(final_url) != audit_form(url), F.lit(False))
+    barred = F.lit(False) if robots is None else F.coalesce(F.lower(robots).contains("robot"), F.lit(False))
     return (
         F.when(code.isNull(), "MANUAL_REVIEW")
-        .when(code.between(200, 299), "OK")
-        .when(code.between(300, 399), "REDIRECT")
-        .when(code.isin(401, 403), "AUTH_REQUIRED")
+        .when(code.between(200, 299), F.when(moved, "REDIRECT").otherwise("OK"))
+        .when(code.isin(301, 302, 303, 307, 308), "REDIRECT")
+        .when(code == 401, "AUTH_REQUIRED")
         .when(code == 402, "PAYWALL")
+        .when(code == 403, F.when(barred, "ROBOTS_BLOCKED").otherwise("MANUAL_REVIEW"))
         .when(code == 429, "RATE_LIMITED")
-        .when(code.isin(404, 410), "NOT_FOUND")
+        .when(code == 404, "NOT_FOUND")
+        .when(code == 410, "DOMAIN_GONE")
         .when(code.between(500, 599), "TEMPORARY_FAILURE")
         .otherwise("MANUAL_REVIEW")
     )

@@ -1,7 +1,9 @@
 """The audit of absolute claims: terms in their sentences, classified by context.
 
-All of it is Catalyst: a line is cut before each term, running lengths give the
-term's place, and the sentence and the contexts are substrings of the line.
+Lines with a term pass an Arrow task that blanks code spans and embeds in place,
+as contexts are counted in characters.  The rest is Catalyst: a line is cut before
+each term, running lengths give the term's place, and the sentence and the
+contexts are substrings of the line.
 
 Cases: null and empty texts have no claims; equal sentences of one line give one row.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.markdown import visible_prose
 from foliospark.functions.text import lines_of
 from foliospark.operators.classify import first_match
 
@@ -67,15 +70,6 @@ QUIET = ["LABEL_OR_SCHEMA", "QUESTION_OR_QUOTE", "NEGATED_GUARANTEE", "CONDITION
 CATEGORIES = [*QUIET, "POLICY_OR_LEGAL_CLAIM", "EMPIRICAL_OVERCLAIM", "ENGINEERING_PROMISE", "MANUAL_REVIEW"]
 
 
-def visible_prose(line: Column) -> Column:
-    """A line without code spans and embeds; of a link what a reader sees: its label, or the name and the heading."""
-    prose = F.regexp_replace(line, r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", " ")
-    prose = F.regexp_replace(prose, r"!\[\[[^\]\n]+\]\]", " ")
-    prose = F.regexp_replace(prose, r"\[\[[^\]|\n]*\|([^\]\n]*)\]\]", " $1 ")
-    prose = F.regexp_replace(prose, r"\[\[(?:[^\]#\n]*/)?#([^\]\n]*)\]\]", " $1 ")
-    return F.regexp_replace(prose, r"\[\[(?:[^\]#\n]*/)?([^\]/#\n]*(?:#[^\]\n]*)?)\]\]", " $1 ")
-
-
 def category(term: Column, sentence: Column) -> Column:
     """What kind of statement a sentence makes with the term; the first rule that fits decides."""
     label = F.regexp_extract(sentence, LIST_LABEL, 1)
@@ -109,7 +103,7 @@ def high_confidence(term: Column, sentence: Column) -> Column:
 
 def occurrences(lines: DataFrame) -> DataFrame:
     """``path``, ``line_no``, ``term``, ``sentence``, ``prefix``, ``suffix``, ``around`` for each term of each ``line``."""
-    rows = lines.where(F.col("line").rlike(TERMS)).select("path", "line_no", visible_prose(F.col("line")).alias("prose")).where(F.col("prose").rlike(TERMS))
+    rows = lines.where(F.col("line").rlike(TERMS)).select("path", "line_no", visible_prose("line").alias("prose")).where(F.col("prose").rlike(TERMS))
     parts = F.split("prose", f"(?={TERMS})")
     each = rows.select("*", F.posexplode(parts).alias("k", "part"), parts.alias("parts")).where(F.col("part").rlike(f"^(?:{TERMS})"))
     start = F.length(F.array_join(F.slice("parts", F.lit(1), F.col("k")), ""))
@@ -138,8 +132,15 @@ def audit(lines: DataFrame) -> DataFrame:
 
 
 def prose_lines(docs: DataFrame) -> DataFrame:
-    """``path``, ``line_no``, ``line`` outside fences that are no headings; only documents with a term are split."""
-    rows = docs.where(F.col("text").rlike(TERMS)).select("path", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
+    """``path``, ``line_no``, ``line`` outside fences that are no headings; only documents with a term are split.
+
+    Notes of an exempt name, and of an exempt type where ``note_type`` is given, are left out.
+    """
+    path = F.col("path").cast("string")
+    spoken = docs.where(F.col("text").rlike(TERMS) & ~path.rlike(SKIPPED_NAMES))
+    if "note_type" in docs.columns:
+        spoken = spoken.where(~F.coalesce(F.col("note_type").isin(SKIPPED_TYPES), F.lit(False)))
+    rows = spoken.select("path", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
     so_far = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("line").rlike(r"^\s*(```|~~~)")
     marked = rows.withColumns({"fence": fence, "fences": F.sum(fence.cast("int")).over(so_far)})

@@ -61,21 +61,43 @@ def matched_references(refs: DataFrame, entries: DataFrame) -> DataFrame:
 def contained(passages: DataFrame, docs: DataFrame, tokens: int = 5) -> DataFrame:
     """``item_id``, ``doc_id`` where the document holds the passage's text.
 
-    Both sides are keyed by runs of ``tokens`` words - the passage's first run,
-    every run of the document - so only documents with that run are compared.
-    Words at the passage's ends may be cut in the document; shorter passages and
-    such ends use the passage's inner words, and ``contains`` decides.
+    Both sides are keyed by hashes of ``tokens`` words: the passage's second to
+    sixth word, every run of the document; of a shorter passage by fewer.  Runs
+    carry ids only; the texts of candidate pairs are joined once, and
+    ``contains`` decides.  Words at the passage's ends may be cut in the
+    document, so passages of fewer than three words have no key; they are tried
+    on each document together, as one expression per batch of passages.
     """
     words = lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
-    inner = passages.select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")).where(F.size("w") >= tokens + 2)
-    short = passages.join(inner.select("item_id"), "item_id", "left_anti").select("item_id", F.col("text").alias("passage"))
-    key = F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.lit(tokens)), " "))
-    keyed = inner.select("item_id", "passage", key.alias("key"))
-    runs = docs.select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= tokens)
-    runs = runs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - tokens + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(tokens)), " "))))).alias("key"))
-    by_run = runs.join(keyed, "key").where("contains(text, passage)").select("item_id", "doc_id")
-    by_scan = docs.select("doc_id", "text").join(short, F.expr("contains(text, passage)")).select("item_id", "doc_id")
-    return by_run.union(by_scan).distinct()
+    sized = passages.where("text is not null and text <> ''").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    width = F.least(F.size("w") - 2, F.lit(tokens))
+    keyed = sized.where(F.size("w") >= 3).select("item_id", "passage", width.alias("width"), F.xxhash64(F.array_join(F.slice("w", F.lit(2), width), " ")).alias("key"))
+    split = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
+    widths = [r[0] for r in keyed.select("width").distinct().collect()]  # at most ``tokens`` numbers
+    pairs = None
+
+    def runs_of(n: int) -> DataFrame:
+        run = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
+        return split.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(run)).alias("key"))
+
+    for n in widths:
+        runs = runs_of(n)
+        one = runs.join(keyed.where(F.col("width") == n).select("item_id", "key"), "key").select("item_id", "doc_id")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    found = None
+    if pairs is not None:
+        held = pairs.distinct().join(keyed.select("item_id", "passage").distinct(), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+        found = held.where("contains(text, passage)").select("item_id", "doc_id")
+    short = [(r["item_id"], r["passage"]) for r in sized.where(F.size("w") < 3).select("item_id", "passage").toLocalIterator()]
+    for at in range(0, len(short), SHORT_BATCH):
+        hit = F.array(*(F.when(F.contains("text", F.lit(p)), F.lit(i)) for i, p in short[at : at + SHORT_BATCH]))
+        one = docs.select(F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("item_id"), "doc_id")
+        found = one if found is None else found.unionByName(one)
+    return (found if found is not None else passages.select("item_id").limit(0).join(docs.select("doc_id"))).distinct()
+
+
+#: Passages of one or two words that one expression looks for.
+SHORT_BATCH = 64
 
 
 def second_places(rows: DataFrame, key: str) -> DataFrame:
@@ -110,3 +132,16 @@ def category_by_overlap(items: DataFrame, folders: DataFrame) -> DataFrame:
     a, b = items.select("id", F.explode(F.array_distinct("tokens")).alias("t")), folders.select("folder", F.explode(F.array_distinct("tokens")).alias("t"))
     score = a.join(b, "t").groupBy("id", "folder").agg(F.count("*").alias("n"))
     return score.groupBy("id").agg(F.min_by("folder", F.struct((-F.col("n")).alias("n"), "folder")).alias("folder"))
+
+
+def source_references(entries: DataFrame) -> DataFrame:
+    """``ref``, ``url``: a URL as it stands, a local path as a file URL with its blanks and marks escaped."""
+    local = F.concat(F.lit("file://"), F.replace(F.url_encode(F.col("ref")), F.lit("%2F"), F.lit("/")))
+    return entries.select("ref", F.when(F.col("ref").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("ref")).otherwise(F.replace(local, F.lit("+"), F.lit("%20"))).alias("url"))
+
+
+def within_time(rows: DataFrame, scan: str, order: str, seconds: str, budget: float, most: int | None = None) -> DataFrame:
+    """Rows of each scan with ``stopped`` for those beyond its total of ``budget`` seconds or its first ``most`` rows."""
+    line = Window.partitionBy(scan).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    over = F.sum(seconds).over(line) > budget
+    return rows.withColumn("stopped", over if most is None else over | (F.count("*").over(line) > most))

@@ -125,11 +125,26 @@ def list_items(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return kept.where(~F.col("item").rlike(r"^(https?://|\[\[|`)") & ~F.col("item").rlike(CITATION) & F.col("item").rlike("[，。！？：:；;,]")).select("path", "line_no", "item")
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """``path``, ``line_no``, ``level``, ``title`` of ATX headings outside fences, by a running fence toggle."""
+def headings(docs: DataFrame, underlined: bool = False) -> DataFrame:
+    """``path``, ``line_no``, ``level``, ``title`` of headings outside frontmatter and fences (by a running toggle).
+
+    With ``underlined`` a line of ``=`` or ``-`` under a line of text makes that
+    line a heading of the first or second level, as anchors count it; closing
+    marks are off the title.
+    """
     fenced = F.sum(F.col("line").rlike("^ {0,3}(`{3,}|~{3,})").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)) % 2
-    rows = lines(docs).withColumn("fenced", fenced).where("fenced = 0").where(F.col("line").rlike(r"^#{1,6}\s+\S"))
-    return rows.select("path", "line_no", F.length(F.regexp_extract("line", "^(#{1,6})", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+?)\s*$", 1)).alias("title"))
+    # Frontmatter keeps its lines, blanked, so that numbers do not move.
+    front = F.regexp_extract("text", r"(?s)\A(---\n.*?\n---(?:\n|\z))", 1)
+    blanked = F.concat(F.regexp_replace(front, r"[^\n]", ""), F.substr("text", F.length(front) + 1))
+    heads = docs.where(F.col("text").rlike(r"(?m)^ {0,3}(#{1,6}\s+\S|=+[ \t]*$|-+[ \t]*$)" if underlined else r"(?m)^ {0,3}#{1,6}\s+\S")).select("path", blanked.alias("text"))
+    rows = lines(heads).withColumns({"fenced": fenced, "below": F.lead("line").over(by_line())}).where("fenced = 0 and line not rlike '^ {0,3}(`{3,}|~{3,})'")
+    lead = " {0,3}" if underlined else ""
+    atx = F.col("line").rlike(rf"^{lead}#{{1,6}}\s+\S")
+    under = F.col("below").rlike(r"^ {0,3}(=+|-+)[ \t]*$") & F.col("line").rlike(r"^ {0,3}[^\s#>|\-*+=]")
+    level = F.when(atx, F.length(F.regexp_extract("line", "^ {0,3}(#{1,6})", 1))).when(F.col("below").rlike("^ {0,3}="), 1).otherwise(2)
+    named = F.regexp_extract("line", r"^ {0,3}#{1,6}\s+(.+?)\s*$", 1)
+    title = F.when(atx, F.regexp_replace(named, r"[ \t]+#+[ \t]*$", "") if underlined else named).otherwise(F.col("line"))
+    return rows.where(atx | (F.lit(underlined) & F.coalesce(under, F.lit(False)))).select("path", "line_no", level.alias("level"), F.trim(title).alias("title"))
 
 
 def sections(docs: DataFrame, level: int = 2) -> DataFrame:

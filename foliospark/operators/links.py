@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import slug
+from foliospark.functions.markdown import markdown_links as inline_links
+from foliospark.functions.markdown import masked_code
+from foliospark.functions.text import nfkc, slug, stem_key, unescaped
+from foliospark.session import written
 
 WIKI = r"(?<!!)\[\[([^\]]+)\]\]"
-MARKDOWN = r"(?<!!)\[[^\]]*\]\(([^)\s]+)[^)]*\)"
+PATTERN = r"(?<!!)\[[^\]]*\]\(([^)\s]+)[^)]*\)"
 
 
 def wikilinks(notes: DataFrame, text: str = "text") -> DataFrame:
@@ -23,14 +26,31 @@ def wikilinks(notes: DataFrame, text: str = "text") -> DataFrame:
     return each.select("path", "pos", "raw", F.trim(F.substring_index(bare, "#", 1)).alias("target"), F.nullif(F.regexp_extract(bare, "#(.*)$", 1), F.lit("")).alias("fragment"))
 
 
-def markdown_links(notes: DataFrame, text: str = "text") -> DataFrame:
-    """Inline links to other notes, by a regular expression; nested destinations need ``functions.markdown``."""
-    each = notes.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(MARKDOWN), F.lit(1))).alias("pos", "raw")).where(~F.col("raw").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
+def pattern_links(notes: DataFrame, text: str = "text") -> DataFrame:
+    """Inline links by a plain pattern, all in the JVM: a destination ends at its first blank, code is not masked."""
+    each = notes.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))).alias("pos", "raw")).where(~F.col("raw").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
     kept = F.regexp_replace("raw", r"\+", "%2B")
     target = F.coalesce(F.try_url_decode(F.regexp_extract(kept, "^([^#?]*)", 1)), F.regexp_extract("raw", "^([^#?]*)", 1))
     return each.select("path", "pos", "raw", target.alias("target"), F.nullif(F.regexp_extract("raw", "#(.*)$", 1), F.lit("")).alias("fragment"))
 
 
+def _decoded(text):
+    return F.trim(F.coalesce(F.try_url_decode(F.regexp_replace(unescaped(text), r"\+", "%2B")), unescaped(text)))
+
+
+def markdown_links(notes: DataFrame, text: str = "text") -> DataFrame:
+    """Inline links to other notes, by the tokenizer, outside code: nested labels, escapes, balanced or bracketed destinations.
+
+    An unescaped ``?`` or ``#`` ends the path; escapes are resolved before percent signs.
+    """
+    held = notes.where(F.contains(text, F.lit("](")))
+    each = held.select("path", F.posexplode(inline_links(masked_code(text)["masked"])).alias("pos", "l")).select("path", "pos", F.col("l.target").alias("raw"))
+    local = each.where(~F.col("raw").rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"))
+    split = r"(?s)^((?:[^?#\\]|\\.|\\\z)*)(?:\?[^#]*)?(?:#(.*))?$"
+    parts = local.withColumns({"target": _decoded(F.regexp_extract("raw", split, 1)), "fragment": F.nullif(_decoded(F.coalesce(F.regexp_extract("raw", split, 2), F.lit(""))), F.lit(""))})
+    return parts.where("target <> '' or fragment is not null").select("path", "pos", "raw", "target", "fragment")
+
+
 def note_keys(notes: DataFrame) -> DataFrame:
     """``key``, ``hit``: every name that a note answers to - path, path without suffix, name, stem, rooted forms."""
     bare = F.regexp_replace("path", r"\.md$", "")
@@ -80,18 +100,29 @@ def resolve_markdown(links: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def anchors(headings: DataFrame) -> DataFrame:
-    """``path``, ``anchor_key`` of headings: slug, with ``-n`` for the n-th repeat, or an explicit id."""
-    explicit = F.regexp_extract("title", r"\{#([^}]+)\}\s*$", 1)
-    base = headings.withColumn("slug", F.when(explicit != "", explicit).otherwise(slug(F.col("title"))))
+    """``path``, ``anchor_key``: all names that a heading answers to.
+
+    The title in lower case, its slug, the slug with ``-n`` from the second of a
+    kind on, and an explicit id, both as it stands (in lower case) and as a slug.
+    """
+    mark = r"\{#([^}\s]+)\}\s*$"
+    split = headings.withColumns({"explicit": F.regexp_extract("title", mark, 1), "bare": F.trim(F.regexp_replace("title", r"\s*" + mark, ""))})
+    normal = split.withColumn("slug", slug(nfkc("bare")))
     nth = F.row_number().over(Window.partitionBy("path", "slug").orderBy("line_no")) - 1
-    key = F.when(nth == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", nth.cast("string")))
-    return base.select("path", key.alias("anchor_key"))
+    again = F.when((nth > 0) & (F.col("slug") != ""), F.concat_ws("-", "slug", nth.cast("string")))
+    named = normal.withColumn("again", again)
+    keys = F.array(F.lower("bare"), "slug", F.lower("explicit"), slug(nfkc("explicit")), "again")
+    return named.select("path", F.explode(F.filter(keys, lambda k: k.isNotNull() & (k != ""))).alias("anchor_key")).distinct()
 
 
 def missing_anchors(resolved: DataFrame, headings: DataFrame) -> DataFrame:
-    """Resolved links whose fragment is no heading of their target."""
-    wanted = resolved.where("hit is not null and fragment is not null").withColumn("anchor_key", slug(F.col("fragment")))
-    return wanted.join(anchors(headings).withColumnRenamed("path", "hit"), ["hit", "anchor_key"], "left_anti")
+    """Resolved links whose fragment, neither in lower case nor as a slug, is a name of a heading of their target; ``anchor_key`` is the slug."""
+    wanted = resolved.where("hit is not null and fragment is not null")
+    plain = F.trim(F.coalesce(F.try_url_decode(F.replace("fragment", F.lit("+"), F.lit("%2B"))), "fragment"))
+    wanted = wanted.withColumns({"plain": F.lower(plain), "anchor_key": slug(nfkc(plain))})
+    keys = anchors(headings).withColumnRenamed("path", "hit")
+    unnamed = wanted.join(keys, ["hit", "anchor_key"], "left_anti")
+    return unnamed.join(keys.withColumnRenamed("anchor_key", "plain"), ["hit", "plain"], "left_anti").drop("plain")
 
 
 def inventory(links: DataFrame, group: str, subgroup: str) -> DataFrame:
@@ -106,20 +137,23 @@ def inventory(links: DataFrame, group: str, subgroup: str) -> DataFrame:
 def duplicate_stems(notes: DataFrame) -> DataFrame:
     """Stems of several notes; bridge notes, short pages that point to a new place, do not count."""
     bridge = (F.length("text") <= 260) & F.col("text").rlike(r"本页保留旧路径，正文请读 \[\[[^\]]+\]\]。")
-    stem = F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", ""))
+    stem = stem_key(F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", ""))
     return notes.where(~bridge).groupBy(stem.alias("stem")).agg(F.count("*").alias("notes"), F.min("path").alias("first_path")).where("notes > 1")
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Breadth-first: ``src``, ``dst``, ``steps`` (the least) of what ``start`` (src) reaches in at most ``depth`` links.
 
-    ``depth`` joins, each against what was not seen before.
+    ``depth`` joins, each of the last round's front only; every front is written
+    before it is joined, so the plan does not grow with the depth.
     """
-    seen = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("steps"))
-    front = seen
+    hops = written(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")).distinct(), "hops")
+    seen = front = written(start.select("src", F.col("src").alias("dst"), F.lit(0).alias("steps")).distinct(), "front")
     for step in range(1, depth + 1):
-        hop = front.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
-        front = hop.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(step))
+        hop = front.join(hops, "dst").select("src", F.col("to").alias("dst")).distinct()
+        front = written(hop.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(step)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

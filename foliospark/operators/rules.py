@@ -47,7 +47,8 @@ def all_of(*issues: DataFrame) -> DataFrame:
 
 
 def empty_notes(docs: DataFrame) -> DataFrame:
-    return issue(docs.where(F.trim("text") == ""), "empty_file", F.lit("no content"))
+    """Nothing but white space of any kind."""
+    return issue(docs.where(~F.col("text").rlike(r"(?U)\S")), "empty_file", F.lit("no content"))
 
 
 def conflict_markers(docs: DataFrame) -> DataFrame:
@@ -64,11 +65,30 @@ def residue(docs: DataFrame, pattern: str = RESIDUE, rule: str = "template_resid
     return issue(rows.where(F.col("line").rlike(pattern)), rule, F.regexp_extract("line", f"({pattern})", 1), F.col("line_no"))
 
 
+#: Patterns joined into one alternation that documents and lines are held against before each pattern is.
+PATTERN_BATCH = 64
+
+
 def custom_residue(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Lines with the first fitting pattern of a list; the list is small by contract and sent to every task."""
-    rows = lines(docs).join(F.broadcast(patterns), F.expr("line rlike regex"))
-    first = rows.groupBy("path", "line_no").agg(F.min("id").alias("id"))
-    return issue(first, "custom_residue", F.col("id").cast("string"), F.col("line_no"))
+    """Lines with the first fitting pattern (``id``, ``regex``) of a user's list.
+
+    The list is read in batches: lines that fit none of a batch's alternation are
+    left out before its patterns are tried one by one, and no line meets a join.
+    """
+    listed = [(r["id"], r["regex"]) for r in patterns.select("id", "regex").orderBy("id").toLocalIterator()]
+    found = None
+    for at in range(0, len(listed), PATTERN_BATCH):
+        batch = listed[at : at + PATTERN_BATCH]
+        any_ = "|".join(f"(?:{regex})" for _, regex in batch)
+        rows = lines(docs.where(F.col("text").rlike(f"(?m){any_}"))).where(F.col("line").rlike(any_))
+        first = F.coalesce(*(F.when(F.col("line").rlike(regex), F.lit(id_)) for id_, regex in batch))
+        one = rows.select("path", "line_no", first.alias("id")).where("id is not null")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return issue(docs.limit(0), "custom_residue", F.lit(""))
+    if len(listed) > PATTERN_BATCH:
+        found = found.groupBy("path", "line_no").agg(F.min("id").alias("id"))
+    return issue(found, "custom_residue", F.col("id").cast("string"), F.col("line_no"))
 
 
 def odd_math(docs: DataFrame) -> DataFrame:
@@ -128,7 +148,7 @@ def heading_issues(headings: DataFrame, all_lines: DataFrame) -> DataFrame:
     named = headings.withColumn("anchor", heading_anchor(F.col("title")))
     twice = named.withColumn("n", F.count("*").over(Window.partitionBy("path", "anchor"))).where("n > 1 and level <= 2")
     # Non-blank lines are numbered once; a section is empty if its count does not move until the next heading.
-    upto = all_lines.withColumn("upto", F.sum((F.trim("line") != "").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
+    upto = all_lines.withColumn("upto", F.sum(F.col("line").rlike(r"(?U)\S").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     total = upto.groupBy("path").agg(F.max("upto").alias("all_lines"))
     placed = headings.join(upto.select("path", "line_no", "upto"), ["path", "line_no"]).join(total, "path")
     nexts = placed.withColumns({"next_level": F.lead("level").over(by_line()), "next_upto": F.lead("upto").over(by_line())})
@@ -166,7 +186,7 @@ def forbidden_files(files: DataFrame) -> DataFrame:
 
 def low_coverage(units: DataFrame, least_share: float = 0.5, least_chars: int = 20) -> DataFrame:
     """Sources with under half of their pages, or under twenty characters a page, in text."""
-    filled = F.count_if(F.trim("text") != "")
+    filled = F.count_if(F.col("text").rlike(r"(?U)\S"))
     per = units.groupBy("source").agg(F.count("*").alias("pages"), filled.alias("filled"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
     return per.where((F.col("filled") < least_share * F.col("pages")) | (F.col("chars") < least_chars * F.col("pages")))
 

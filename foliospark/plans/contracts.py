@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import claims, examples, frontmatter, manifests
+from foliospark.operators import frontmatter, manifests
 from foliospark.plans import vault
 from foliospark.plans.registry import query, table
 
@@ -83,53 +83,6 @@ def unit_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(manifests.mentioned_units(text)).alias("unit"))
 
 
-# Lines of a note and the claim that the audit finds in them (none: no row).
-CLAIMS = [
-    ("系统保证所有请求成功。", "保证", "ENGINEERING_PROMISE", True),
-    ("论文首次提出该方法。", None, None, None),
-    ("首次提出该方法。", "首次提出", "EMPIRICAL_OVERCLAIM", True),
-    ("如果网络正常，保证所有请求。", None, None, None),
-    ("通常保证成功。", "保证", "MANUAL_REVIEW", True),
-    ("是否必然收敛？", None, None, None),
-    ("法律必然要求。", "必然", "POLICY_OR_LEGAL_CLAIM", True),
-]
-
-
-def _case(column: int) -> str:
-    shown = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'"
-    return f"CASE k % {len(CLAIMS)} " + " ".join(f"WHEN {k} THEN {shown(row[column])}" for k, row in enumerate(CLAIMS)) + " END"
-
-
-@query(f"SELECT path, 2 AS line_no, {_case(1)} AS term, trim({_case(0)}) AS sentence, {_case(2)} AS category, {_case(3)} AS high_confidence FROM (SELECT s_suppkey AS path, s_suppkey AS k FROM supplier) WHERE {_case(1)} IS NOT NULL")
-def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute claims of notes; headings and fences hold the same words and do not count."""
-    lines = F.array(*[F.lit(row[0]) for row in CLAIMS])
-    line = F.element_at(lines, (F.col("s_suppkey") % len(CLAIMS) + 1).cast("int"))
-    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.concat(F.lit("# 保证所有\n"), line, F.lit("\n```\n系统保证所有请求成功。\n```")).alias("text"))
-    return claims.audit(claims.prose_lines(docs))
-
-
-# Notes with one example each: kind, type, grade and role.
-EXAMPLES = [
-    ("## 例题\n题目：已知 a = 2，求 a 加 3 的值，先代入再计算，因此得到 5，注意条件不变，所以答案为 5，这个结论说明加法的含义，并且它只在整数的条件下成立，不能随意推广。", "narrative", "计算型", "A", "worked_example"),
-    ("例题：求和\n\n答案 五", "inline", "概念型", "D", "insufficient_conditions"),
-    ("示例代码\n```python\ndef f():\n    return 1 + 1  # long enough to be graded as code, really\n```", "code", "代码型", "B", "worked_example"),
-    ("no exercise at all", None, None, None, None),
-]
-
-
-def _example(column: int) -> str:
-    return f"CASE k % {len(EXAMPLES)} " + " ".join(f"WHEN {k} THEN " + ("NULL" if row[column] is None else f"'{row[column]}'") for k, row in enumerate(EXAMPLES)) + " END"
-
-
-@query(f"SELECT path, {_example(1)} AS kind, {_example(2)} AS type, {_example(3)} AS grade, {_example(4)} AS role FROM (SELECT s_suppkey AS path, s_suppkey AS k FROM supplier) WHERE {_example(1)} IS NOT NULL")
-def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worked examples with type, grade and role."""
-    text = F.element_at(F.array(*[F.lit(row[0]) for row in EXAMPLES]), (F.col("s_suppkey") % len(EXAMPLES) + 1).cast("int"))
-    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), text.alias("text"))
-    return examples.graded(examples.examples(docs)).select("path", "kind", "type", "grade", "role")
-
-
 @query(
     f"WITH notes AS ({vault.NOTES}), "
     + r"""p AS (SELECT *, string_split(path, '/')[1] AS dir, regexp_replace(regexp_extract(path, '[^/]*$'), '\.md$', '') AS stem FROM notes)

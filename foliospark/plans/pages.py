@@ -56,18 +56,23 @@ def url_audit_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.audit_form(F.col("url")).alias("form"))
 
 
-@query("WITH s(status, ord) AS (VALUES ('OK', 0), ('REDIRECT', 1), ('STALE_VERSION', 2), ('AUTH_REQUIRED', 3), ('PAYWALL', 4), ('ROBOTS_BLOCKED', 5), ('RATE_LIMITED', 6), ('TEMPORARY_FAILURE', 7), ('NOT_FOUND', 8), ('DOMAIN_GONE', 9), ('MANUAL_REVIEW', 10)), "
-       "c AS (SELECT url, CASE WHEN page_id % 5 = 4 THEN NULL ELSE [200, 301, 404, 503][(page_id % 5 + 1)::INT] END AS code FROM pages), "
-       "k AS (SELECT CASE WHEN code IS NULL THEN 'MANUAL_REVIEW' WHEN code < 300 THEN 'OK' WHEN code < 400 THEN 'REDIRECT' WHEN code = 404 THEN 'NOT_FOUND' ELSE 'TEMPORARY_FAILURE' END AS status FROM c) "
+_CODES = "SELECT page_id, url, CASE WHEN page_id % 19 = 7 THEN NULL ELSE 200 + (page_id * 37 % 420) // (1 + page_id % 2 * 2) END AS code, page_id % 3 = 0 AS moved, page_id % 2 = 0 AS barred FROM pages"
+
+
+@query(f"WITH s AS (SELECT unnest({urls.STATUSES}) AS status), c AS ({_CODES}), "
+       "k AS (SELECT CASE WHEN code IS NULL THEN 'MANUAL_REVIEW' WHEN code < 300 THEN CASE WHEN moved THEN 'REDIRECT' ELSE 'OK' END WHEN code IN (301, 302, 303, 307, 308) THEN 'REDIRECT' WHEN code = 401 THEN 'AUTH_REQUIRED' WHEN code = 402 THEN 'PAYWALL' "
+       "WHEN code = 403 THEN CASE WHEN barred THEN 'ROBOTS_BLOCKED' ELSE 'MANUAL_REVIEW' END WHEN code = 404 THEN 'NOT_FOUND' WHEN code = 410 THEN 'DOMAIN_GONE' WHEN code = 429 THEN 'RATE_LIMITED' WHEN code BETWEEN 500 AND 599 THEN 'TEMPORARY_FAILURE' ELSE 'MANUAL_REVIEW' END AS status FROM c) "
        "SELECT s.status, count(k.status) AS n FROM s LEFT JOIN k ON s.status = k.status GROUP BY ALL")
 def url_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit results by status against a result cache made from the page ids; absent statuses count zero."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    seen = pages.select(F.concat_ws(" ", "page_id", "url").alias("url"), "page_id")
-    code = F.element_at(F.array(*map(F.lit, (200, 301, 404, 503))), (F.col("page_id") % 5 + 1).cast("int"))
-    cache = seen.where("page_id % 5 <> 4").select(F.sha2("url", 256).alias("key"), code.alias("http_status"))
+    """Audit results of all pages by status, against a result cache with every kind of HTTP code, other final URLs and robot headers; absent statuses count zero."""
+    key = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws("", "url", F.lit("&k="), "page_id").alias("url"))
+    code = (200 + F.floor((key * 37 % 420) / (1 + key % 2 * 2))).cast("int")
+    final = F.when(key % 3 == 0, F.concat("url", F.lit("/moved"))).otherwise(F.concat(F.upper(F.substring("url", 1, 5)), F.expr("substring(url, 6)")))
+    known = pages.where("page_id % 19 <> 7")
+    cache = known.select(F.sha2("url", 256).alias("key"), code.alias("http_status"), final.alias("final_url"), F.when(key % 2 == 0, "Robots").otherwise("nginx").alias("robots"))
     statuses = spark.createDataFrame([(s,) for s in urls.STATUSES], "status string")
-    counted = web.audit(seen.select("url"), cache).groupBy("status").agg(F.count("*").alias("c"))
+    counted = web.audit(pages.select("url"), cache).groupBy("status").agg(F.count("*").alias("c"))
     return statuses.join(counted, "status", "left").select("status", F.coalesce("c", F.lit(0)).alias("n"))
 
 
@@ -78,10 +83,15 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", (F.col("p.title") != "").alias("has_title"))
 
 
-@query("SELECT page_id, regexp_matches(substr(html, 1, 20000), '(?i)<input[^>]+type=[\"'']password|\\b(sign\\s*in|log\\s*in|login|required\\s+login)\\b|登录|登入') AS login_page FROM pages")
+_ASKING = "CASE page_id % 5 WHEN 0 THEN 'you can log in later ' WHEN 1 THEN '<title>Log  In here</title> please login ' WHEN 2 THEN '登录 your Password ' WHEN 3 THEN 'password only ' ELSE '' END || html"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_ASKING} AS html FROM pages), h AS (SELECT page_id, substr(html, 1, 20000) AS head, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, url FROM p)
+SELECT page_id, regexp_matches(head, '(?i)<input[^>]+type=["'']password|\\b(sign\\s*in|log\\s*in|login|required\\s+login)\\b|登录|登入') AND (contains(lower(head), 'password') OR regexp_matches(lower(title), 'login|sign in|log in')) AS login_page FROM h""")
 def login_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that look like a sign-in."""
-    return web.access_class(table(spark, sf_dir, "pages")).select("page_id", "login_page")
+    """Pages that ask for a sign-in, four in five of which speak of it in one way or another."""
+    said = F.element_at(F.array(*map(F.lit, ("you can log in later ", "<title>Log  In here</title> please login ", "登录 your Password ", "password only ", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    return web.access_class(table(spark, sf_dir, "pages").withColumn("html", F.concat(said, "html"))).select("page_id", "login_page")
 
 
 @query(_ANCHORS + ", h AS (SELECT DISTINCT host FROM e), d AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) SELECT coalesce(h.host, d.host) AS host, CASE WHEN h.host IS NULL THEN 'right' WHEN d.host IS NULL THEN 'left' ELSE 'both' END AS side FROM h FULL JOIN d ON h.host = d.host")

@@ -1,4 +1,4 @@
-"""Queries of the vault's policies over notes made from keys, and of dependencies between parts."""
+"""Queries of dependencies between parts and of the checks that changes ask for."""
 
 from __future__ import annotations
 
@@ -8,31 +8,6 @@ from pyspark.sql import functions as F
 from foliospark.operators import policies
 from foliospark.plans.registry import query, table
 
-# Texts of notes by the supplier's key.
-LINKED = ["## 知识链接\n\n关联阅读：[[a]]\n", "text\n关联阅读：[[a]][[b]][[c]][[d]][[e]]\n", "text\n关联阅读：[[a]]\n"]
-CODED = ["x\n```python\na = 1\n```\n", "x\n```python\na =\n```\n", "x\n<!-- runnable: python -->\n```python\ndef f():\n    return (\n```\n", "plain"]
-
-
-def _texts(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
-    chosen = F.element_at(F.array(*map(F.lit, texts)), (F.col("s_suppkey") % len(texts) + 1).cast("int"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), chosen.alias("text"))
-
-
-@query(
-    "SELECT 'link_dump_section' AS rule, s_suppkey::VARCHAR AS path, 1 AS line_no FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'poor_link_context', s_suppkey::VARCHAR, 3 FROM supplier WHERE s_suppkey % 3 = 0 "
-    "UNION ALL SELECT 'dense_related_links', s_suppkey::VARCHAR, 2 FROM supplier WHERE s_suppkey % 3 = 1"
-)
-def study_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link dumps, dense lines and links without a paragraph before them."""
-    return policies.study_links(_texts(spark, sf_dir, LINKED)).select("rule", "path", "line_no")
-
-
-@query("SELECT s_suppkey::VARCHAR AS path, CASE s_suppkey % 4 WHEN 2 THEN 4 ELSE 3 END AS line_no, s_suppkey % 4 = 2 AS marked, s_suppkey % 4 = 0 AS sound FROM supplier WHERE s_suppkey % 4 <> 3")
-def python_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python blocks of notes, whether they are marked runnable, and whether they parse."""
-    found = policies.code_blocks(_texts(spark, sf_dir, CODED), "python")
-    return found.select("path", "line_no", "marked", policies.python_syntax("code")["message"].isNull().alias("sound"))
-
 
 @query("WITH RECURSIVE c(src, dst) AS (SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3 UNION SELECT c.src, c.dst // 3 FROM c WHERE c.dst >= 3) SELECT src, dst FROM c")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,14 @@ ON n.path = CASE WHEN target LIKE '../%' THEN regexp_replace(l.path, '/[^/]*/[^/
 
 @query(_INLINE)
 def markdown_link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inline links between notes, relative to their folder."""
+    """Inline links between notes, relative to their folder; destinations end at a blank (``inline_link_status`` has the tokenizer)."""
+    rows = notes(spark, sf_dir)
+    return links.resolve_markdown(links.pattern_links(rows), rows).select("path", "target", "status")
+
+
+@query(_INLINE.replace(r"'[^!]\[[^\]\[]*\]\(([^)\s]+)[^)]*\)', 1)", r"'[^!]\[[^\]\[]*\]\(([^)\s]+)\)', 1)"))
+def inline_link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline links by the tokenizer, resolved; a bare destination with a blank in it is no link."""
     rows = notes(spark, sf_dir)
     return links.resolve_markdown(links.markdown_links(rows), rows).select("path", "target", "status")
 
@@ -102,7 +109,7 @@ def markdown_link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WIKI + ", s AS (SELECT DISTINCT lower(replace(trim(regexp_extract(raw, '#([^|]*)', 1)), ' ', '-')) AS k, hit, path FROM r WHERE status IN ('ok', 'self') AND contains(raw, '#')) SELECT path, hit, k AS anchor_key FROM s WHERE k <> 'overview'")
 def missing_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to headings that their target lacks."""
-    found = links.missing_anchors(_resolved(spark, sf_dir), frames.headings(notes(spark, sf_dir)))
+    found = links.missing_anchors(_resolved(spark, sf_dir), frames.headings(notes(spark, sf_dir), underlined=True))
     return found.select("path", "hit", "anchor_key").distinct()
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +18,26 @@ SETTINGS = {
 def get_session(app: str = "foliospark", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | extra)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+_OWN_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a local one under a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="foliospark-"))
+    return _OWN_FOLDER[0]
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder: cuts the lineage of iterations and outlives executors."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -77,13 +77,29 @@ def page_links(pages: DataFrame) -> DataFrame:
     return kept.withColumn("kind", kind).withColumn("provenance_only", urls.provenance_helper(F.col("link"), F.col("label"), F.col("kind")))
 
 
+#: Words of a title that, with a sign-in text, make a sign-in page.
+LOGIN_TITLES = "login|sign in|log in"
+LOGIN_CHARS = 20_000
+
+
 def access_class(pages: DataFrame) -> DataFrame:
-    """Adds ``login_page``: a password field or a sign-in text in the first 20 000 characters."""
-    return pages.withColumn("login_page", F.coalesce(F.substring("html", 1, 20_000).rlike(LOGIN), F.lit(False)))
+    """Adds ``login_page``: a sign-in text in the first 20 000 characters, and there the word password, or a sign-in word in the title.
+
+    A page without a title has its file name, or its URL, as one.
+    """
+    head = F.substring("html", 1, LOGIN_CHARS)
+    named = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    place = F.regexp_extract(urls.url_path(F.col("url")), "([^/]*)/*$", 1)
+    title = F.coalesce(F.nullif(named, F.lit("")), F.nullif(place, F.lit("")), F.col("url"))
+    asks = head.rlike(LOGIN) & (F.lower(head).contains("password") | F.lower(title).rlike(LOGIN_TITLES))
+    return pages.withColumn("login_page", F.coalesce(asks, F.lit(False)))
 
 
 def audit(urls_seen: DataFrame, cache: DataFrame) -> DataFrame:
-    """URLs against a result cache keyed by digest; what it lacks needs a review by hand."""
+    """URLs against a result cache keyed by digest (``http_status``, optional ``final_url`` and ``robots`` headers); what it lacks needs a review by hand."""
     keyed = urls_seen.withColumn("key", F.sha2("url", 256))
-    joined = keyed.join(cache, "key", "left")
-    return joined.select("url", F.coalesce(urls.status_class(F.col("http_status")), F.lit("MANUAL_REVIEW")).alias("status"), "http_status", F.col("http_status").isNotNull().alias("cached"))
+    given = cache.columns
+    extra = {c: F.col(c) if c in given else F.lit(None).cast("string") for c in ("final_url", "robots")}
+    joined = keyed.join(cache.withColumns(extra), "key", "left")
+    status = urls.status_class(F.col("http_status"), F.col("url"), F.coalesce("final_url", "url"), F.col("robots"))
+    return joined.select("url", status.alias("status"), "http_status", F.col("http_status").isNotNull().alias("cached"))
