@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import contracts, courses, documents, marks, pages, policies, scalars, tables, vault
+from foliospark.plans import contracts, courses, decks, documents, marks, pages, policies, registers, scalars, tables, vault
 from foliospark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["contracts", "courses", "documents", "marks", "pages", "policies", "scalars", "tables", "vault"]
+__all__ = ["contracts", "courses", "decks", "documents", "marks", "pages", "policies", "registers", "scalars", "tables", "vault"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

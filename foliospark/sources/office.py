@@ -160,12 +160,15 @@ class Compound:
         self.size, self.mini_size = 1 << shift, 1 << mini_shift
         fat_count, directory, self.cutoff, mini_fat, _, difat, difat_count = struct.unpack_from("<II4xIIIII", data, 44)
         places = list(struct.unpack_from("<109I", data, 76))
-        for _ in range(min(difat_count, len(data) // self.size)):
+        for _ in range(difat_count):
             if difat >= END_OF_CHAIN:
-                break
+                raise ValueError("allocation table list shorter than declared")
             *more, difat = self._numbers(self._sector(difat))
             places += more
-        self.fat = [n for place in [p for p in places if p < END_OF_CHAIN][:fat_count] for n in self._numbers(self._sector(place))]
+        held = [p for p in places if p < END_OF_CHAIN][:fat_count]
+        if len(held) < fat_count:
+            raise ValueError("allocation table shorter than declared")
+        self.fat = [n for place in held for n in self._numbers(self._sector(place))]
         self.entries = self._directory(self._chain(directory))
         root = next((e for e in self.entries.values() if e[0] == 5), None)
         self.small = self._chain(root[1])[: root[2]] if root else b""
