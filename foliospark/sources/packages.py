@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import tarfile
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 # Budgets of a package.
 MAX_ENTRIES, MAX_MEMBER, MAX_TOTAL, MAX_RATIO = 100_000, 512 << 20, 2 << 30, 1000
+# Parts that every slide package has.
+DECK_PARTS = ["[Content_Types].xml", "_rels/.rels", "ppt/presentation.xml"]
 _TEXT = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _SHAPE = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 
@@ -49,6 +52,41 @@ def _entry_problem(entry: zipfile.ZipInfo, pos: int) -> str | None:
     return None
 
 
+def tar_members(files: DataFrame, prefix: str = "") -> DataFrame:
+    """Regular files of tar archives below ``prefix``: ``path``, ``name`` (relative), ``size``, ``sha256``; an unreadable archive is one row with a ``problem``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as archive:
+                        for entry in archive:
+                            if entry.isfile() and entry.name.startswith(prefix):
+                                data = archive.extractfile(entry).read()
+                                rows.append((path, entry.name[len(prefix) :], len(data), hashlib.sha256(data).hexdigest(), None))
+                except tarfile.TarError as error:
+                    rows.append((path, None, None, None, type(error).__name__))
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "sha256", "problem"]).astype({"size": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, size long, sha256 string, problem string")
+
+
+def deck_problems(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """``path``, ``slides``, ``problem`` of slide packages: unreadable, without parts that a deck needs, with another number of slides than ``expected`` (path, slides), or with a gap in their numbers."""
+    found = members(files)
+    number = F.regexp_extract("name", r"^ppt/slides/slide([0-9]+)\.xml$", 1)
+    counted = found.groupBy("path").agg(
+        F.max("problem").alias("broken"),
+        F.count_if(F.col("name").isin(DECK_PARTS)).alias("parts"),
+        F.count_if(number != "").alias("slides"),
+        F.max(F.when(number != "", number.cast("int"))).alias("last"),
+    )
+    joined = expected.select("path", F.col("slides").alias("wanted")).join(counted, "path", "left")
+    problem = F.when(F.col("slides").isNull(), "missing").when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("parts") < len(DECK_PARTS), "parts").when(F.col("slides") != F.col("wanted"), "slides").when(F.col("last") != F.col("slides"), "numbers")
+    return joined.select("path", F.coalesce("slides", F.lit(0)).alias("slides"), problem.alias("problem"))
+
+
 def safe_entry(name: Column) -> Column:
     """A relative, normalised path without parent steps, drive letters or backslashes."""
     return ~(name.rlike(r"^/|\\|^[A-Za-z]:|(^|/)\.{1,2}(/|$)|//") | (name == ""))
