@@ -8,17 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder serves a local master only (tests); on a
+    cluster the executors would not see one another's files, so it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="foliospark-"))
     return _OWN_DIR[0]
@@ -115,6 +121,39 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words >> (bits & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Keys that are told to be hot, at most, and the summary's size: both fixed, whatever the input.
+HOT_KEYS, TRACKED_KEYS = 1000, 10_000
+#: Members from which a key's group is dealt over many tasks before any task sees it.
+HOT_MEMBERS = 10_000
+
+
+def hot_keys(keyed: DataFrame, column: str, members: int) -> list[int]:
+    """Keys with more than ``members`` rows, by a frequent-items summary made in Spark (at most ``HOT_KEYS``).
+
+    It only decides how rows are dealt, so that a key it misses costs time and no result.
+    """
+    found = keyed.selectExpr(f"approx_top_k({column}, {HOT_KEYS}, {TRACKED_KEYS}) as top").first()["top"] or []
+    return [r["item"] for r in found if r["item"] is not None and r["count"] > members]
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, spread: Column, members: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row per ``key``) without a hot key in one task.
+
+    ``facts`` holds in ``members`` how many of ``rows`` have the key.  Keys of
+    more than a thousandth of them (and of 1000 at least) are at most 1000;
+    their rows are dealt by ``spread`` and their facts are repeated as often.
+    """
+    total = facts.agg(F.sum(members)).first()[0] or 0
+    hot = [r[0] for r in facts.where(F.col(members) > max(1000, int(total) // 1000)).select(key).collect()]
+    if not hot:
+        return rows.join(facts, key, how)
+    salt, salts = fresh("folio_salt", rows.columns + facts.columns), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    right = facts.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], key_columns: list[str]) -> Iterator[pa.Table]:
     """Whole groups of a stream sorted by ``key_columns``, several at a time.
 
@@ -177,11 +216,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[label[keep]])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph of long nodes: ``node``, ``component`` (the smallest node reachable).
 
     ``edges`` has the long columns ``u`` and ``v``.  Alternating large-star and
-    small-star rounds, each written to the shared folder.  Only nodes with an
+    small-star rounds, each written to the shared folder, until none changes an
+    edge; their number grows with the logarithm of the nodes.  Only nodes with an
     edge to another node appear.  An empty table gives an empty table; nulls
     and loops are ignored.
     """
@@ -189,9 +229,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     now = materialize(clean.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     tally = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = tally(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -206,7 +244,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._folio_path = now._folio_path  # for ``discard``
+    return out

@@ -9,13 +9,15 @@ into fragments; a document's set falls into one segment per fragment.
   Keys that a shared passage makes equal by chance are weeded out on counts per
   fragment: their L1 distance never exceeds what differs between two sets, so
   leaders with a triangle bound join whatever may be linked, and little else.
-* Verification: the overlap of a pair is counted fragment by fragment and the
-  partial overlaps are summed.
+* Verification: the order is cut into fragments of its own; the n-grams of the
+  candidates are dealt by fragment, a task counts the partial overlaps of its
+  fragment, and a second step sums them per pair and compares with the sizes.
 
 Equal sets are collapsed first, so copies cost one representative.  Candidate
 groups are never expanded into rows of pairs: a group of heavy total weight is
-dealt into blocks, and each pair of blocks is one bounded task that returns a
-spanning forest and link counts.
+dealt into blocks, the partial overlaps of a pair of blocks in a fragment are
+one row, and what leaves the sum is a spanning forest and link counts.  Keys and
+classes that very many rows share are dealt over many tasks before any sees them.
 
 Cases: null or blank texts, and texts without a word, have an empty set and no
 links.  Texts of fewer words than ``n`` form one n-gram of the whole sequence.
@@ -36,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import binary_column, bounded_batches, connected_components, discard, group_starts, in_bitmap, key_bitmap, local_components, materialize, mix64, slices, sorted_runs
+from foliospark.llm._common import HOT_MEMBERS, binary_column, bounded_batches, connected_components, discard, group_starts, hot_keys, in_bitmap, key_bitmap, local_components, materialize, mix64, salted_join, slices, sorted_runs
 
 #: N-grams and classes in one verification block: they bound a task's memory, not the result.
 BLOCK_WEIGHT, BLOCK_SETS = 1_000_000, 1024
 #: Classes in one block of a key that many share, and members up to which a key's group is named by its member set.
 BLOCK_CLASSES, NAMED_GROUP = 2048, 512
-#: Equal cuts of the hash order in which partial overlaps are counted.
-COUNT_FRAGMENTS = 16
+#: Equal cuts of the hash order: partial overlaps are counted in each of them apart.
+COUNT_FRAGMENTS = 8
 #: Fresh orders tried when a fragment is empty, before emptiness itself is a key.
 ROTATIONS = 8
 WORD_CACHE = 200_000
@@ -123,43 +125,30 @@ def fragment_counts(grams: np.ndarray) -> bytes:
     return np.minimum(np.bincount(_fragment_of(grams, cuts).astype(np.int64), minlength=cuts), 255).astype(np.uint8).tobytes()
 
 
-def _signatures(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
-        for batch in slices(batches):
-            sizes, classes, counts = [], [], []
-            for text in binary_column(batch, "text"):
-                grams = ngram_set(text.lower().split(), n, cache) if text else ()
-                sizes.append(len(grams))
-                classes.append(class_of(grams) if len(grams) else None)
-                counts.append(fragment_counts(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary())], names=["id", "n", "cls", "counts"])
-            if len(cache) > WORD_CACHE:
-                cache.clear()
-
-    return run
-
-
-def _segments(n: int, percent: int):
-    """Keys of the segments, once per task and class, so that copies add no rows."""
+def _features(n: int, percent: int):
+    """The one pass over the texts: size, name and counts of every set, and its segment keys once per task and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, met = _WordHash(), set()
         for batch in slices(batches):
-            keys, names, held = [], [], 0
-            for text in binary_column(batch, "text"):
+            rows: list[tuple] = []
+            first = held = 0
+            for r, text in enumerate(binary_column(batch, "text")):
                 grams = ngram_set(text.lower().split(), n, cache) if text else ()
-                if not len(grams) or (name := class_of(grams)) in met:
-                    continue
-                met.add(name)
-                keys.append(segment_keys(grams, percent).view(np.int64))
-                names.append(name)
-                held += len(keys[-1])
-                if held > 500_000:
-                    yield _pairs(keys, names)
-                    keys, names, held = [], [], 0
-            if keys:
-                yield _pairs(keys, names)
+                if len(grams):
+                    name, keys = class_of(grams), None
+                    if name not in met:
+                        met.add(name)
+                        keys = segment_keys(grams, percent).view(np.int64)
+                        held += len(keys)
+                    rows.append((len(grams), name, fragment_counts(grams), keys))
+                else:
+                    rows.append((0, None, None, None))
+                if held > 200_000:
+                    yield _rows(batch.slice(first, r + 1 - first), rows)
+                    rows, first, held = [], r + 1, 0
+            if rows:
+                yield _rows(batch.slice(first), rows)
             if len(cache) > WORD_CACHE:
                 cache.clear()
             if len(met) > WORD_CACHE:
@@ -168,9 +157,10 @@ def _segments(n: int, percent: int):
     return run
 
 
-def _pairs(keys: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
-    items = np.repeat(np.array(names, dtype=np.int64), [len(k) for k in keys])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(items)], names=["key", "item"])
+def _rows(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    size, name, counts, keys = zip(*rows, strict=True)
+    lists = pa.array(keys, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(counts, pa.binary()), lists], names=["id", "n", "cls", "counts", "keys"])
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,83 +239,134 @@ def _loose_edges(percent: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The overlap of every pair of a block's sets: partial counts per fragment, summed."""
-    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    part = _fragment_of(values, COUNT_FRAGMENTS)
-    for fragment in range(COUNT_FRAGMENTS):
-        here = part == fragment
-        v, d = values[here], owner[here]
-        order = np.argsort(v, kind="stable")
-        v, d = v[order], d[order]
-        begin = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, dtype=np.int64)
-        held_by = np.diff(np.append(begin, len(v)))
-        for c in np.unique(held_by[(held_by > 1) & (held_by <= 24)]):
-            rows = d[begin[held_by == c][:, None] + np.arange(c)]
-            i, j = np.triu_indices(int(c), 1)
-            for lo in range(0, len(rows), 20_000):
-                flat = (rows[lo : lo + 20_000, i].astype(np.int64) * len(sets) + rows[lo : lo + 20_000, j]).ravel()
-                at, times = np.unique(flat, return_counts=True)
-                total.ravel()[at] += times
-        wide = np.flatnonzero(held_by > 24)
-        step = max(1, 8_000_000 // len(sets))
-        for lo in range(0, len(wide), step):
-            chosen = wide[lo : lo + step]
-            dense = np.zeros((len(sets), len(chosen)), dtype=np.float32)
-            for col, g in enumerate(chosen):
-                dense[d[begin[g] : begin[g] + held_by[g]], col] = 1
-            total += np.triu(dense @ dense.T, 1)
-    return total
-
-
-def _texts(n: int, ids: np.ndarray, names: np.ndarray):
-    """Class and text of the rows that may represent a candidate class; the bitmaps only spare work."""
+def partial_overlaps(values: np.ndarray, owner: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlaps of the sets of each group in one fragment: rows ``i`` < ``j`` and the n-grams both hold.
+
+    ``values`` are n-grams, ``owner`` their rows, and ``group`` the group of each row.
+    """
+    order = np.lexsort((values, group[owner]))
+    v, d = values[order], owner[order]
+    g = group[d]
+    begin = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (g[1:] != g[:-1]))) if len(v) else np.empty(0, dtype=np.int64)
+    held_by = np.diff(np.append(begin, len(v)))
+    rows, found = len(group), []
+    for c in np.unique(held_by[(held_by > 1) & (held_by <= 24)]):
+        members = np.sort(d[begin[held_by == c][:, None] + np.arange(c)], axis=1)
+        i, j = np.triu_indices(int(c), 1)
+        for lo in range(0, len(members), 20_000):
+            flat = (members[lo : lo + 20_000, i].astype(np.int64) * rows + members[lo : lo + 20_000, j]).ravel()
+            found.append(np.unique(flat, return_counts=True))
+    wide = np.flatnonzero(held_by > 24)
+    for k in np.unique(g[begin[wide]]) if len(wide) else ():
+        base, sets = int(np.searchsorted(group, k)), int((group == k).sum())
+        total = np.zeros((sets, sets), dtype=np.int64)
+        mine = wide[g[begin[wide]] == k]
+        step = max(1, 4_000_000 // sets)
+        for lo in range(0, len(mine), step):
+            chosen = mine[lo : lo + step]
+            dense = np.zeros((sets, len(chosen)), dtype=np.float32)
+            for col, run in enumerate(chosen):
+                dense[d[begin[run] : begin[run] + held_by[run]] - base, col] = 1
+            total += np.triu(dense @ dense.T, 1).astype(np.int64)
+        i, j = np.nonzero(total)
+        found.append(((i + base) * rows + j + base, total[i, j]))
+    pair, shared = summed(found)
+    return pair // rows, pair % rows, shared
+
+
+def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of several counts, and their counts' sums."""
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    pair, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+    total = np.zeros(len(pair), dtype=np.int64)
+    np.add.at(total, at, np.concatenate([c for _, c in found]).astype(np.int64))
+    return pair, total
+
+
+def _candidates(n: int, ids: np.ndarray, names: np.ndarray):
+    """Class and n-grams, by fragment, of the rows that may represent a candidate class; the bitmaps only spare work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHash()
+        cache, met = _WordHash(), set()
         for batch in slices(batches):
             id_ = batch.column("id")
             maybe = in_bitmap(ids, mix64(id_.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)) | id_.is_null().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(maybe))
-            texts = binary_column(batch, "text")
-            sets = [ngram_set(t.lower().split(), n, cache) if t else () for t in texts]
-            cls = np.array([class_of(g) if len(g) else 0 for g in sets], dtype=np.int64)
-            keep = pa.array(in_bitmap(names, cls) & np.array([len(g) > 0 for g in sets], dtype=bool))
-            yield pa.RecordBatch.from_arrays([pa.array(cls), batch.column("text")], names=["cls", "text"]).filter(keep)
+            cls, parts, held = [], [], 0
+            for text in binary_column(batch.filter(pa.array(maybe)), "text"):
+                grams = ngram_set(text.lower().split(), n, cache) if text else ()
+                if not len(grams) or (name := class_of(grams)) in met or not in_bitmap(names, np.array([name]))[0]:
+                    continue
+                met.add(name)
+                cuts = np.searchsorted(_fragment_of(grams, COUNT_FRAGMENTS), np.arange(1, COUNT_FRAGMENTS))
+                cls.append(name)
+                parts.append([p.tobytes() for p in np.split(grams, cuts)])
+                held += len(grams)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["cls", "parts"])
+                    cls, parts, held = [], [], 0
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["cls", "parts"])
             if len(cache) > WORD_CACHE:
                 cache.clear()
+            if len(met) > WORD_CACHE:
+                met.clear()
 
     return run
 
 
-def _verify(n: int, percent: int):
+_PARTIAL = "comp long, bi int, bj int, fragment int, pair array<long>, shared array<long>"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by block pair, fragment and class: the partial overlaps of each block pair in each fragment.
+
+    A pair is named by the ranks of its classes in the block pair, which are the same in every fragment.
+    """
+    by = ["comp", "bi", "bj", "fragment"]
+    for table in sorted_runs(batches, by):
+        cuts = group_starts(table, by)
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        parts = [np.frombuffer(p, dtype=np.uint64) for p in table["part"].to_pylist()]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        block, across = table["block"].to_numpy(), (table["bi"].to_numpy() != table["bj"].to_numpy())
+        i, j, shared = partial_overlaps(np.concatenate(parts), owner, group)
+        wanted = ~across[i] | (block[i] != block[j])
+        i, j, shared = i[wanted], j[wanted], shared[wanted]
+        at = cuts[group[i]]
+        pair = (i - at) * (1 << 31) + (j - at)
+        order = np.argsort(group[i], kind="stable")
+        offsets = np.searchsorted(group[i][order], np.arange(len(cuts)))
+        some = pa.array(np.flatnonzero(np.diff(offsets) > 0))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[order].astype(np.int64))) for c in (pair, shared)]
+        heads = [pa.array(table[c].to_numpy()[cuts[:-1]]) for c in by]
+        yield pa.RecordBatch.from_arrays([*heads, *lists], names=[*by, "pair", "shared"]).take(some)
+
+
+def _settle(percent: int):
+    """From block pairs with their classes (fragment -1) and partial overlaps: links and a spanning forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, cache = ["comp", "bi", "bj"], _WordHash()
+        by = ["comp", "bi", "bj"]
         for table in sorted_runs(batches, by):
             cuts = group_starts(table, by)
-            cls, m, block, bi, bj, multi = (table[c].to_numpy() for c in ("cls", "m", "block", "bi", "bj", "multi"))
-            texts = table["text"].cast(pa.binary())
+            fragment = table["fragment"].to_numpy()
+            cls, size, m, multi = (table[c].to_numpy() for c in ("cls", "n", "m", "multi"))
+            pairs, counts = table["pair"], table["shared"]
             out: list[tuple] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rows = np.arange(a, b)
-                sets = [ngram_set(t.lower().split(), n, cache) for t in texts.slice(a, b - a).to_pylist()]
-                both = overlaps(sets)
-                size = np.array([len(s) for s in sets])
-                i, j = np.nonzero(both)
-                shared = both[i, j].astype(np.int64)
-                good = 100 * shared >= percent * (size[i] + size[j] - shared)
-                if bi[a] != bj[a]:
-                    good &= block[rows[i]] != block[rows[j]]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k = a + int((fragment[a:b] < 0).sum())
+                found = [(pairs[r].values.to_numpy(), counts[r].values.to_numpy()) for r in range(k, b)]
+                pair, shared = summed(found)
+                i, j = pair >> 31, pair & ((1 << 31) - 1)
+                n, times = size[a:k], m[a:k]
+                good = 100 * shared >= percent * (n[i] + n[j] - shared)
                 i, j = i[good], j[good]
-                links = np.zeros(len(rows), dtype=np.int64)
-                np.add.at(links, i, m[rows[j]])
-                np.add.at(links, j, m[rows[i]])
-                root = local_components(len(rows), i, j)
-                out.append((cls[rows], cls[rows[root]], links, multi[rows]))
-                if len(cache) > WORD_CACHE:
-                    cache.clear()
+                links = np.zeros(k - a, dtype=np.int64)
+                np.add.at(links, i, times[j])
+                np.add.at(links, j, times[i])
+                root = local_components(k - a, i, j)
+                out.append((cls[a:k], cls[a:k][root], links, multi[a:k]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["u", "v", "links", "multi"])
 
@@ -338,45 +379,63 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``component`` is the smallest id reachable by links (its own id for a row
     without links).  ``percent`` is the similarity bound in hundredths.
     """
-    base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_signatures(n), "id long, n long, cls long, counts binary"), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = materialize(base.mapInArrow(_features(n, percent), "id long, n long, cls long, counts binary, keys array<long>"), "signatures")
+    known = signed.where("cls is not null")
+    classes = known.groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
 
     # Classes that share a segment and may be alike, joined loosely; only these are verified.
-    dealt = base.where("text is not null").mapInArrow(_segments(n, percent), "key long, item long").repartition("key").sortWithinPartitions("key", "item")
-    groups = materialize(dealt.mapInArrow(shared_keys, "grp long, cls long, hot boolean").distinct(), "groups")
+    keyed = signed.where("keys is not null").select(F.explode("keys").alias("key"), F.col("cls").alias("item"))
+    hot = hot_keys(keyed, "key", HOT_MEMBERS)
+    dealt = (keyed.where(~F.col("key").isin(hot)) if hot else keyed).repartition("key").sortWithinPartitions("key", "item")
+    shared = dealt.mapInArrow(shared_keys, "grp long, cls long, hot boolean")
+    if hot:  # members of a hot key meet in blocks only
+        shared = shared.union(keyed.where(F.col("key").isin(hot)).select("key", "item", F.lit(True)))
+    groups = materialize(shared.distinct(), "groups")
     weights = groups.where("hot").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK_CLASSES)).cast("int").alias("nb"))
     sized = groups.where("not hot").select("grp", "cls", F.lit(1).alias("nb")).union(groups.where("hot").join(weights, "grp").select("grp", "cls", "nb"))
-    known = signed.where("cls is not null").select("cls", "n", "counts").dropDuplicates(["cls"])
-    members = _block_pairs(sized.join(known, "cls")).select("grp", "bi", "bj", "cls", "n", "counts")
+    members = _block_pairs(sized.join(known.select("cls", "n", "counts").dropDuplicates(["cls"]), "cls")).select("grp", "bi", "bj", "cls", "n", "counts")
     by = ["grp", "bi", "bj"]
     loose = connected_components(members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_loose_edges(percent), "u long, v long"))
     discard(groups)
     found = classes.join(loose.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     weights = found.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("nb"))
     found = materialize(found.join(weights, "comp"), "found")
-
-    hashed = found.select("cls", "low").where("low is not null")
-    ids = key_bitmap(hashed.mapInArrow(_hash_ids, "h long"), "h")
-    texts = base.where("text is not null").mapInArrow(_texts(n, ids, key_bitmap(found, "cls")), "cls long, text string").dropDuplicates(["cls"])
-    held = texts.join(found.select("comp", "cls", "m", "nb"), "cls")
-
-    sides = _block_pairs(held).select("comp", "bi", "bj", "block", "cls", "m", (F.col("nb") > 1).alias("multi"), "text")
+    discard(loose)
+
+    # The order of n-grams is cut into fragments: a task counts the overlaps of a pair of blocks in one of them.
+    sides = _block_pairs(found).select("comp", "bi", "bj", "block", "cls", "n", "m", (F.col("nb") > 1).alias("multi"))
+    ids = key_bitmap(found.select("low").where("low is not null").mapInArrow(_hash_ids, "h long"), "h")
+    parts = base.where("text is not null").mapInArrow(_candidates(n, ids, key_bitmap(found, "cls")), "cls long, parts array<binary>").dropDuplicates(["cls"])
+    postings = sides.join(parts, "cls").select("comp", "bi", "bj", F.posexplode("parts").alias("fragment", "part"), "cls", "block")
+    by = ["comp", "bi", "bj", "fragment"]
+    partial = postings.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(_count, _PARTIAL)
+
+    # The partial overlaps of a pair, summed over the fragments, against the sizes of its sets.
+    empty = F.lit(None).cast("array<long>")
+    heads = sides.select("comp", "bi", "bj", F.lit(-1).alias("fragment"), "cls", "n", "m", "multi", empty.alias("pair"), empty.alias("shared"))
+    zero = F.lit(0).cast("long")
+    tails = partial.select("comp", "bi", "bj", "fragment", zero.alias("cls"), zero.alias("n"), zero.alias("m"), F.lit(False).alias("multi"), "pair", "shared")
     by = ["comp", "bi", "bj"]
-    checked = materialize(sides.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(n, percent), "u long, v long, links long, multi boolean"), "checked")
+    whole = heads.union(tails).repartition(*by).sortWithinPartitions(*by, "fragment", "cls")
+    checked = materialize(whole.mapInArrow(_settle(percent), "u long, v long, links long, multi boolean"), "checked")
+    discard(found)
 
     links = checked.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
     settled = checked.where("not multi").select(F.col("u").alias("cls"), F.col("v").alias("root"))
     across = checked.where("multi and u <> v").select("u", "v")
+    joined = None
     if not across.isEmpty():
-        joined = connected_components(across).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-        settled = settled.union(joined)
+        joined = connected_components(across)
+        settled = settled.union(joined.select(F.col("node").alias("cls"), F.col("component").alias("root")))
     rooted = classes.select("cls", "low", "m").join(settled, "cls").join(links, "cls")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lowest, "root").select("cls", "component", "links")
-    whole = classes.select("cls", "low", "m").join(named, "cls", "left")
-    whole = whole.select("cls", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "low").alias("component"))
-    out = signed.select("id", "n", "cls").join(whole, "cls", "left")
+    facts = classes.select("cls", "low", "m").join(named, "cls", "left")
+    facts = materialize(facts.select("cls", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "low").alias("component")), "classes")
+    discard(checked)
+    discard(joined)
+    out = salted_join(signed.select("id", "n", "cls"), facts, "cls", F.col("id"), "m", "left")
     return out.select("id", F.col("n").alias("n_grams"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "id").alias("component"))
 
 
@@ -388,5 +447,5 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = mix64(batch.column("low").to_numpy().view(np.uint64)).view(np.int64)
+        h = mix64(batch.column("low").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
