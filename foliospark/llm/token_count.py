@@ -9,11 +9,13 @@ no single-character piece covers scores the least score less 10; neighbouring
 unknown characters are one piece, or their UTF-8 bytes where the vocabulary has
 byte pieces.
 
-Blanks become the word mark, which also starts the text.  No piece holds a word
-mark after another character, so words can be counted apart, and repeated words
-are looked up; a vocabulary that does is counted over whole texts.
+Blanks become the word mark, which also starts the text.  Where no piece holds a
+word mark after another character and all scores are whole numbers, words are
+counted apart and repeated words are looked up.  Any other vocabulary is counted
+over whole texts, by one running sum, as rounding decides ties there.
 
-Cases: null and empty texts have no tokens and the score 0; rows are kept one to
+Cases: null and empty texts have no tokens and the score 0; texts of any length
+are counted whole, with memory for the longest piece only; rows are kept one to
 one, repeated ids included; an empty table gives an empty result.  Other columns
 do not matter.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -49,40 +52,44 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.pieces for b in range(256))
+        self.longest = max((len(p) for p in self.pieces), default=1)
         inner = {a for p in self.pieces if len(p) > 1 for a in p}
-        self.apart = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        # Words apart give the sums of the whole text only where sums are exact: with whole scores.
+        self.apart = self.bytes and not any(MARK in p.lstrip(MARK) for p in self.pieces) and all(float(s).is_integer() for s in self.pieces.values())
         # A line break that no longer piece holds stands alone.
         self.words = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if "\n" not in inner else rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, complex] = {}
+        self.known = _Known(self.segment)
 
     def segment(self, text: str) -> tuple[float, int]:
-        """Best score and number of pieces of a normalised text, by dynamic programming."""
-        n = len(text)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ending: dict[int, list[tuple[int, float]]] = {}
-        for end, found in self.automaton.iter(text):
-            ending.setdefault(end + 1, []).append(found)
-        for end in range(1, n + 1):
-            best, start, single = None, -1, False
-            for length, piece in sorted(ending.get(end, ()), reverse=True):
-                candidate = score[end - length] + piece
-                if best is None or candidate > best:
-                    best, start = candidate, end - length
-                single |= length == 1
-            if not single and (best is None or self.unknown + score[end - 1] > best):
-                score[end], unknown[end] = self.unknown + score[end - 1], True
-                if self.bytes:
-                    count[end] = count[end - 1] + len(text[end - 1].encode())
+        """Best score and number of pieces of a normalised text, by dynamic programming.
+
+        Only the places within the longest piece are held, so memory does not grow with the text.
+        """
+        # Of each place: the score, the pieces on the way, and whether an unknown character ends there.
+        score, count, unknown = [0.0], [0], False
+        base, lowest, longest = 0, self.unknown, self.longest
+        at, best, start, single = 1, None, 0, False
+        # Matches come by their end, the longest first; the last one closes the text's last place.
+        for end, (length, piece) in chain(self.automaton.iter(text), [(len(text), (0, 0.0))]):
+            while at <= end:  # all matches that end at this place are known
+                last = score[-1] + lowest
+                if not single and (best is None or last > best):
+                    score.append(last)
+                    count.append(count[-1] + (len(text[at - 1].encode()) if self.bytes else not unknown))
+                    unknown = True
                 else:
-                    count[end] = count[end - 1] + (not unknown[end - 1])
-            else:
-                score[end], count[end] = best, count[start] + 1
-        return score[n], count[n]
-
-    def _word(self, word: str) -> complex:
-        score, count = self.segment(word)
-        value = self.known[word] = complex(count, score)
-        return value
+                    score.append(best)
+                    count.append(count[start] + 1)
+                    unknown = False
+                at, best, single = at + 1, None, False
+                if len(score) > 1 << 16:
+                    base += len(score) - longest
+                    del score[:-longest], count[:-longest]
+            candidate = score[at - length - base] + piece if length else best
+            if length and (best is None or candidate > best):
+                best, start = candidate, at - length - base
+            single |= length == 1
+        return score[-1], count[-1]
 
     def count(self, text: str | None) -> tuple[int, float]:
         """Number of tokens and score of a raw text."""
@@ -90,17 +97,28 @@ class UnigramCounter:
             return 0, 0.0
         plain = MARK + text.replace(" ", MARK)
         # Without byte pieces a run of unknown characters is one piece, also across words.
-        if not (self.apart and self.bytes):
+        if not self.apart:
             score, count = self.segment(plain)
             return count, score
-        known, total = self.known, 0j
-        for word in self.words.findall(plain):
-            total += known.get(word) or self._word(word)
-        if len(known) > CACHE:
-            known.clear()
+        total = sum(map(self.known.__getitem__, self.words.findall(plain)), 0j)
+        if len(self.known) > CACHE:
+            self.known.clear()
         return int(total.real), total.imag
 
 
+class _Known(dict):
+    """Words met, with their pieces and score as one number."""
+
+    def __init__(self, segment):
+        super().__init__()
+        self.segment = segment
+
+    def __missing__(self, word: str) -> complex:
+        score, count = self.segment(word)
+        value = self[word] = complex(count, score)
+        return value
+
+
 def piece_vocabulary(path: str) -> list[tuple[str, float]]:
     """All pieces of a SentencePiece model file with their scores, in the order of their ids."""
     import sentencepiece
