@@ -11,8 +11,9 @@ Stretches of known words that are shorter than the shortest window cannot hold
 an occurrence and are left out of the index; nothing else is.
 
 Cases: null and wordless texts have no words and no hits; wordless items have
-no window; repeated items each count; items without a name count as any other
-and share the name null; an empty benchmark or document table
+no window; items that share a name are one item; items without a name count as
+any other and share the name null; very long texts may exceed a shard, which then
+holds that one text; an empty benchmark or document table
 gives zero hits or no rows.  Rows are kept one to one, repeated ids included,
 and the other columns pass through untouched.
 """
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import binary_column, bounded_batches, fresh
+from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, materialize
 
 #: Symbols of one index; bounds the memory of a task.
 SHARD_SYMBOLS = 2_000_000
 #: Every so manieth text position keeps its suffix position.
 SAMPLE = 16
-#: The benchmark is a broadcast; this is its checked bound in bytes of text.
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Bytes of benchmark text whose windows a task holds at a time.
+PART_BYTES = 8 << 20
 
 #: Columns that the operator adds; input columns of these names give way.
 ADDED = ("folio_words", "folio_spans", "folio_items")
@@ -123,7 +124,7 @@ class FMIndex:
         hi = np.full(len(patterns), self.n, dtype=np.int64)
         live = np.arange(len(patterns))
         for column in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[live, column] + 1
+            symbol = patterns[live, column].astype(np.int64) + 1
             base = self.counts[symbol]
             lo[live], hi[live] = base + self.tree.rank(symbol, lo[live]), base + self.tree.rank(symbol, hi[live])
             live = live[lo[live] < hi[live]]
@@ -153,10 +154,13 @@ class FMIndex:
 
 @dataclass(frozen=True)
 class Phrases:
-    """The test set: its vocabulary and its windows by length."""
+    """The test set: its vocabulary, and by length its distinct windows with the items that hold them.
+
+    The owners of window k are ``owners[first[k]:first[k + 1]]``.
+    """
 
     vocabulary: dict[bytes, int]
-    windows: dict[int, tuple[np.ndarray, list[list[int]]]]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     items: list[str | None]
     shortest: int
 
@@ -164,13 +168,17 @@ class Phrases:
 def phrases(items: list[tuple[str | None, bytes | None]], window: int) -> Phrases:
     """Windows of ``window`` words of every item; an item of fewer words is one window."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
     for k, (_, text) in enumerate(items):
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1 if ids else 0):
-            found[size][tuple(ids[i : i + size])].add(k)
-    windows = {n: (np.array(list(by), dtype=np.int64), [sorted(v) for v in by.values()]) for n, by in found.items()}
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
+        if size := min(window, len(ids)):
+            rows = np.lib.stride_tricks.sliding_window_view(ids, size)
+            found[size].append((rows, np.full(len(rows), k, dtype=np.int32)))
+    windows = {}
+    for size, parts in found.items():
+        rows, at = np.unique(np.concatenate([r for r, _ in parts]), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([at.ravel(), np.concatenate([o for _, o in parts])], axis=1), axis=0)
+        windows[size] = rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1].astype(np.int32)
     return Phrases(vocabulary, windows, [name for name, _ in items], min(windows, default=0))
 
 
@@ -189,15 +197,19 @@ def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, i
     if len(parts) > 1:
         index = FMIndex(np.concatenate(parts), len(test.vocabulary))
         doc, word = np.concatenate(doc_of), np.concatenate(word_of)
-        for size, (patterns, owners) in test.windows.items():
+        for size, (patterns, first, owners) in test.windows.items():
             lo, hi = index.search(patterns)
             found = np.flatnonzero(lo < hi)
             times = hi[found] - lo[found]
             rows = np.repeat(lo[found] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
             for at, p in zip(index.locate(rows).tolist(), np.repeat(found, times).tolist(), strict=True):
                 spans[doc[at]].append((int(word[at]), int(word[at]) + size))
-                items[doc[at]].update(test.items[k] for k in owners[p])
-    return [(_merge(s), sorted(i, key=lambda name: (name is None, name or ""))) for s, i in zip(spans, items, strict=True)]
+                items[doc[at]].update(test.items[k] for k in owners[first[p] : first[p + 1]])
+    return [(_merge(s), _sorted(i)) for s, i in zip(spans, items, strict=True)]
+
+
+def _sorted(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda name: (name is None, name or ""))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,12 +229,16 @@ class _Known(dict):
         return 0
 
 
-def _scan(test: Phrases, kept: list[str], work: str):
+def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False):
+    """Finds the windows of one part of the benchmark; what ``earlier`` parts found is merged in."""
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def emit(rows: list[pa.RecordBatch], docs: list[np.ndarray]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         found = _hits(docs, test)
+        if earlier:
+            before = zip(table["folio_spans"].to_pylist(), table["folio_items"].to_pylist(), strict=True)
+            found = [(_merge([*s, *((x["first"], x["last"] + 1) for x in spans)]), _sorted({*i, *names})) for (s, i), (spans, names) in zip(found, before, strict=True)]
         columns = [table[c].combine_chunks() for c in kept]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         spans = pa.array([[{"first": a, "last": b - 1} for a, b in s] for s, _ in found], span_type)
@@ -253,19 +269,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Spans are inclusive ranges of word numbers; items are the names, as text,
     of the benchmark items with an occurring window; items whose name is null
-    are one null at the end.  The benchmark is sent to every task; it is refused beyond ``MAX_BENCHMARK_BYTES``.
+    are one null at the end.
+
+    Every task holds the windows of the benchmark, so its text is counted first:
+    beyond ``PART_BYTES`` it is dealt into parts of about that size, which are
+    searched one after the other and whose spans are merged.
     """
-    bytes_ = benchmark.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0
-    if bytes_ > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark holds {bytes_} bytes of text; decontaminate in parts of at most {MAX_BENCHMARK_BYTES}")
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).collect()
-    test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows], window)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
     work = fresh("folio_text", kept)
     source = bounded_batches(docs).select(*kept, F.col(text_col).alias(work))
     added = T.StructType().add("folio_words", T.LongType()).add("folio_spans", SPANS).add("folio_items", T.ArrayType(T.StringType()))
-    schema = T.StructType([*source.select(*kept).schema.fields, *added.fields])
-    return source.mapInArrow(_scan(test, kept, work), schema)
+    bytes_ = benchmark.agg(F.sum(F.octet_length(item_text_col).cast("long"))).first()[0] or 0
+    parts = max(1, -(-bytes_ // PART_BYTES))
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"), F.pmod(F.xxhash64(item_col, item_text_col), F.lit(parts)).alias("part"))
+    done = None
+    for part in range(parts):
+        rows = items.where(F.col("part") == part).collect()
+        test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows], window)
+        carried = [*kept, work] if part < parts - 1 else kept
+        schema = T.StructType([*source.select(*carried).schema.fields, *added.fields])
+        found = (source if done is None else done).mapInArrow(_scan(test, carried, work, done is not None), schema)
+        if part < parts - 1:
+            found, old = materialize(found, "searched"), done
+            discard(old)
+        done = found
+    return done
 
 
 def remove_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
