@@ -39,10 +39,13 @@ def keyword_tokens(text: Column) -> Column:
 
 
 def keyword_pile(text: Column) -> Column:
-    """Long text made of few distinct tokens: 200 or more, and at most 30 distinct or under 8 hundredths."""
-    tokens = keyword_tokens(text)
-    distinct = F.size(F.array_distinct(tokens))
-    return (F.size(tokens) >= 200) & ((distinct <= 30) | (100 * distinct < 8 * F.size(tokens)))
+    """Long text made of few distinct tokens: 200 or more, and at most 30 distinct or under 8 hundredths.
+
+    The tokens are bound to a lambda's variable, so that they are extracted once.
+    """
+    sized = F.transform(F.array(keyword_tokens(text)), lambda t: F.struct(F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("d")))
+    piled = F.transform(sized, lambda s: (s["n"] >= 200) & ((s["d"] <= 30) | (100 * s["d"] < 8 * s["n"])))
+    return (F.length(text) >= 200) & piled[0]
 
 
 def slug(title: Column) -> Column:

@@ -10,18 +10,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import written
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """``left``, ``right``, ``comp`` by least-label rounds until none changes; each is cut by a checkpoint where a folder is set."""
+    """``left``, ``right``, ``comp`` by least-label rounds until none changes; each is written to the shared folder."""
     now = edges.select("left", "right").distinct().withColumn("comp", F.col("left"))
     while True:
         low_r = now.groupBy("right").agg(F.min("comp").alias("c"))
         step = now.drop("comp").join(low_r, "right")
         low_l = step.groupBy("left").agg(F.min("c").alias("comp"))
-        after = step.drop("c").join(low_l, "left")
+        after = written(step.drop("c").join(low_l, "left"), "components")
         changed = after.join(now.withColumnRenamed("comp", "old"), ["left", "right"]).where("comp <> old")
         done = changed.isEmpty()
-        now = after.checkpoint() if after.sparkSession.sparkContext.getCheckpointDir() else after
+        now = after
         if done:
             return now
 
