@@ -173,7 +173,7 @@ def source_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner lines that name a source which is not the note's own; courses whose name starts with c1 own all."""
     rows = notes(spark, sf_dir).select("path", "text")
-    allowed = evidence.visible_references(rows.where("contains(path, 'c1')")).select("path", F.col("ref").alias("source"))
+    allowed = rows.where("contains(path, 'c1')").select("path", F.explode(F.regexp_extract_all("text", F.lit(evidence.SOURCE_REF), F.lit(1))).alias("source"))
     return evidence.owner_conflicts(rows, entries(spark, sf_dir), allowed).select("path", "line_no", "message")
 
 

@@ -68,7 +68,7 @@ def url_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws("", "url", F.lit("&k="), "page_id").alias("url"))
     code = (200 + F.floor((key * 37 % 420) / (1 + key % 2 * 2))).cast("int")
-    final = F.when(key % 3 == 0, F.concat("url", F.lit("/moved"))).otherwise(F.concat(F.upper(F.substring("url", 1, 5)), F.expr("substring(url, 6)")))
+    final = F.when(key % 3 == 0, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("/moved"))).otherwise(F.concat(F.upper(F.substring("url", 1, 5)), F.expr("substring(url, 6)")))
     known = pages.where("page_id % 19 <> 7")
     cache = known.select(F.sha2("url", 256).alias("key"), code.alias("http_status"), final.alias("final_url"), F.when(key % 2 == 0, "Robots").otherwise("nginx").alias("robots"))
     statuses = spark.createDataFrame([(s,) for s in urls.STATUSES], "status string")
@@ -101,7 +101,17 @@ def host_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.reconcile(_links(spark, sf_dir).select("host"), hosts, "host")
 
 
-@query()
+_RESOURCES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>', 1) AS h, regexp_extract_all(html, '(?is)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>', 1) AS t FROM pages),
+e AS (SELECT page_id, url, unnest(range(0, len(h)))::INT AS pos, replace(unnest(h), '&amp;', '&') AS href, trim(regexp_replace(replace(unnest(t), '&amp;', '&'), '\s+', ' ', 'g')) AS label FROM a),
+r AS (SELECT *, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || href AS link FROM e WHERE href LIKE '/%'),
+k AS (SELECT *, regexp_replace(link, '#.*$', '') AS bare, lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p, lower(regexp_extract(link, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, lower(link) || ' ' || lower(label) AS t FROM r),
+c AS (SELECT *, CASE WHEN regexp_matches(host, '(youtube|youtu\.be|bilibili|vimeo|coursera|edx|khanacademy|ocw|mit\.edu)') AND NOT regexp_matches(p, '\.(vtt|srt|ttml|txt|ppt|pptx|odp|key|epub|mobi|pdf)$') AND NOT regexp_matches(t, 'transcript|caption|slide|ppt') THEN 'video' ELSE """ + _KIND + r""" END AS kind FROM k)
+SELECT page_id, pos, link, kind, kind = 'web_page' AND lower(label) IN ('open menu', 'site navigation', '站点导航') AS provenance_only FROM c WHERE bare <> regexp_replace(url, '#.*$', '')
+"""
+
+
+@query(_RESOURCES)
 def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learning links of pages, resolved and classified (``urljoin`` has no SQL form)."""
+    """Learning links of pages, resolved and classified; the oracle knows rooted links, which are all that the pages have."""
     return web.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "link", "kind", "provenance_only")
