@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,11 +52,15 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Bytes of a row group of an intermediate table: what a writing task holds on the heap.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
@@ -69,6 +75,23 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def lean(task):
+    """A Python task that gives its memory back to the system at its end, as workers live on with what they held at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array of unsigned integers (published splitmix constants)."""
     x = x.astype(np.uint64, copy=True)
@@ -226,7 +249,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and loops are ignored.
     """
     clean = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    now = materialize(clean.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    now = materialize(clean.mapInArrow(lean(_forest), "u long, v long").distinct(), "edges")
     tally = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = tally(now)
     while before[0]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, materialize
+from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, lean, materialize
 
 #: Symbols of one index; bounds the memory of a task.
 SHARD_SYMBOLS = 2_000_000
@@ -229,8 +229,11 @@ class _Known(dict):
         return 0
 
 
-def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False):
-    """Finds the windows of one part of the benchmark; what ``earlier`` parts found is merged in."""
+def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False, cut: str | None = None):
+    """Finds the windows of one part of the benchmark; what ``earlier`` parts found is merged in.
+
+    The column ``cut``, where given, becomes the text without the words inside windows.
+    """
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def emit(rows: list[pa.RecordBatch], docs: list[np.ndarray]) -> pa.RecordBatch:
@@ -241,6 +244,11 @@ def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False):
             found = [(_merge([*s, *((x["first"], x["last"] + 1) for x in spans)]), _sorted({*i, *names})) for (s, i), (spans, names) in zip(found, before, strict=True)]
         columns = [table[c].combine_chunks() for c in kept]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        if cut is not None and any(s for s, _ in found):
+            whole = table[work].combine_chunks().to_pylist()
+            left = [t if not s else cut_words(t, [{"first": a, "last": b - 1} for a, b in s]) for t, (s, _) in zip(whole, found, strict=True)]
+            at = kept.index(cut)
+            columns[at] = pa.array(left, columns[at].type)
         spans = pa.array([[{"first": a, "last": b - 1} for a, b in s] for s, _ in found], span_type)
         names = pa.array([i for _, i in found], pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays([*columns, pa.array([len(d) for d in docs], pa.int64()), spans, names], names=[*kept, "folio_words", "folio_spans", "folio_items"])
@@ -264,12 +272,13 @@ def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cut: bool = False) -> DataFrame:
     """The columns ``keep`` (all, by default) of every row, with ``folio_words``, ``folio_spans`` and ``folio_items``.
 
     Spans are inclusive ranges of word numbers; items are the names, as text,
     of the benchmark items with an occurring window; items whose name is null
-    are one null at the end.
+    are one null at the end.  With ``cut`` the text column, which has to be kept,
+    loses the words of its spans in the same pass (as ``remove_spans`` does in another).
 
     Every task holds the windows of the benchmark, so its text is counted first:
     beyond ``PART_BYTES`` it is dealt into parts of about that size, which are
@@ -288,7 +297,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows], window)
         carried = [*kept, work] if part < parts - 1 else kept
         schema = T.StructType([*source.select(*carried).schema.fields, *added.fields])
-        found = (source if done is None else done).mapInArrow(_scan(test, carried, work, done is not None), schema)
+        found = (source if done is None else done).mapInArrow(lean(_scan(test, carried, work, done is not None, text_col if cut and part == parts - 1 else None)), schema)
         if part < parts - 1:
             found, old = materialize(found, "searched"), done
             discard(old)
@@ -307,7 +316,7 @@ def remove_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, text_col, pa.array(out, batch.schema.field(at).type))
 
-    return rows.mapInArrow(cut, rows.schema)
+    return rows.mapInArrow(lean(cut), rows.schema)
 
 
 def cut_words(text: str, spans: list[dict]) -> str:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import HOT_MEMBERS, binary_column, bounded_batches, connected_components, discard, group_starts, hot_keys, in_bitmap, key_bitmap, local_components, materialize, mix64, salted_join, slices, sorted_runs
+from foliospark.llm._common import HOT_MEMBERS, binary_column, bounded_batches, connected_components, discard, group_starts, hot_keys, in_bitmap, key_bitmap, lean, local_components, materialize, mix64, salted_join, slices, sorted_runs
 
 #: N-grams and classes in one verification block: they bound a task's memory, not the result.
 BLOCK_WEIGHT, BLOCK_SETS = 1_000_000, 1024
@@ -48,7 +48,7 @@ BLOCK_CLASSES, NAMED_GROUP = 2048, 512
 COUNT_FRAGMENTS = 8
 #: Fresh orders tried when a fragment is empty, before emptiness itself is a key.
 ROTATIONS = 8
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 
 class _WordHash(dict):
@@ -380,7 +380,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     without links).  ``percent`` is the similarity bound in hundredths.
     """
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_features(n, percent), "id long, n long, cls long, counts binary, keys array<long>"), "signatures")
+    signed = materialize(base.mapInArrow(lean(_features(n, percent)), "id long, n long, cls long, counts binary, keys array<long>"), "signatures")
     known = signed.where("cls is not null")
     classes = known.groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
 
@@ -388,7 +388,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = signed.where("keys is not null").select(F.explode("keys").alias("key"), F.col("cls").alias("item"))
     hot = hot_keys(keyed, "key", HOT_MEMBERS)
     dealt = (keyed.where(~F.col("key").isin(hot)) if hot else keyed).repartition("key").sortWithinPartitions("key", "item")
-    shared = dealt.mapInArrow(shared_keys, "grp long, cls long, hot boolean")
+    shared = dealt.mapInArrow(lean(shared_keys), "grp long, cls long, hot boolean")
     if hot:  # members of a hot key meet in blocks only
         shared = shared.union(keyed.where(F.col("key").isin(hot)).select("key", "item", F.lit(True)))
     groups = materialize(shared.distinct(), "groups")
@@ -396,7 +396,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sized = groups.where("not hot").select("grp", "cls", F.lit(1).alias("nb")).union(groups.where("hot").join(weights, "grp").select("grp", "cls", "nb"))
     members = _block_pairs(sized.join(known.select("cls", "n", "counts").dropDuplicates(["cls"]), "cls")).select("grp", "bi", "bj", "cls", "n", "counts")
     by = ["grp", "bi", "bj"]
-    loose = connected_components(members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_loose_edges(percent), "u long, v long"))
+    loose = connected_components(members.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(_loose_edges(percent)), "u long, v long"))
     discard(groups)
     found = classes.join(loose.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls")
     weights = found.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("nb"))
@@ -405,11 +405,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # The order of n-grams is cut into fragments: a task counts the overlaps of a pair of blocks in one of them.
     sides = _block_pairs(found).select("comp", "bi", "bj", "block", "cls", "n", "m", (F.col("nb") > 1).alias("multi"))
-    ids = key_bitmap(found.select("low").where("low is not null").mapInArrow(_hash_ids, "h long"), "h")
-    parts = base.where("text is not null").mapInArrow(_candidates(n, ids, key_bitmap(found, "cls")), "cls long, parts array<binary>").dropDuplicates(["cls"])
+    ids = key_bitmap(found.select("low").where("low is not null").mapInArrow(lean(_hash_ids), "h long"), "h")
+    parts = base.where("text is not null").mapInArrow(lean(_candidates(n, ids, key_bitmap(found, "cls"))), "cls long, parts array<binary>").dropDuplicates(["cls"])
     postings = sides.join(parts, "cls").select("comp", "bi", "bj", F.posexplode("parts").alias("fragment", "part"), "cls", "block")
     by = ["comp", "bi", "bj", "fragment"]
-    partial = postings.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(_count, _PARTIAL)
+    partial = postings.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(lean(_count), _PARTIAL)
 
     # The partial overlaps of a pair, summed over the fragments, against the sizes of its sets.
     empty = F.lit(None).cast("array<long>")
@@ -418,7 +418,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tails = partial.select("comp", "bi", "bj", "fragment", zero.alias("cls"), zero.alias("n"), zero.alias("m"), F.lit(False).alias("multi"), "pair", "shared")
     by = ["comp", "bi", "bj"]
     whole = heads.union(tails).repartition(*by).sortWithinPartitions(*by, "fragment", "cls")
-    checked = materialize(whole.mapInArrow(_settle(percent), "u long, v long, links long, multi boolean"), "checked")
+    checked = materialize(whole.mapInArrow(lean(_settle(percent)), "u long, v long, links long, multi boolean"), "checked")
     discard(found)
 
     links = checked.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
@@ -436,7 +436,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     discard(checked)
     discard(joined)
     out = salted_join(signed.select("id", "n", "cls"), facts, "cls", F.col("id"), "m", "left")
-    return out.select("id", F.col("n").alias("n_grams"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "id").alias("component"))
+    out = materialize(out.select("id", F.col("n").alias("n_grams"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "id").alias("component")), "components")
+    discard(signed)
+    discard(facts)
+    return out
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import bounded_batches, materialize, slices
+from foliospark.llm._common import bounded_batches, lean, materialize, slices
 
 END_TOKEN = 0
 
@@ -68,7 +68,7 @@ def encode(text: str, path: str) -> np.ndarray:
         try:
             return quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
         except BaseException as error:  # its regex engine gives up on vast runs of blanks, with a Rust panic
-            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+            if type(error).__name__ != "PanicException":  # a class of its own, below BaseException, that cannot be imported
                 raise
     return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -197,11 +197,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
     """
     base = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = "part int, id long, piece int, start long, length long, ids_crc32 long, rank long"
-    pieces = materialize(base.mapInArrow(_pieces(tokenizer, capacity), schema), "pieces")
+    pieces = materialize(base.mapInArrow(lean(_pieces(tokenizer, capacity)), schema), "pieces")
     # Ranks were counted per task; the tasks' counts of a length, summed up, make them global.
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit_plan(histogram, capacity)
     before = counts.selectExpr("part", "length", "sum(n) over (partition by length order by part rows between unbounded preceding and current row) - n as before")
-    ranked = pieces.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(plan, capacity), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The counts grow with the tasks, so they are never broadcast.
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(lean(_placed(plan, capacity)), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import bounded_batches, slices
+from foliospark.llm._common import bounded_batches, lean, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -142,4 +142,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["id", "n_tokens", "score"])
 
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, n_tokens long, score double")
+    return base.mapInArrow(lean(run), "id long, n_tokens long, score double")
