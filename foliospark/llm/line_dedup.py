@@ -13,11 +13,13 @@ number, stays and the others go.
 
 Equal lines are one line throughout, so a line in half of all documents is one
 row.  Groups are verified in bounded blocks and return spanning forests, not pairs.
+Keys and lines that very many rows share are dealt over many tasks before any sees them.
 
 Cases: null texts and texts without lines of the least length are left as they
 are; rows equal in id and text are one document and keep their lines together;
 null ids come last; an empty table gives an empty result.  Shorter lines are
-never removed.  Clashing column names do not matter: work columns carry a prefix.
+never removed, longer ones whole, whatever their length; equal lines are ties that the
+first place wins.  Clashing column names do not matter: work columns carry a prefix.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import bounded_batches, connected_components, group_starts, in_bitmap, key_bitmap, local_components, materialize, slices, sorted_runs
+from foliospark.llm._common import HOT_MEMBERS, bounded_batches, connected_components, discard, fresh, group_starts, hot_keys, in_bitmap, key_bitmap, lean, local_components, materialize, salted_join, slices, sorted_runs
 
 EDITS = 2
 MIN_CHARS = 20
@@ -69,35 +71,39 @@ def probe_places(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _keys(edits: int, min_chars: int):
+_LINES = "id long, dk long, no int, name long, keys array<long>"
+
+
+def _lines(edits: int, min_chars: int):
+    """Every line of the least length with its place and name and, once per task, the keys of its segments, then of its probes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[int, tuple[list, list]] = {}
+        places: dict[int, list[tuple[int, int, int]]] = {}
         seen: set[int] = set()
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches):
-            keys: list[int] = []
-            items: list[int] = []
-            for text in batch.column("text"):
-                for line in (text.as_py() or "").split("\n"):
+            row, number, names, keys, end, fresh_ = [], [], [], [], [0], []
+            for r, text in enumerate(batch.column("text")):
+                for k, line in enumerate((text.as_py() or "").split("\n")):
                     n = len(line)
                     if n < min_chars:
                         continue
                     name = line_name(line.encode())
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    if n not in places:
-                        places[n] = ([(n * 64 + k, p, p + m) for k, (p, m) in enumerate(segments(n, edits))], [(o * 64 + k, p, p + m) for o, k, p, m in probe_places(n, edits)])
-                        if len(places) > 20_000:
-                            places = {n: places[n]}
-                    own, probes = places[n]
-                    mine = {digest(line[a:b].encode(), seed) for seed, a, b in own}
-                    theirs = {digest(line[a:b].encode(), seed) for seed, a, b in probes}
-                    keys += mine
-                    items += [name + 1] * len(mine)
-                    keys += theirs
-                    items += [name] * len(theirs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(items, pa.int64())], names=["key", "item"])
+                    row.append(r), number.append(k), names.append(name)
+                    fresh_.append(name not in seen)
+                    if fresh_[-1]:
+                        seen.add(name)
+                        if n not in places:
+                            if len(places) > 4000:
+                                places.clear()
+                            places[n] = [(n * 64 + k, p, p + m) for k, (p, m) in enumerate(segments(n, edits))] + [(o * 64 + k, p, p + m) for o, k, p, m in probe_places(n, edits)]
+                        found = [digest(line[a:b].encode(), seed) for seed, a, b in places[n]]
+                        keys += found[: edits + 1]
+                        keys += set(found[edits + 1 :])
+                    end.append(len(keys))
+            at = pa.array(row, pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), mask=pa.array(~np.array(fresh_, dtype=bool)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("dk").take(at), pa.array(number, pa.int32()), pa.array(names, pa.int64()), lists], names=["id", "dk", "no", "name", "keys"])
             if len(seen) > _SEEN:
                 seen.clear()
 
@@ -278,12 +284,20 @@ def _verify(edits: int):
     return run
 
 
-def near_line_classes(docs: DataFrame, text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``node`` and ``component`` (both line names) of the lines that have a near-equal other line."""
-    base = bounded_batches(docs).select(F.col(text_col).alias("text")).where("text is not null")
-    keyed = base.mapInArrow(_keys(edits, min_chars), "key long, item long").repartition("key").sortWithinPartitions("key", "item")
-    groups = materialize(keyed.mapInArrow(candidate_groups, "grp long, name long, hot boolean").distinct(), "groups")
-    lines = base.mapInArrow(_texts(key_bitmap(groups, "name"), min_chars), "name long, line string").dropDuplicates(["name"])
+def near_line_classes(seen: DataFrame, texts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``node`` and ``component`` (both line names) of the lines that have a near-equal other line.
+
+    ``seen`` holds the lines with their keys, ``texts`` (``text``) the documents they come from.
+    """
+    exploded = seen.where("keys is not null").select("name", F.posexplode("keys").alias("k", "key"))
+    keyed = exploded.select("key", (F.col("name") + (F.col("k") <= edits).cast("long")).alias("item"))
+    hot = hot_keys(keyed, "key", HOT_MEMBERS)
+    dealt = (keyed.where(~F.col("key").isin(hot)) if hot else keyed).repartition("key").sortWithinPartitions("key", "item")
+    shared = dealt.mapInArrow(lean(candidate_groups), "grp long, name long, hot boolean")
+    if hot:  # members of a hot key meet in blocks only
+        shared = shared.union(keyed.where(F.col("key").isin(hot)).select("key", F.expr("item & ~1L"), F.lit(True)))
+    groups = materialize(shared.distinct(), "groups")
+    lines = texts.mapInArrow(lean(_texts(key_bitmap(groups, "name"), min_chars)), "name long, line string").dropDuplicates(["name"])
     weights = groups.where("hot").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK_LINES)).cast("int").alias("nb"))
     cool = groups.where("not hot").select("grp", "name", F.lit(1).alias("nb"))
     sized = cool.union(groups.where("hot").join(weights, "grp").select("grp", "name", "nb"))
@@ -291,37 +305,46 @@ def near_line_classes(docs: DataFrame, text_col: str = "text", edits: int = EDIT
     sides = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     sides = sides.select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "name", "line")
     by = ["grp", "bi", "bj"]
-    near = sides.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(edits), "u long, v long")
-    return connected_components(near)
-
-
-def _occurrences(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            row, number, names = [], [], []
-            for r, text in enumerate(batch.column("text")):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if len(line) >= min_chars:
-                        row.append(r), number.append(k), names.append(line_name(line.encode()))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("dk").take(at), pa.array(number, pa.int32()), pa.array(names, pa.int64())], names=["id", "dk", "no", "name"])
-
-    return run
+    near = sides.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(_verify(edits)), "u long, v long")
+    out = connected_components(near)
+    discard(groups)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of every row, with ``folio_kept_text`` and ``folio_removed`` (sorted line numbers, from 0)."""
-    classes = near_line_classes(docs, text_col, edits, min_chars)
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("dk"), F.col(text_col).alias("text")).where("text is not null")
-    seen = materialize(slim.mapInArrow(_occurrences(min_chars), "id long, dk long, no int, name long"), "occurrences")
-    classed = seen.join(classes.withColumnRenamed("node", "name"), "name", "left").select("id", "dk", "no", F.coalesce("component", "name").alias("cls"))
+    """All columns of every row, with ``folio_kept_text`` and ``folio_removed`` (sorted line numbers, from 0).
+
+    Input columns of these two names give way.
+    """
+    docs = docs.drop("folio_kept_text", "folio_removed")
+    key, dk = F.xxhash64(F.col(id_col), F.col(text_col)), fresh("folio_dk", docs.columns)
+    slim = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), key.alias("dk"), F.col(text_col).alias("text")).where("text is not null")
+    seen = materialize(slim.mapInArrow(lean(_lines(edits, min_chars)), _LINES), "lines")
+    classes = near_line_classes(seen, slim.select("text"), edits, min_chars)
+    # Lines are counted by name before they meet their class: a line in half of all documents is one row by then.
     place = F.struct(F.col("id").isNull().alias("last"), "id", "dk", "no")
-    firsts = classed.groupBy("cls").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    same = (F.col("dk") == F.col("first.dk")) & (F.col("no") == F.col("first.no"))
-    gone = classed.join(firsts, "cls").where(~same).groupBy("dk").agg(F.array_sort(F.collect_set("no")).alias("folio_removed"))
-    joined = docs.withColumn("folio_dk", key).join(gone.withColumnRenamed("dk", "folio_dk"), "folio_dk", "left").drop("folio_dk")
-    removed = F.coalesce("folio_removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, k: ~F.array_contains("folio_removed", k)), "\n")
-    text = F.when(F.col("folio_removed").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumns({"folio_kept_text": text, "folio_removed": removed})
+    lines = seen.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classed = lines.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("cls", F.coalesce("component", "name"))
+    repeated = materialize(classed.where("component is not null or n > 1").select("name", "n", "first", "cls"), "repeated")
+    firsts = repeated.groupBy("cls").agg(F.sum("n").alias("all"), F.count("*").alias("names"), F.min("first").alias("least")).where("all > 1")
+    stay = materialize(salted_join(repeated.select("name", "n", "cls"), firsts, "cls", F.col("name"), "names").select("name", "n", F.col("least.dk").alias("of"), F.col("least.no").alias("at")), "stay")
+    discard(classes)
+    discard(repeated)
+    met = salted_join(seen.select("dk", "no", "name"), stay, "name", F.col("dk"), "n")
+    gone = materialize(met.where("dk <> of or no <> at").groupBy("dk").agg(F.array_sort(F.collect_set("no")).alias("folio_removed")), "gone")
+    discard(stay)
+    discard(seen)
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        out = []
+        for text, numbers in zip(texts, removed, strict=True):
+            drop = set(numbers.as_py() or ())
+            out.append(None if text.as_py() is None else "\n".join(line for k, line in enumerate(text.as_py().split("\n")) if k not in drop))
+        return pa.array(out, pa.string())
+
+    joined = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk), dk, "left").drop(dk)
+    changed = F.col("folio_removed").isNotNull()
+    cut = without(F.when(changed, F.col(text_col)), F.col("folio_removed"))  # other texts stay in the JVM
+    kept = F.when(changed, cut).otherwise(F.col(text_col))
+    return joined.withColumn("folio_kept_text", kept).withColumn("folio_removed", F.coalesce("folio_removed", F.array().cast("array<int>")))
