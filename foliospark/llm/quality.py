@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import binary_column, bounded_batches, materialize, slices
+from foliospark.llm._common import binary_column, bounded_batches, in_bitmap, key_bitmap, lean, materialize, slices
 
 #: Weight of the pooled diagonal in a class covariance.
 SHRINKAGE = 0.15
+#: Labelled rows that ``keep_good`` fits its model on, at most about; far more than the statistics need.
+FIT_ROWS = 50_000
 #: Log-densities are worth less than their face value as the statistics are not independent of one another and not quite normal.
 TEMPERATURE = 2.0
 
@@ -92,7 +94,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Two Gaussians with cached Cholesky factors."""
+    """Two Gaussians with cached Cholesky factors, inverted once (they are small and shrunk, so well conditioned)."""
 
     means: np.ndarray
     factors: np.ndarray
@@ -103,8 +105,8 @@ class Discriminant:
             return np.full(len(x), 1 / (1 + math.exp(-self.log_odds)))
         density = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            density.append(-0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
+            z = factor @ (x - mean).T
+            density.append(-0.5 * (z * z).sum(axis=0) + np.log(np.diag(factor)).sum())
         odds = (density[1] - density[0]) / TEMPERATURE + self.log_odds
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
@@ -117,7 +119,7 @@ def discriminant(total: np.ndarray, shrinkage: float = SHRINKAGE) -> Discriminan
     means = total[:, 0, 1:] / n[:, None]
     scatter = np.array([total[c, 1:, 1:] - n[c] * np.outer(means[c], means[c]) for c in (0, 1)])
     pooled = np.diag(np.diag(scatter.sum(axis=0)) / n.sum() + 1e-6)
-    factors = np.array([np.linalg.cholesky((1 - shrinkage) * scatter[c] / n[c] + shrinkage * pooled) for c in (0, 1)])
+    factors = np.array([np.linalg.inv(np.linalg.cholesky((1 - shrinkage) * scatter[c] / n[c] + shrinkage * pooled)) for c in (0, 1)])
     return Discriminant(means, factors, math.log(n[1] / n[0]))
 
 
@@ -130,7 +132,7 @@ def _fit(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrin
     """From the statistics (``id``, ``x``) of all rows and the labels that count."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & in_training(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    sums = table.join(known, "id").select("x", "y").mapInArrow(_sums, "c int, i int, j int, s double")
+    sums = table.join(known, "id").select("x", "y").mapInArrow(lean(_sums), "c int, i int, j int, s double")
     total = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
     for r in sums.groupBy("c", "i", "j").agg(F.sum("s").alias("s")).collect():
         total[r["c"], r["i"], r["j"]] = r["s"]
@@ -139,7 +141,7 @@ def _fit(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrin
 
 def _statistics_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_features, "id long, x array<double>")
+    return base.mapInArrow(lean(_features), "id long, x array<double>")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
@@ -155,20 +157,35 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             s = model.score(_matrix(batch.column("x"))) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], names=["id", "score"])
 
-    out = table.mapInArrow(scored, "id long, score double")
+    out = table.mapInArrow(lean(scored), "id long, score double")
     return out.select("id", F.coalesce(~in_training("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns.
 
-    Rows are scored where they are, so ids need not be unique; no text is shuffled.
+    Rows are scored where they are, so ids need not be unique; no text is
+    shuffled or written.  The model is fitted on the labelled rows, of which at
+    most about ``fit_rows`` are taken, by a hash of the id; a bitmap of their ids
+    spares the other texts the first pass, and a join decides.
     """
-    model = _fit(_statistics_of(docs, id_col, text_col), labels, id_col, label_col, shrinkage)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & in_training(id_col))
+    total = known.count()
+    if total > fit_rows:
+        known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < F.lit(int((1 << 30) * fit_rows / total)))
+    marked = key_bitmap(known.select(F.xxhash64(F.col(id_col).cast("long")).alias("h")), "h")
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).alias("text"))
+
+    def of_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            mine = batch.filter(pa.array(in_bitmap(marked, batch.column("h").to_numpy())))
+            yield from _features(iter([mine]))
+
+    model = _fit(base.mapInArrow(lean(of_labelled), "id long, x array<double>"), known, id_col, label_col, shrinkage)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = np.array([statistics(t) for t in binary_column(batch, text_col)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.score(x) >= threshold)) if len(x) else batch
 
-    return docs.mapInArrow(accepted, docs.schema)
+    return docs.mapInArrow(lean(accepted), docs.schema)
