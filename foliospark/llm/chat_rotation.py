@@ -9,7 +9,7 @@ never has to meet in one row or one task.
 
 Cases: a null speaker is the participant ``unknown``; a null text is empty;
 null turns come first; turns with the same number are ordered by speaker and
-text, and repeated rows are repeated turns; a conversation of system turns only
+text, and repeated rows are repeated turns; texts of any length stay whole; a conversation of system turns only
 has no participant and gives nothing; an empty table gives an empty result.
 """
 
@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns counted together before blocks are summed: keeps a long conversation out of one task.
-BLOCK_TURNS = 256
+#: Turns counted together before blocks are summed, and characters of a text by which turns of one number are
+#: parted: both keep a long conversation out of one task, whatever its numbers.
+BLOCK_TURNS, PART_CHARS = 256, 8
 SYSTEM = "system"
 END = "<|end|>\n"
 
@@ -35,7 +36,9 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))))
+    )
+    # Ranges of turns, cut into parts that keep the order: turns of one number are parted by speaker and opening.
+    said = said.withColumns({"block": F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))), "part": F.struct("turn", "speaker", F.substring("text", 1, PART_CHARS).alias("opening"))})
     people = said.where(F.col("speaker") != SYSTEM).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
     faced = said.join(people, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
@@ -43,13 +46,19 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     head = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("|>\n"))
     shaped = faced.withColumns({"chat_role": role, "name": name, "head": head}).withColumn("rendered", F.concat("head", "text", F.lit(END)))
 
-    # Places within a block, then the blocks' sums before it.
-    inside = Window.partitionBy("conv", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
+    # Places within a part, then the sums of the parts before it in the block, and of the blocks before that.
+    view = ["conv", "perspective"]
+    inside = Window.partitionBy(*view, "block", "part").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)
     placed = shaped.withColumns({"nth": F.row_number().over(inside).cast("long"), "upto": F.sum(F.length("rendered")).over(inside)})
-    sums = shaped.groupBy("conv", "perspective", "block").agg(F.count("*").alias("n"), F.sum(F.length("rendered")).alias("chars"))
-    before = Window.partitionBy("conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("c0"))
-    whole = placed.join(ahead, F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
+    parts = shaped.groupBy(*view, "block", "part").agg(F.count("*").alias("n"), F.sum(F.length("rendered")).alias("chars"))
+    blocks = parts.groupBy(*view, "block").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    so_far = lambda column, line: F.coalesce(F.sum(column).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_block, by_part = Window.partitionBy(*view).orderBy("block"), Window.partitionBy(*view, "block").orderBy("part")
+    ahead = blocks.select(F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), so_far("n", by_block).alias("n1"), so_far("chars", by_block).alias("c1"))
+    within = parts.select(*view, "block", "part", so_far("n", by_part).alias("n2"), so_far("chars", by_part).alias("c2"))
+    sums = within.join(ahead, F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
+    sums = sums.select("c", "p", "b", F.col("part").alias("q"), (F.col("n1") + F.col("n2")).alias("n0"), (F.col("c1") + F.col("c2")).alias("c0"))
+    whole = placed.join(sums, F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")) & F.col("part").eqNullSafe(F.col("q")))
     start = F.col("c0") + F.col("upto") - F.length("rendered")
     mine = F.col("chat_role") == "assistant"
     return whole.select(
