@@ -480,3 +480,266 @@ def test_query_digests(spark):
     for r in sharded:
         raw = (texts[r["doc_id"]] or "").encode()
         assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
+
+
+# rules that hold at every size
+
+
+def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _common.shared_dir(Session())
+
+
+def test_salted_joins_keep_all_rows(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 7 else id % 50 end as k")
+    facts = rows.groupBy("k").count().withColumnRenamed("count", "members").withColumn("fact", F.col("k") * 2)
+    plain = rows.join(facts, "k", "left").select("id", "k", "fact")
+    salted = _common.salted_join(rows, facts, "k", F.col("id"), "members", "left").select("id", "k", "fact")
+    assert facts.where("members > 1000").count() == 1
+    assert plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
+
+
+def test_hot_keys_are_few_and_right(spark):
+    keyed = spark.range(20_000).selectExpr("case when id % 4 = 0 then 5 else id end as key")
+    assert _common.hot_keys(keyed, "key", 1000) == [5]
+    assert _common.hot_keys(keyed.limit(0), "key", 1000) == []
+
+
+def test_ties_of_real_scores_and_bytes():
+    """Sums of real numbers round, so counts follow one running sum over the text, as the library's do."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(5)
+    for _ in range(50):
+        vocab = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", -rng.choice([0.1, 0.3, 0.7, 2.0])) for b in range(256)]
+        vocab += [(p, -rng.choice([0.1, 0.2, 0.3, 0.7, 1.1, 1.3])) for p in sorted({"".join(rng.choice("ab▁cé") for _ in range(rng.randint(1, 4))) for _ in range(14)})]
+        mine, exact = token_count.UnigramCounter(vocab, True), Tokenizer(models.Unigram(vocab, 0, True))
+        for _ in range(40):
+            text = "".join(rng.choice("abcdé  ") for _ in range(rng.randint(1, 40)))
+            assert mine.count(text)[0] == len(exact.encode(token_count.MARK + text.replace(" ", token_count.MARK)).ids), (vocab, text)
+
+
+def test_counts_of_very_long_words_and_empty_tables(spark, empty):
+    from tokenizers import Tokenizer, models
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    exact, counter = Tokenizer(models.Unigram(token_count.piece_vocabulary(path), 0, True)), token_count._counter(path)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefé漢") for _ in range(150_000))
+    assert counter.count(text)[0] == len(exact.encode(token_count.MARK + text).ids)
+    assert token_count.count_tokens(empty, path).count() == 0
+
+
+def test_a_benchmark_in_parts_finds_the_same(spark, docs, monkeypatch):
+    items = [(k, " ".join(LINE.split()[k : k + 4])) for k in range(8)] + [(None, "漢字"), (3, "one"), (3, "river bank")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = [tuple(r) for r in decontaminate.find_contamination(docs, bench, 3).select("doc_id", "text", "folio_words", "folio_spans", "folio_items").collect()]
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 40)
+    parts = [tuple(r) for r in decontaminate.find_contamination(docs, bench, 3).select("doc_id", "text", "folio_words", "folio_spans", "folio_items").collect()]
+    assert sorted(map(str, whole)) == sorted(map(str, parts))
+    assert any(r[3] for r in whole)
+
+
+def test_scores_are_log_density_differences(spark, corpus):
+    """Each score against densities written out with inverses and determinants."""
+    small = DATA
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    x = {i: np.array(quality.statistics(t.encode() if t is not None else None)) for i, t in texts.items()}
+    of = [np.array([x[i] for i, y in marks.items() if y == c]) for c in (0, 1)]
+    scatter = [(a - a.mean(axis=0)).T @ (a - a.mean(axis=0)) for a in of]
+    pooled = np.diag(np.diag(sum(scatter)) / len(marks) + 1e-6)
+    cov = [(1 - quality.SHRINKAGE) * s / len(a) + quality.SHRINKAGE * pooled for s, a in zip(scatter, of, strict=True)]
+
+    def density(c, v):
+        d = v - of[c].mean(axis=0)
+        return -0.5 * d @ np.linalg.inv(cov[c]) @ d - 0.5 * np.linalg.slogdet(cov[c])[1]
+
+    found = quality.score_quality(corpus, labels).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        odds = (density(1, x[r["id"]]) - density(0, x[r["id"]])) / quality.TEMPERATURE + np.log(len(of[1]) / len(of[0]))
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-6
+        assert r["held_out"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7)
+    kept = {r["doc_id"] for r in quality.keep_good(corpus, labels).collect()}
+    assert kept == {r["id"] for r in found if r["predicted"]}
+
+
+@pytest.mark.parametrize("weight", [None, 60])
+def test_ngram_join_deals_hot_keys(spark, monkeypatch, weight):
+    """With every key taken for hot, members meet in blocks only and the result is the same."""
+    monkeypatch.setattr(ngram_join, "HOT_MEMBERS", 1)
+    if weight:
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 2)
+        monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", weight)
+    rng, rows = random.Random(11), []
+    for base in range(5):
+        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for copy in range(5):
+            rows.append((base * 10 + copy, " ".join(w if rng.random() > copy * 0.01 else f"z{rng.randrange(9)}" for w in words)))
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()
+    assert sorted((str(r["id"]), r["n_grams"], str(r["component"]), r["links"]) for r in found) == brute_components(rows, 3, 80)
+
+
+def test_partial_overlaps_sum_to_the_overlap():
+    rng = np.random.default_rng(4)
+    for sets_of in (3, 40):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64) << np.uint64(58)) for _ in range(sets_of)]
+        group = np.sort(rng.integers(0, 2, sets_of))
+        owner = np.repeat(np.arange(sets_of), [len(s) for s in sets])
+        i, j, shared = ngram_join.partial_overlaps(np.concatenate(sets), owner, group)
+        found = dict(zip(zip(i.tolist(), j.tolist(), strict=True), shared.tolist(), strict=True))
+        wanted = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(sets_of) for b in range(a + 1, sets_of) if group[a] == group[b]}
+        assert found == {k: v for k, v in wanted.items() if v}
+
+
+def test_line_dedup_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_MEMBERS", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 3)
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcdé ") for _ in range(30)) for _ in range(8)]
+    rows = [(k, "\n".join(mutated(rng, rng.choice(bases), rng.randint(0, 3)) for _ in range(3))) for k in range(25)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = sorted((r["doc_id"], r["folio_kept_text"], r["folio_removed"]) for r in line_dedup.dedup_lines(table).collect())
+    monkeypatch.undo()
+    assert hot == sorted((r["doc_id"], r["folio_kept_text"], r["folio_removed"]) for r in line_dedup.dedup_lines(table).collect())
+    assert any(r[2] for r in hot)
+
+
+def test_columns_of_the_added_names_give_way(spark):
+    table = spark.createDataFrame([(1, LINE + "\n" + LINE, "x", [9])], "doc_id long, text string, folio_kept_text string, folio_removed array<int>")
+    row = line_dedup.dedup_lines(table).first()
+    assert row["folio_kept_text"] == LINE and row["folio_removed"] == [1]
+
+
+def test_verdicts_on_a_graph_with_links(spark):
+    """``filter_urls`` against ranks by repeated multiplication, with repeated pages, clashing columns and a long page."""
+    rng = random.Random(9)
+    hosts = [f"h{k}.com" for k in range(9)]
+    pages = []
+    for k in range(80):
+        h = rng.choice(hosts)
+        # Low hosts are blocked and link one another, high ones are allowed, those between link either.
+        near = hosts[:3] if h < "h3" else hosts[6:] if h > "h5" else hosts
+        links = "".join(f"<a href='http://{rng.choice(near)}/p'>t</a>" for _ in range(rng.randrange(3)))
+        pages.append((k, f"http://{h}/{rng.choice('bbc' if h < 'h3' else 'aac' if h > 'h5' else 'cd')}/", ("x" * 100_000 if k == 3 else "") + links))
+    pages += [pages[0], pages[0], (200, None, None), (201, "no scheme", "<a href='http://h1.com/'>")]
+    rules = [link_graph.Rule("com", "/a/", "allow"), link_graph.Rule("com", "/b/", "block")]
+    table = spark.createDataFrame([(*p, 1, 2) for p in pages], "page_id long, url string, html string, folio_open int, rank int")
+    found = link_graph.filter_urls(table, rules, ["page_id", "url"]).collect()
+    assert len(found) == len(pages)
+    at = {h: k for k, h in enumerate(hosts)}
+    count, seed = np.zeros(len(hosts)), {"a": np.zeros(len(hosts)), "b": np.zeros(len(hosts))}
+    flow = np.zeros((len(hosts), len(hosts)))
+    for _, u, h in pages:
+        if u and "://" in u:
+            src = u.split("/")[2]
+            count[at[src]] += 1
+            if u.split("/")[3] in seed:
+                seed[u.split("/")[3]][at[src]] += 1
+            for dst in re.findall("http://([^/]+)/p", h):
+                flow[at[src], at[dst]] += src != dst
+
+    def ranks(start, edges):
+        total, out = start.sum(), edges.sum(axis=1)
+        s = start / total
+        r = s.copy()
+        for _ in range(400):
+            r = 0.15 * s + 0.85 * ((edges / np.where(out == 0, 1, out)[:, None]).T @ r + r[out == 0].sum() * s)
+        return r * total / np.maximum(count, 1)
+
+    trust, distrust = ranks(seed["a"], flow), ranks(seed["b"], flow.T)
+    blocked = {h for h in hosts if distrust[at[h]] > 0.5 and distrust[at[h]] > trust[at[h]]}
+    assert 0 < len(blocked) < len(hosts)
+    for r in found:
+        path = (r["url"] or "").split("/")
+        own = {"a": "allow", "b": "block"}.get(path[3] if len(path) > 3 else "")
+        assert r["folio_verdict"] == (own or ("block" if r["folio_host"] in blocked else "allow")), r
+
+
+def test_quick_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact, rng = Tokenizer.from_file(path), random.Random(3)
+    alphabet = ["a", "the", " ", "  ", "\n", "é", "漢", "😀", "'s", "12", "!", "\t", "\x00", "<|endoftext|>", " ", "Ab"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert packing.encode(text, path).tolist() == exact.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_of_repeated_and_unnamed_rows(spark):
+    rows = [(6, "one two"), (6, "one two"), (None, "alone"), (None, None), (None, "alone"), (7, "w " * 700)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 256).collect()
+    pieces = collections.Counter((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    assert sum(n for k, n in pieces.items() if k[0] == 6) == 2 and sum(n for k, n in pieces.items() if k[0] is None) == 3
+    assert sorted(pieces[k] for k in pieces if k[0] is None) == [1, 2]
+    for _, members in itertools.groupby(sorted(found, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        at = 0
+        for r in members:
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 256
+
+
+def test_rotation_of_odd_tables(spark, empty):
+    schema = "conv_id long, turn long, role string, text string, block int, speaker string"
+    turns = [(1, None, "ann", "x" * 50_000, 1, "s"), (1, None, "ann", "x" * 50_000, 1, "s"), (1, 3, "bob", "", 1, "s")]
+    rows = chat_rotation.rotate_perspectives(spark.createDataFrame(turns, schema)).collect()
+    for who in ("ann", "bob"):
+        view = sorted((r for r in rows if r["perspective"] == who), key=lambda r: r["position"])
+        whole = "".join(r["rendered"] for r in view)
+        assert [r["position"] for r in view] == [0, 1, 2] and all(whole[r["char_start"] :].startswith(r["rendered"]) for r in view)
+    assert chat_rotation.rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_shard_columns_are_as_the_contract_says(spark, duck):
+    """Size, checksum and gapless slots by SQL over the query's own shards."""
+    found = queries.op4_histogram_sort(spark, DATA).toPandas()
+    duck.register("placed", found)
+    wrong = duck.execute(
+        "SELECT count(*) FROM placed p JOIN documents d USING (doc_id) WHERE p.size <> coalesce(octet_length(encode(d.text)), 0) + 8 OR p.shard NOT BETWEEN 0 AND 23 OR p.law <> 'bytes'"
+        " UNION ALL SELECT count(*) FROM (SELECT shard, count(*) AS n, max(slot) + 1 AS top, count(DISTINCT slot) AS k, min(slot) AS low FROM placed GROUP BY shard) WHERE n <> top OR n <> k OR low <> 0"
+    ).fetchall()
+    assert wrong == [(0,), (0,)] and len(found) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+
+
+def test_expectation_maximisation_by_rows():
+    """The estimate over counted patterns equals one over single rows, written out."""
+    rng = random.Random(2)
+    rows = [tuple(rng.choice((-1, 0, 1, 1)) for _ in range(3)) for _ in range(300)]
+    model = weak_rules.estimate(collections.Counter(rows), rounds=5, tolerance=0)
+    votes, prior, n = [weak_rules.BELIEF] * 3, 0.9, len(rows)
+    for _ in range(5):
+        post = []
+        for row in rows:
+            g, b = prior, 1 - prior
+            for (bad, good), v in zip(votes, row, strict=True):
+                g, b = g * good[v], b * bad[v]
+            post.append(g / (g + b))
+        new = []
+        for r in range(3):
+            both = []
+            for belief, weight in zip(weak_rules.BELIEF, ([1 - p for p in post], post), strict=True):
+                table = [weak_rules.BELIEF_WEIGHT * n * x for x in belief]
+                for row, w in zip(rows, weight, strict=True):
+                    table[row[r]] += w
+                both.append([t / sum(table) for t in table])
+            if both[1][0] > weak_rules.FALSE_ALARMS:
+                rest = 1 - both[1][0]
+                both[1] = [weak_rules.FALSE_ALARMS, *(t * (1 - weak_rules.FALSE_ALARMS) / rest for t in both[1][1:])]
+            new.append((tuple(both[0]), tuple(both[1])))
+        votes, prior = new, (sum(post) + 1) / (n + 2)
+    assert abs(model.prior - prior) < 1e-9
+    assert np.allclose(np.array(model.votes), np.array(votes))
