@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import claims, courses, evidence, policies
+from foliospark.operators import claims, courses, evidence, policies, rules
 from foliospark.plans.registry import query, table
 
 _NL, _BS, _TICK = "chr(10)", "chr(92)", "chr(96)"
@@ -239,7 +239,7 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-@query(_NOTES + _LINES + rf""",
+_CLAIMS = (_NOTES + _LINES + rf""",
 v AS (SELECT path, line_no, regexp_replace(line, '`([^`]*)`', repeat(' ', length(regexp_extract(line, '`[^`]*`'))), 'g') AS prose FROM l WHERE NOT regexp_matches(path, '(?i)(^|/)99_|source_manifest') AND NOT regexp_matches(line, '^\s*(#|```)')),
 w AS (SELECT path, line_no, regexp_replace(regexp_replace(prose, '\[\[[^\]|]*\|([^\]]*)\]\]', ' \1 ', 'g'), '\[\[([^\]|]*)\]\]', ' \1 ', 'g') AS prose FROM v),
 o AS (SELECT path, line_no, prose, unnest(regexp_extract_all(prose, '{_CLAIM_TERMS}')) AS term, unnest(regexp_split_to_array(prose, '{_CLAIM_TERMS}')[:len(regexp_extract_all(prose, '{_CLAIM_TERMS}'))]) AS piece, unnest(range(1, 1 + len(regexp_extract_all(prose, '{_CLAIM_TERMS}')))) AS i FROM w WHERE regexp_matches(prose, '{_CLAIM_TERMS}')),
@@ -257,12 +257,27 @@ SELECT DISTINCT path, line_no, term, sentence, category FROM k WHERE category IN
  AND NOT (term = '解决' AND (regexp_matches(sentence, {_sql(claims.TARGET_OF_WORK)}) OR NOT regexp_matches(sentence, {_sql(claims.BROAD_SOLUTION)})))
  AND NOT (term IN ('首次提出', '显著提升') AND regexp_matches(sentence, {_sql(claims.EVIDENCE)}))
 """)
+
+
+@query(_CLAIMS)
 def course_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute claims of all course notes with their category."""
     found = claims.audit(claims.prose_lines(notes(spark, sf_dir)))
     return found.select("path", "line_no", "term", "sentence", "category")
 
 
+@query("SELECT category, count(*) AS n FROM (" + _CLAIMS + ") GROUP BY category")
+def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the course notes by category."""
+    return claims.counts(claims.audit(claims.prose_lines(notes(spark, sf_dir)))).select("category", "n")
+
+
+@query(_NOTES + _LINES + " SELECT path, line_no, regexp_extract(line, '(?i)在此填写|TODO|FIXME|待补充|<待填写>') AS message FROM l WHERE regexp_matches(line, '(?i)在此填写|TODO|FIXME|待补充|<待填写>')")
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a placeholder, the first of the line."""
+    return rules.residue(notes(spark, sf_dir), rules.PLACEHOLDER, "placeholder").select("path", "line_no", "message")
+
+
 @query(_NOTES.rstrip(", ") + r" SELECT path, regexp_extract(text, '^---\nnote_type: ([a-z_]+)\n', 1) AS note_type FROM n WHERE text LIKE '---%'")
 def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with exactly one declared type."""

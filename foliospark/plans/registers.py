@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions import urls
 from foliospark.operators import coverage, frames, frontmatter, manifests, policies, rules
 from foliospark.plans.registry import query, table
-from foliospark.session import shared_folder
+from foliospark.session import shared_folder, written
 from foliospark.sinks import files as sink
 from foliospark.sinks import packages as pack
 from foliospark.sinks import reports
@@ -69,6 +70,19 @@ def published_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.lit(named).alias("state"), F.sha2("text", 256).alias("digest"))
 
 
+@query("SELECT doc_id::VARCHAR || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'unchanged' WHEN doc_id % 2 = 0 THEN 'written' ELSE 'conflict' END AS state FROM documents")
+def guarded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written again with the digest that their writer has seen: a stale one is a conflict and changes nothing."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/guarded-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    sink.publish(rows.select("path", "text"), root).count()
+    seen = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.lit("older"), 256))
+    again = rows.select("path", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"), seen.alias("expected"))
+    return written(sink.publish(again, root), "states")
+
+
 _PACKED = "SELECT concat('p', doc_id % 5) AS package, concat('d/', doc_id, '.md') AS name, text FROM documents"
 
 
@@ -348,3 +362,23 @@ def observed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = rows.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("unit_no"), F.when(F.col("l_linenumber") % 3 == 0, " ").otherwise("text").alias("text"), F.lit(None).cast("string").alias("problem"))
     found = office.extractability(units)
     return found.select("source", "observed_units", "has_text", F.size("blank_units").cast("long").alias("blanks"))
+
+
+_EXTRACTED = """SELECT concat('s', o_orderkey) AS source, o_orderkey % 5 AS observed_units, o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AS has_text, o_orderkey % 4 AS k, o_orderkey % 3 = 0 AS low_coverage, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'BadZipFile' END AS problem FROM orders"""
+
+
+@query(f"WITH e AS ({_EXTRACTED}), a AS (SELECT source, CASE WHEN problem IS NOT NULL THEN 'repair or convert the file' WHEN NOT has_text THEN 'run OCR' WHEN k > 0 THEN 'look at the blank units' WHEN low_coverage THEN 'check the text against the file' END AS action FROM e) SELECT * FROM a WHERE action IS NOT NULL")
+def extraction_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose text has gaps, with what to do."""
+    rows = _view(spark, sf_dir, "orders", _EXTRACTED)
+    blank = F.when(F.col("k") > 0, F.sequence(F.lit(1), F.col("k").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return office.gaps(rows.withColumn("blank_units", blank)).select("source", "action")
+
+
+@query("WITH p AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages WHERE page_id % 3 = 0) SELECT page_id FROM pages WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT url FROM p)")
+def uncovered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that no manifest row covers, by the identity of their URLs; rows spell the host in capitals."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    host = F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1)
+    listed = pages.where("page_id % 3 = 0").select(urls.url_identity(F.concat(F.upper(host), F.expr("substring(url, length(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) + 1)"))).alias("identity"))
+    return coverage.uncovered(pages.select("page_id", urls.url_identity("url").alias("identity")), listed, ["identity"]).select("page_id")

@@ -226,6 +226,12 @@ def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.all_of(rules.heading_issues(found, frames.lines(docs)), rules.table_issues(docs), rules.conflict_markers(docs), rules.residue(docs), rules.empty_notes(docs))
 
 
+@query("SELECT rule, count(*) AS n, count(DISTINCT path) AS files FROM (" + _STRUCTURE + ") GROUP BY rule")
+def issue_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of ``document_structure`` by code."""
+    return document_structure(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
 @query(_VAULT + "k AS (SELECT path, regexp_extract(path, '[^/]*$') AS stem FROM notes), c AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path) AS i FROM k) SELECT path, CASE WHEN i = 1 THEN stem ELSE stem || '_' || substr(sha256(path), 1, 10) END AS out_name FROM c")
 def stable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output names without clashes: the first keeps its stem."""
