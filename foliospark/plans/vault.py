@@ -177,6 +177,15 @@ def per_link_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(edges)
 
 
+@query("""WITH c AS (SELECT s_nationkey AS n, s_suppkey % 4 AS i, count(*) AS e FROM supplier GROUP BY ALL), g AS (SELECT x.n, y.i, coalesce(e, 0) AS e FROM (SELECT DISTINCT s_nationkey AS n FROM supplier) x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) y LEFT JOIN c ON c.n = x.n AND c.i = y.i),
+a AS (SELECT n, min(i) FILTER (e = 0) AS a, sum(e) AS t FROM g GROUP BY n), r AS (SELECT g.n, (i - a + 4) % 4 AS o, e FROM g JOIN a USING (n) WHERE a IS NOT NULL), s AS (SELECT *, sum((e = 0)::INT) OVER (PARTITION BY n ORDER BY o) AS island FROM r), k AS (SELECT n, island, sum(e) AS t, count(*) FILTER (e > 0) AS m FROM s GROUP BY ALL)
+SELECT n AS s_nationkey, sum(least(t, m + 1))::BIGINT AS matched FROM k WHERE m > 0 GROUP BY n UNION ALL SELECT n, least(t, 4)::BIGINT FROM a WHERE a IS NULL""")
+def matching_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many suppliers of each nation get a note; the four notes are a ring, whose parts hold as many as they have notes."""
+    matched = per_link_matching(spark, sf_dir).where("right is not null").withColumnRenamed("left", "s_suppkey")
+    return matched.join(table(spark, sf_dir, "supplier"), "s_suppkey").groupBy("s_nationkey").agg(F.count("*").alias("matched"))
+
+
 _TEXTS = r"""
 SELECT 'a' AS path, '# A' || chr(10) || '### Deep' || chr(10) || 'x' || chr(10) || '# A' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 | 3 |' || chr(10) || '| 1 ' || chr(92) || '| 2 | 3 |' AS text
 UNION ALL SELECT 'b', '<<<<<<< mine' || chr(10) || 'TODO later' || chr(10) || '=======' || chr(10) || '>>>>>>> theirs'
