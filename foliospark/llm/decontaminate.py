@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, lean, materialize
 
 #: Symbols of one index; bounds the memory of a task.
-SHARD_SYMBOLS = 2_000_000
+SHARD_SYMBOLS = 1_000_000
 #: Every so manieth text position keeps its suffix position.
 SAMPLE = 16
 #: Bytes of benchmark text whose windows a task holds at a time.

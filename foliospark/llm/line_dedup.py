@@ -343,7 +343,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(None if text.as_py() is None else "\n".join(line for k, line in enumerate(text.as_py().split("\n")) if k not in drop))
         return pa.array(out, pa.string())
 
-    joined = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk), dk, "left").drop(dk)
+    joined = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk).hint("merge"), dk, "left").drop(dk)  # grows with the documents: never broadcast
     changed = F.col("folio_removed").isNotNull()
     cut = without(F.when(changed, F.col(text_col)), F.col("folio_removed"))  # other texts stay in the JVM
     kept = F.when(changed, cut).otherwise(F.col(text_col))

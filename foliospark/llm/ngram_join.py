@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from foliospark.llm._common import HOT_MEMBERS, binary_column, bounded_batches, connected_components, discard, group_starts, hot_keys, in_bitmap, key_bitmap, lean, local_components, materialize, mix64, salted_join, slices, sorted_runs
 
 #: N-grams and classes in one verification block: they bound a task's memory, not the result.
-BLOCK_WEIGHT, BLOCK_SETS = 1_000_000, 1024
+BLOCK_WEIGHT, BLOCK_SETS = 1_000_000, 512
 #: Classes in one block of a key that many share, and members up to which a key's group is named by its member set.
 BLOCK_CLASSES, NAMED_GROUP = 2048, 512
 #: Equal cuts of the hash order: partial overlaps are counted in each of them apart.
@@ -278,7 +278,7 @@ def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     """The distinct pairs of several counts, and their counts' sums."""
     if not found:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    pair, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+    pair, at = np.unique(np.concatenate([p for p, _ in found]).astype(np.int64), return_inverse=True)
     total = np.zeros(len(pair), dtype=np.int64)
     np.add.at(total, at, np.concatenate([c for _, c in found]).astype(np.int64))
     return pair, total
@@ -315,7 +315,9 @@ def _candidates(n: int, ids: np.ndarray, names: np.ndarray):
     return run
 
 
-_PARTIAL = "comp long, bi int, bj int, fragment int, pair array<long>, shared array<long>"
+#: A pair's name holds the ranks of its classes in two of these many bits; blocks have far fewer classes.
+RANK_BITS = 15
+_PARTIAL = "comp long, bi int, bj int, fragment int, pair array<int>, shared array<int>"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,11 +336,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = ~across[i] | (block[i] != block[j])
         i, j, shared = i[wanted], j[wanted], shared[wanted]
         at = cuts[group[i]]
-        pair = (i - at) * (1 << 31) + (j - at)
+        if len(parts) and int(np.diff(cuts).max()) >> RANK_BITS:
+            raise ValueError("a block holds more classes than a pair's name has room for")
+        pair = ((i - at) << RANK_BITS) + (j - at)
         order = np.argsort(group[i], kind="stable")
         offsets = np.searchsorted(group[i][order], np.arange(len(cuts)))
         some = pa.array(np.flatnonzero(np.diff(offsets) > 0))
-        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[order].astype(np.int64))) for c in (pair, shared)]
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[order].astype(np.int32))) for c in (pair, shared)]
         heads = [pa.array(table[c].to_numpy()[cuts[:-1]]) for c in by]
         yield pa.RecordBatch.from_arrays([*heads, *lists], names=[*by, "pair", "shared"]).take(some)
 
@@ -358,7 +362,7 @@ def _settle(percent: int):
                 k = a + int((fragment[a:b] < 0).sum())
                 found = [(pairs[r].values.to_numpy(), counts[r].values.to_numpy()) for r in range(k, b)]
                 pair, shared = summed(found)
-                i, j = pair >> 31, pair & ((1 << 31) - 1)
+                i, j = pair >> RANK_BITS, pair & ((1 << RANK_BITS) - 1)
                 n, times = size[a:k], m[a:k]
                 good = 100 * shared >= percent * (n[i] + n[j] - shared)
                 i, j = i[good], j[good]
@@ -381,8 +385,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(base.mapInArrow(lean(_features(n, percent)), "id long, n long, cls long, counts binary, keys array<long>"), "signatures")
-    known = signed.where("cls is not null")
-    classes = known.groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
 
     # Classes that share a segment and may be alike, joined loosely; only these are verified.
     keyed = signed.where("keys is not null").select(F.explode("keys").alias("key"), F.col("cls").alias("item"))
@@ -392,6 +394,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if hot:  # members of a hot key meet in blocks only
         shared = shared.union(keyed.where(F.col("key").isin(hot)).select("key", "item", F.lit(True)))
     groups = materialize(shared.distinct(), "groups")
+    # The keys have done their work; the rest of the table is small.
+    fat, signed = signed, materialize(signed.drop("keys"), "signatures")
+    discard(fat)
+    known = signed.where("cls is not null")
+    classes = known.groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("m"), F.min("n").alias("n"))
     weights = groups.where("hot").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK_CLASSES)).cast("int").alias("nb"))
     sized = groups.where("not hot").select("grp", "cls", F.lit(1).alias("nb")).union(groups.where("hot").join(weights, "grp").select("grp", "cls", "nb"))
     members = _block_pairs(sized.join(known.select("cls", "n", "counts").dropDuplicates(["cls"]), "cls")).select("grp", "bi", "bj", "cls", "n", "counts")
@@ -412,7 +419,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     partial = postings.repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(lean(_count), _PARTIAL)
 
     # The partial overlaps of a pair, summed over the fragments, against the sizes of its sets.
-    empty = F.lit(None).cast("array<long>")
+    empty = F.lit(None).cast("array<int>")
     heads = sides.select("comp", "bi", "bj", F.lit(-1).alias("fragment"), "cls", "n", "m", "multi", empty.alias("pair"), empty.alias("shared"))
     zero = F.lit(0).cast("long")
     tails = partial.select("comp", "bi", "bj", "fragment", zero.alias("cls"), zero.alias("n"), zero.alias("m"), F.lit(False).alias("multi"), "pair", "shared")
