@@ -6,13 +6,15 @@ columns from the operator's own output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat_rotation, decontaminate, line_dedup, link_graph, ngram_join, packing, quality, shard, token_count, weak_rules
+from foliospark.llm import chat_rotation, decontaminate, fill_middle, late_overwrite, line_dedup, link_graph, ngram_join, packing, quality, secret_scan, shard, token_count, weak_rules
+from foliospark.llm._common import shared_dir
 
 URL_RULES = [
     link_graph.Rule("net", "/", "block"),
@@ -126,10 +128,51 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"folio_{c}").alias(n) for c, n in names.items()))
 
 
+def op11_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: spans of the patterns, and random strings by characters a token."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_columns=["doc_id"])
+    spans = F.col("folio_secrets")
+    written = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda s: s["kind"] != "random")
+    return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales as day folders, first without the late rows, then with them; the files of the final layout."""
+    sales = table(spark, sf_dir, "sales")
+    h, day = F.crc32(F.col("sale_id").cast("string")), late_overwrite.day_of(sales, "sold_at")
+    later = lambda column, days: F.expr(f"timestampadd(DAY, cast({days} as int), {column})")
+    copies = sales.withColumn("folio_h", h).where((F.col("folio_h") % 3 == 0) & (day % 10 == 0))
+    copies = copies.withColumns({"total": F.col("total") + 1, "sold_at": later("sold_at", "folio_h % 2"), "arrived_at": later("arrived_at", "1 + folio_h % 97")}).select(sales.columns)
+    rows = sales.unionByName(copies)
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-03-01").cast("timestamp_ntz"), F.lit(False))
+    root = f"{shared_dir(spark)}/sales-{uuid.uuid4().hex}"
+    layout = late_overwrite.Layout(root, "sold_at", "sale_id", "arrived_at", 1 + sales.count() // 900)
+    files = late_overwrite.write_layout(rows.where(early), layout)
+    files = late_overwrite.overwrite_late(files, rows.where(~early), layout)
+    return late_overwrite.layout_digest(files, layout, "total").select("day", "file_no", "n_rows", "cents", "rows_crc", "path", "columns", "ids_sha256", "rewritten")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and put together anew for filling in the middle."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+    return made.select(
+        "doc_id",
+        F.col("folio_tokens").alias("n"),
+        F.col("folio_form").alias("form"),
+        F.col("folio_prefix_chars").alias("prefix_chars"),
+        F.col("folio_middle_chars").alias("middle_chars"),
+        F.sha2("folio_output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("folio_form"), F.col("folio_output")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = [op1_chat_rotation, op2_token_counts, op3_decontaminate, op4_histogram_sort, op5_quality_qda, op6_ngram_jaccard, op7_line_dedup, op8_link_graph, op9_best_fit_packing, op10_weak_rules]
+    own += [op11_token_efficiency, op12_late_overwrite, op13_fill_middle]
     return {f.__name__: f for f in [*own, rule_statistics]} | {"pipeline": corpus_pipeline.run}
 
 
