@@ -98,32 +98,36 @@ def prose_urls(text: Column) -> Column:
     return F.array_distinct(F.transform(raw, audit_form))
 
 
-def _identity(value: str) -> str:
-    parts = urlsplit(value.strip())
-    if not parts.scheme:
-        return value.strip()
-    user, at, host = parts.netloc.rpartition("@")
-    plain = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-
-    def escapes(text: str, safe: str) -> str:
-        head, *rest = text.split("%")
-        out = [head]
-        for piece in rest:
-            try:
-                byte = int(piece[:2], 16) if len(piece) >= 2 and piece[:2].isalnum() else None
-            except ValueError:
-                byte = None
-            out.append("%" + piece if byte is None else (chr(byte) if chr(byte) in plain else f"%{byte:02X}") + piece[2:])
-        return quote("".join(out), safe=safe + "%")
-
-    common = ":@!$&'()*+,;=-._~"
-    return urlunsplit((parts.scheme.lower(), user + at + host.lower(), escapes(parts.path, "/" + common), escapes(parts.query, "/?" + common), escapes(parts.fragment, "/?" + common)))
+# What stands for itself in a path, and besides in a query or fragment; escapes of the unreserved characters.
+_ITSELF, _ALSO = r"A-Za-z0-9_.~/:@!$&'()*+,;=\-", "?"
+_UNRESERVED = "2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE]"
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
-@F.pandas_udf(T.StringType())
-def url_identity(url: pd.Series) -> pd.Series:
-    """Lower scheme and host; only unreserved escapes decoded, the others in upper case."""
-    return url.map(lambda x: None if x is None else _identity(x))
+def _escaped(text: Column, itself: str) -> Column:
+    """A part of a URL with each character either as itself or as an escape in upper case."""
+    coded = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    shown = lambda t: F.when(t.rlike(f"^[{itself}]*$"), t).otherwise(F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(f"^[{itself}]*$"), c).otherwise(coded(c))), ""))
+    code = lambda piece: F.upper(F.substring(piece, 1, 2))
+    kept = lambda piece: F.when(code(piece).rlike(f"^(?:{_UNRESERVED})$"), F.char(F.conv(code(piece), 16, 10).cast("long"))).otherwise(F.concat(F.lit("%"), code(piece)))
+    pieces = F.split(text, "%")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(kept(p), shown(F.substr(p, F.lit(3))))).otherwise(F.concat(F.lit("%"), shown(p))))
+    return F.concat(shown(pieces[0]), F.array_join(rest, ""))
+
+
+def url_identity(url: Column | str) -> Column:
+    """Lower scheme and host; only unreserved escapes decoded, the others in upper case.
+
+    Null stays null; a text without a scheme is only trimmed; an empty query or fragment is dropped.
+    """
+    column = F.col(url) if isinstance(url, str) else url
+    text = F.regexp_replace(F.regexp_replace(column, r"(?U)\A[\s\x00-\x1f]+|\s+\z", ""), "[\t\r\n]", "")
+    part = lambda k: F.regexp_extract(text, _PARTS, k)
+    user = F.regexp_extract(part(2), "(?s)^(//.*@|//)?", 1)
+    place = F.concat(user, F.lower(F.substr(part(2), F.length(user) + 1)))
+    query = F.when(F.length(part(4)) > 1, _escaped(part(4), _ITSELF + _ALSO)).otherwise("")
+    fragment = F.when(F.length(part(5)) > 1, F.concat(F.lit("#"), _escaped(F.substr(part(5), F.lit(2)), _ITSELF + _ALSO))).otherwise("")
+    return F.when(text.rlike(_PARTS), F.concat(F.lower(part(1)), F.lit(":"), place, _escaped(part(3), _ITSELF), query, fragment)).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())

@@ -70,24 +70,35 @@ def evidence_blocks(notes: DataFrame) -> DataFrame:
     return grouped.select("path", F.element_at("p", 1)["line_no"].alias("line_no"), F.array_join(F.transform("p", lambda x: x["raw"]), "\n").alias("block"))
 
 
-def _named(rows: DataFrame, text: str, entries: DataFrame) -> DataFrame:
-    """Rows joined with the entries whose path stands in ``text`` with no path character around it."""
+#: Entries up to which their keys are sent to every task; above, both sides are dealt by key.
+BROADCAST_ENTRIES = 500_000
+
+
+def _named(rows: DataFrame, text: str, place: list[str], entries: DataFrame) -> DataFrame:
+    """Rows (``place`` names one) joined with the entries whose path stands in ``text`` with no path character around it.
+
+    Only keys travel first: the distinct runs of path characters of a row meet
+    the entries, and the few rows that meet one get their text back to be looked
+    at closely.
+    """
+    slashed = F.replace(F.col(text), F.lit("\\"), F.lit("/"))
     keyed = entries.select(normal_ref(F.col("root_relative")).alias("source")).distinct().withColumn("key", F.regexp_extract("source", f"([{WORD}]+)", 1))
-    tokens = F.array_distinct(F.regexp_extract_all(F.replace(F.col(text), F.lit("\\"), F.lit("/")), F.lit(f"[{WORD}]+"), F.lit(0)))
-    found = rows.withColumn("key", F.explode(tokens)).join(keyed, "key").drop("key")
+    small = keyed.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    tokens = rows.select(*place, F.explode(F.array_distinct(F.regexp_extract_all(slashed, F.lit(f"[{WORD}]+"), F.lit(0)))).alias("key"))
+    met = tokens.join(F.broadcast(keyed) if small else keyed.hint("merge"), "key").select(*place, "source").distinct()
     edge = F.concat(F.lit(f"(?<![{WORD}])\\Q"), "source", F.lit(f"\\E(?![{WORD}])"))
-    return found.where(F.regexp_like(F.replace(F.col(text), F.lit("\\"), F.lit("/")), edge))
+    return rows.select(*place, slashed.alias("folio_text")).hint("merge").join(met, place).where(F.regexp_like("folio_text", edge)).drop("folio_text")
 
 
 def page_evidence(notes: DataFrame, entries: DataFrame) -> DataFrame:
     """``path``, ``source`` where one block of the note names the source's path and a page or slide."""
     blocks = evidence_blocks(notes).where(F.col("block").rlike(PAGE_EVIDENCE))
-    return _named(blocks, "block", entries).select("path", "source").distinct()
+    return _named(blocks, "block", ["path", "line_no"], entries).select("path", "source").distinct()
 
 
 def mentions(corpora: DataFrame, entries: DataFrame) -> DataFrame:
     """``path``, ``source`` where the text names the source's path, delimited."""
-    return _named(corpora.select("path", "text"), "text", entries).select("path", "source").distinct()
+    return _named(corpora.select("path", "text"), "text", ["path"], entries).select("path", "source").distinct()
 
 
 def owner_conflicts(notes: DataFrame, entries: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -9,17 +9,13 @@ frontmatter rule once; rules give the columns of ``operators.rules``.
 
 from __future__ import annotations
 
-import ast
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliospark.functions.text import has_control
 from foliospark.operators.frames import by_line, frontmatter, lines, without_frontmatter
 from foliospark.operators.rules import all_of, issue
+from foliospark.sources import yaml
 
 # What a guidance file declares, and wording about commits that it must or must not have.
 VALUES = {"course": "仓库规则", "note_type": "agent_rule", "source_files": "[]", "coverage": "special_rule"}
@@ -45,6 +41,8 @@ LEAST_TABLE_LINES = 6
 # The keys of a package's metadata.
 NAME = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
 TOP_KEYS, INTERFACE_KEYS = ["dependencies", "interface", "policy"], ["brand_color", "default_prompt", "display_name", "icon_large", "icon_small", "short_description"]
+POLICY_KEYS, DEPENDENCY_KEYS, ICON_KEYS = ["allow_implicit_invocation"], ["tools"], ["icon_large", "icon_small"]
+TOOL_KEYS = ["description", "transport", "type", "url", "value"]
 NEEDED_KEYS = ["default_prompt", "display_name", "short_description"]
 COMMAND = r"(?<![\w./-])((?:scripts|skill|agent|notes)/[A-Za-z0-9_./-]+\.(?:py|sh))"
 
@@ -168,85 +166,67 @@ def documented_commands(files: DataFrame, known: DataFrame) -> DataFrame:
     return placed.join(known.select(F.col("path").alias("target")).distinct().withColumn("there", F.lit(True)), "target", "left").select("path", "line_no", "token", "target", F.coalesce("there", F.lit(False)).alias("known"))
 
 
-def _scalar(text: str):
-    low = text.casefold()
-    if low in ("true", "false"):
-        return low == "true"
-    if low in ("null", "~", ""):
-        return None
-    if text[0] in "'\"":
-        return ast.literal_eval(text)
-    return int(text) if re.fullmatch(r"[-+]?\d+", text) else float(text) if re.fullmatch(r"[-+]?(?:\d+\.\d*|\d*\.\d+)", text) else text
-
-
 def yaml_pairs(text: str) -> list[tuple[str, str]]:
-    """Dotted keys and values of a mapping of mappings with scalar leaves; anything else raises ``ValueError``."""
-    out, stack, seen = [], [(-1, "")], set()
-    for number, raw in enumerate(text.splitlines(), 1):
-        line = raw.strip()
-        if not line or line.startswith("#"):
-            continue
-        lead = raw[: len(raw) - len(raw.lstrip())]
-        if "\t" in lead:
-            raise ValueError(f"line {number}: tab")
-        m = re.match(r"([A-Za-z_][A-Za-z0-9_-]*):(?:\s+(.*))?$", line)
-        if not m:
-            raise ValueError(f"line {number}: no key")
-        while stack[-1][0] >= len(lead):
-            stack.pop()
-        key = f"{stack[-1][1]}.{m[1]}".lstrip(".")
-        if key in seen:
-            raise ValueError(f"line {number}: repeated key")
-        seen.add(key)
-        if m[2] is None:
-            stack.append((len(lead), key))
-        else:
-            try:
-                value = _scalar(m[2].strip())
-            except (SyntaxError, ValueError):
-                raise ValueError(f"line {number}: scalar") from None
-            out.append((key, "" if value is None else str(value).lower() if isinstance(value, bool) else str(value)))
-    return out
-
-
-_PAIRS = T.StructType().add("pairs", T.ArrayType(T.StructType().add("key", T.StringType()).add("value", T.StringType()))).add("problem", T.StringType())
+    """Dotted keys and values of a YAML mapping; anything else raises ``ValueError``."""
+    found = yaml.read(text)
+    if not isinstance(found, dict):
+        raise yaml.YamlError(1, "no key")
+    return [(key, value) for key, value, _, _, _ in yaml.leaves(found)]
 
 
-@F.pandas_udf(_PAIRS)
-def yaml_mapping(text: pd.Series) -> pd.DataFrame:
-    """``pairs`` of a YAML mapping, or the ``problem`` that keeps it from being read."""
-    rows = []
-    for value in text:
-        try:
-            rows.append(([{"key": k, "value": v} for k, v in yaml_pairs(value or "")], None))
-        except ValueError as error:
-            rows.append((None, str(error)))
-    return pd.DataFrame(rows, columns=["pairs", "problem"])
+def metadata_issues(packages: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Problems of packages (``path``: the name, ``text``: its YAML metadata).
 
-
-def metadata_issues(packages: DataFrame) -> DataFrame:
-    """Problems of packages (``path``: the name, ``text``: its YAML metadata): unknown or missing keys, lengths, colours, the name's token in the prompt."""
-    read = packages.select("path", yaml_mapping("text").alias("y"))
-    sound = read.where("y.problem is null").select("path", F.map_from_entries("y.pairs").alias("m"), F.transform("y.pairs", lambda p: p["key"]).alias("names"))
-    tops = F.array_distinct(F.transform("names", lambda k: F.substring_index(k, ".", 1)))
-    inner = F.transform(F.filter("names", lambda k: k.startswith("interface.")), lambda k: F.substring_index(k, ".", -1))
+    Unknown or missing keys, types, unquoted strings, lengths, colours, icons
+    (that exist, where ``assets`` lists ``path`` and ``asset``), policy, tools, and
+    the name's token in the prompt.
+    """
+    read = packages.select("path", yaml.yaml_leaves("text").alias("y"))
+    sound = read.where("y.problem is null").select("path", F.col("y.leaves").alias("leaves"), F.map_from_entries(F.transform("y.leaves", lambda p: F.struct(p["key"], p["value"]))).alias("m"))
+    names = F.transform("leaves", lambda p: p["key"])
+    part = lambda k, n: F.regexp_extract(k, r"^([^.\[]+)(?:\[\d+\])?(?:\.([^.\[]+))?", n)
+    tops = F.array_distinct(F.transform(names, lambda k: part(k, 1)))
+    below = lambda top: F.array_remove(F.array_distinct(F.transform(F.filter(names, lambda k: k.startswith(top)), lambda k: part(k, 2))), "")
     of = lambda key: F.coalesce(F.try_element_at("m", F.lit(f"interface.{key}")), F.lit(""))
-    unknown = F.concat(F.array_except(tops, F.array(*map(F.lit, TOP_KEYS))), F.array_except(inner, F.array(*map(F.lit, INTERFACE_KEYS))))
+    listed = lambda values: F.array(*map(F.lit, values))
+    unknown = F.concat(F.array_except(tops, listed(TOP_KEYS)), F.array_except(below("interface."), listed(INTERFACE_KEYS)), F.array_except(below("policy."), listed(POLICY_KEYS)), F.array_except(below("dependencies."), listed(DEPENDENCY_KEYS)))
     empty = F.filter(F.array(*(F.when(F.trim(of(k)) == "", F.lit(k)) for k in NEEDED_KEYS)), lambda k: k.isNotNull())
-    color = of("brand_color")
+    known = F.filter("leaves", lambda p: p["key"].isin([f"interface.{k}" for k in INTERFACE_KEYS]))
+    named = lambda found: F.array_join(F.array_sort(F.transform(found, lambda p: F.substring_index(p["key"], ".", -1))), ",")
+    bare = F.filter("leaves", lambda p: (p["type"] == "str") & ~p["quoted"])
+    color, tools = of("brand_color"), F.filter("leaves", lambda p: p["key"].startswith("dependencies.tools"))
     token = F.concat(F.lit(r"(?<![A-Za-z0-9_$-])\$\Q"), "path", F.lit(r"\E(?![A-Za-z0-9_-])"))
+    outside = r"^\s*$|\\|^/|^[A-Za-z]:|(?:^|/)\.\.(?:/|$)"
+    number = F.array_distinct(F.transform(F.filter(tools, lambda p: p["key"].rlike(r"\[\d+\]")), lambda p: F.regexp_extract(p["key"], r"\[(\d+)\]", 1)))
+    tool = lambda i, key: F.coalesce(F.try_element_at("m", F.concat(F.lit("dependencies.tools["), i, F.lit(f"].{key}"))), F.lit(""))
+    text_of = [f"dependencies.tools[].{k}" for k in TOOL_KEYS if k != "type"]
+    loose = F.filter(tools, lambda p: F.regexp_replace(p["key"], r"\[\d+\]", "[]").isin(text_of) & ((p["type"] != "str") | (F.trim(p["value"]) == "")))
+    strange = F.array_except(F.array_distinct(F.transform(F.filter(tools, lambda p: p["key"].rlike(r"\]")), lambda p: F.regexp_extract(p["key"], r"\](?:\.([^.\[]+))?", 1))), listed(TOOL_KEYS))
     checks = F.array(
         F.when(~F.col("path").rlike(NAME), "name"),
         F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(unknown), ","))),
         F.when(F.size(empty) > 0, F.concat(F.lit("missing: "), F.array_join(empty, ","))),
+        F.when(F.exists(known, lambda p: p["type"] != "str"), F.concat(F.lit("not a string: "), named(F.filter(known, lambda p: p["type"] != "str")))),
+        F.when(F.size(bare) > 0, F.concat(F.lit("unquoted: "), named(bare))),
         F.when((color != "") & ~color.rlike("^#[0-9A-Fa-f]{6}$"), "brand_color"),
         F.when((of("short_description") != "") & ~F.length(of("short_description")).between(25, 64), "short_description"),
         F.when((of("default_prompt") != "") & ~F.regexp_like(of("default_prompt"), token), "default_prompt"),
+        *(F.when(F.map_contains_key("m", f"interface.{k}") & of(k).rlike(outside), k) for k in ICON_KEYS),
+        F.when(F.exists("leaves", lambda p: (p["key"] == "policy.allow_implicit_invocation") & (p["type"] != "bool")), "allow_implicit_invocation"),
+        F.when(F.exists(names, lambda k: k.startswith("dependencies")) & ~F.exists(names, lambda k: k.rlike(r"^dependencies\.tools(?:\[|$)")), "tools"),
+        F.when(F.exists("leaves", lambda p: (p["key"] == "dependencies.tools") & (p["type"] != "list")) | F.exists(names, lambda k: k.rlike(r"^dependencies\.tools\.")), "tools"),
+        F.when(F.size(strange) > 0, F.concat(F.lit("unknown tool keys: "), F.array_join(F.array_sort(strange), ","))),
+        F.when(F.exists(number, lambda i: tool(i, "type") != "mcp"), "tool type"),
+        F.when(F.exists(number, lambda i: F.trim(tool(i, "value")) == "") | (F.size(loose) > 0), "tool text"),
     )
-    return all_of(
+    streams = [
         issue(read.where("y.problem is not null"), "metadata_unreadable", F.col("y.problem")),
         issue(sound.select("path", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("what")), "metadata", F.col("what")),
-    )
+    ]
+    if assets is not None:
+        icons = sound.select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.regexp_replace(of(k), r"^(?:\./)+", "").alias("asset")) for k in ICON_KEYS))).alias("i")).select("path", "i.*").where((F.col("asset") != "") & ~F.col("asset").rlike(outside))
+        streams.append(issue(icons.join(assets.select("path", "asset").distinct(), ["path", "asset"], "left_anti"), "metadata_asset", F.col("what")))
+    return all_of(*streams)
 
 
 def install_plan(source: DataFrame, installed: DataFrame, prune: bool = False) -> DataFrame:
