@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CONTAINER = re.compile(r" {0,3}>[ ]?|[ ]{0,3}(?:[-*+]|\d{1,9}[.)])(?=[ \t]|$)[ ]{0,4}")
-_FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})(.*)$")
+from foliospark.functions.commonmark import blocks, code_spans
 
 
 def _blank(text: str) -> str:
@@ -37,72 +37,59 @@ def mask_inline(text: str, escapes: bool = True) -> str:
     return "".join(out)
 
 
-def mask_code(text: str) -> tuple[str, bool]:
-    """Fenced, indented and inline code blanked in place, and whether a fence stays open.
+def _masked(text: str) -> tuple[str, bool, bool]:
+    """Fenced, indented and inline code blanked in place, and whether a fence was left open at the text's end, or there or by its container.
 
-    Block quotes and list items are looked through; positions do not move.
+    Blocks are those of ``functions.commonmark``; whole lines of block code are
+    blanked, containers' marks stay where there is none.  Positions do not move.
     """
-    lines = text.splitlines(keepends=True)
-    out: list[str] = []
-    fence: tuple[str, int, int] | None = None
-    item, paragraph, block = 0, False, []
-
-    def flush() -> None:
-        if block:
-            out.append(mask_inline("".join(block)))
-            block.clear()
-
-    for line in lines:
-        body = line.rstrip("\r\n")
-        rest, quotes = body, 0
-        while m := re.match(r" {0,3}>[ ]?", rest):
-            rest, quotes = rest[m.end() :], quotes + 1
-        indent = len(rest.expandtabs(4)) - len(rest.expandtabs(4).lstrip(" "))
-        if fence:
-            inner = rest.expandtabs(4)[min(indent, item) :] if item else rest
-            m = _FENCE.match(inner)
-            ended = quotes < fence[2]
-            if not ended:
-                out.append(_blank(line))
-                if m and m[2][0] == fence[0] and len(m[2]) >= fence[1] and not m[3].strip():
-                    fence = None
-                continue
-            fence = None
-        if not rest.strip():
-            flush()
-            out.append(line)
-            paragraph = False
-            continue
-        if item and indent < item and not paragraph:
-            item = 0
-        inner = rest.expandtabs(4)[item:] if item and indent >= item else rest.expandtabs(4)
-        while m := re.match(r"( {0,3})([-*+]|\d{1,9}[.)])( {1,4})(?=\S)", inner):
-            item += m.end()
-            inner, paragraph = inner[m.end() :], False
-        m = _FENCE.match(inner)
-        if m and not (m[2][0] == "`" and "`" in m[3]):
-            flush()
-            fence = (m[2][0], len(m[2]), quotes)
-            out.append(_blank(line))
-            paragraph = False
-        elif not paragraph and inner.startswith("    "):
-            flush()
-            out.append(_blank(line))
-        elif re.match(r" {0,3}#{1,6}(?:\s|$)", inner):
-            flush()
-            out.append(mask_inline(line))
-            paragraph = False
-        else:
-            block.append(line)
-            paragraph = True
-    flush()
-    return "".join(out), fence is not None
+    pieces = re.split("(\r\n|\r|\n)", text)
+    lines, ends = pieces[::2], pieces[1::2] + [""]
+    out, unclosed, left = list(lines), False, False
+    for block in blocks(lines):
+        if block.kind in ("fence", "indented"):
+            left |= block.kind == "fence" and block.open
+            unclosed |= block.kind == "fence" and block.open and block.last
+            for number, _, _ in block.lines:
+                out[number] = " " * len(lines[number])
+        elif block.kind == "text" and any("`" in lines[n] for n, _, _ in block.lines):
+            _mask_spans(block.lines, lines, out)
+    return "".join(x for pair in zip(out, ends, strict=True) for x in pair), unclosed, left
 
 
-@F.pandas_udf(T.StructType().add("masked", T.StringType()).add("unclosed", T.BooleanType()))
+def mask_code(text: str) -> tuple[str, bool]:
+    """Fenced, indented and inline code blanked in place, and whether a fence is open at the text's end."""
+    return _masked(text)[:2]
+
+
+def _mask_spans(parts: list[tuple[int, int, int]], lines: list[str], out: list[str]) -> None:
+    """Blanks the code spans of a paragraph or heading in its lines."""
+    spans = iter(code_spans("\n".join(lines[n][start:end] for n, start, end in parts)))
+    at, span = 0, next(spans, None)
+    for n, start, end in parts:
+        done, made = 0, [lines[n][:start]]
+        while span and span[0] <= at + end - start:
+            low, high = max(span[0] - at, 0), min(span[1] - at, end - start)
+            made += [lines[n][start + done : start + low], " " * (high - low)]
+            done = high
+            if span[1] - at > end - start:  # goes on in the next line
+                break
+            span = next(spans, None)
+        out[n] = "".join(made) + lines[n][start + done :]
+        at += end - start + 1
+
+
+@F.pandas_udf(T.StructType().add("masked", T.StringType()).add("unclosed", T.BooleanType()).add("left_open", T.BooleanType()))
 def masked_code(text: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else mask_code(t) for t in text]
-    return pd.DataFrame(rows, columns=["masked", "unclosed"])
+    """``masked``, ``unclosed`` (a fence, at the text's end) and ``left_open`` (there, or where its container ended)."""
+    rows = [(None, None, None) if t is None else _masked(t) for t in text]
+    return pd.DataFrame(rows, columns=["masked", "unclosed", "left_open"])
+
+
+def without_code(text: Column) -> Column:
+    """The text with code blanked; only texts that hold a mark or an indentation of code go to Python."""
+    may = text.rlike("`|~~~| {4}|\\t")
+    return F.when(may, masked_code(F.when(may, text))["masked"]).otherwise(text)
 
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|%%.*?(?:%%|\Z)", re.S)
@@ -114,6 +101,34 @@ def masked_comments(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _COMMENT.sub(lambda m: _blank(m[0]), t))
 
 
+_PLAIN_FENCE = re.compile(r" {0,3}(?:(`{3,})(?!.*`)|(~{3,})).*")
+
+
+@F.pandas_udf(T.StringType())
+def visible_text(text: pd.Series) -> pd.Series:
+    """The text without the contents of frontmatter, fences at a line's start and HTML comments; lines keep their numbers, but for those inside comments."""
+
+    def one(value: str) -> str:
+        rows = re.split("\r\n|\r|\n", value)
+        front = rows.index("---", 1) + 1 if rows[0].strip() == "---" and "---" in rows[1:] else 0
+        kept, mark = [""] * front, ""
+        for line in rows[front:]:
+            m = _PLAIN_FENCE.fullmatch(line)
+            if mark:
+                run = line.strip(" ")
+                ends = m and run[0] == mark[0] and len(run.rstrip()) >= len(mark) and not run.strip(mark[0] + " \t")
+                mark = "" if ends else mark
+                kept.append("")
+            elif m:
+                mark = m[1] or m[2]
+                kept.append("")
+            else:
+                kept.append(line)
+        return re.sub(r"<!--.*?-->", "", "\n".join(kept), flags=re.S)
+
+    return text.map(lambda t: None if t is None else one(t))
+
+
 def mask_plain(text: str) -> str:
     """The simpler masking: fences, lines of four blanks or a tab, then code spans over the whole text."""
     out, fence = [], None

@@ -9,12 +9,12 @@ overview nor review pages; rules give the columns of ``operators.rules``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.markdown import markdown_links, masked_code
+from foliospark.functions.markdown import markdown_links, masked_code, masked_comments, visible_text
 from foliospark.functions.text import stem_key
-from foliospark.operators.frames import frontmatter, without_frontmatter
+from foliospark.operators.frames import by_line, frontmatter, without_frontmatter
 from foliospark.operators.links import wikilinks
 from foliospark.operators.rules import all_of, issue
 
@@ -26,6 +26,9 @@ EXAM = "考试复习|复习笔记"
 CHAPTER = r"^(?!00_|99_)\d{2}_.+\.md$"
 AUDIT, MANIFEST = "(?i)覆盖审查|coverage", "(?i)source[_-]?manifest|源材料|source.*manifest"
 LEAST_CHAPTER, LEAST_DETAILED, LEAST_EXAM = 80, 250, 250
+COURSE_RESIDUE = "相关知识链接|TODO|FIXME|TBD|待补|待完善"
+ALONE_MATH = r"^(?:\s|>|[-+*]\s|\d{1,9}[.)]\s)*\$\$\s*$"
+LINE_END = "\r\n|\r|\n"
 GENERIC_RESIDUE = r"例题模板|高频答题模板|答题模板|空话|套话|占位|\.\.\."
 # Notes of web collections.
 SCAFFOLD = "(?i)status:\\s*scaffold|待补充|TODO|To complete"
@@ -58,10 +61,15 @@ LEGACY_ROUTES = [
     "遥感算法岗", "供应链算法岗", "RAG算法岗", "Agent算法岗", "AIGC算法岗",
 ]
 COMBINED_ROUTES = ["搜索与推荐路线", "搜索与推荐方向", "机器人与具身智能路线", "机器人与具身方向"]
+LEGACY_LABELS = [
+    "多模态", "强化学习", "图学习", "GNN", "时序", "广告", "风控", "数据科学", "量化", "医疗 AI", "遥感", "供应链", "RAG", "Agent", "AIGC", "生成模型",
+    "Diffusion", "MLOps", "自动驾驶", "智能驾驶",
+]
 LEGACY_VALUES = [
     "multimodal", "reinforcement_learning", "rl", "gnn", "graph_learning", "time_series", "advertising", "ads", "risk_control", "data_science", "quant",
     "finance", "healthcare_ai", "remote_sensing", "supply_chain", "rag", "agent", "aigc", "generative_model", "mlops",
 ]
+NAMING_KEYS, FORBIDDING = ["aliases", "tags"], "不能做|禁止|不得"
 ROUTE_CONTEXT = "(?i)岗位|方向|路线|入口|地图|矩阵|分类|主线|track|direction|route"
 REJECTED_BEFORE = (
     "(?:禁止(?:创建|新增|保留)?|不得(?:创建|新增|保留|作为)?|不应(?:创建|新增|保留|作为)?|不能(?:创建|新增|保留)?|不要(?:创建|新增|保留)?|不再|不设置|不新增|不创建|"
@@ -85,6 +93,11 @@ def masked_lines(docs: DataFrame) -> DataFrame:
     return both.select("path", F.posexplode(pairs).alias("i", "p")).select("path", (F.col("i") + 1).alias("line_no"), F.col("p.line").alias("line"), F.col("p.raw").alias("raw"))
 
 
+def visible_lines(notes: DataFrame) -> DataFrame:
+    """``path``, ``line_no``, ``line`` with frontmatter, fences and comments out of it; inline code stays."""
+    return notes.select("path", F.posexplode(F.split(visible_text("text"), LINE_END)).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
+
+
 def nonblank_lines(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"(?U)\S")))
 
@@ -115,8 +128,44 @@ def linked_stems(notes: DataFrame) -> DataFrame:
     return local.select("path", _stem(_name(F.coalesce(F.try_url_decode(F.replace("target", F.lit("+"), F.lit("%2B"))), "target"))).alias("stem")).distinct()
 
 
-def course_issues(notes: DataFrame, strict_depth: bool = True, allow_exam: bool = False, require_audit: bool = False, least: tuple[int, int, int] = (LEAST_CHAPTER, LEAST_DETAILED, LEAST_EXAM)) -> DataFrame:
-    """Missing overviews, review pages, audits and review links, and notes with too few lines that are not blank."""
+def content_issues(notes: DataFrame, strict: bool = False) -> DataFrame:
+    """Empty notes, conflict markers, left-overs, open fences, odd block math and broken tables, in one pass over masked lines.
+
+    An empty note breaks no other rule.  A table is a run of lines between bars;
+    its first line says how many columns the others have.
+    """
+    docs = notes.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    empty = docs.where(~F.col("text").rlike(r"(?U)\S"))
+    both = docs.where(F.col("text").rlike(r"(?U)\S")).select("path", "text", masked_code("text").alias("m"))
+    edges = F.contains("text", F.lit("<<<<<<<")) & F.contains("text", F.lit(">>>>>>>"))
+    zipped = F.arrays_zip(F.split("m.masked", LINE_END).alias("line"), F.split("text", LINE_END).alias("raw"), F.split(masked_comments(F.col("m.masked")), LINE_END).alias("seen"))
+    rows = both.select("path", F.col("m.left_open").alias("open"), edges.alias("edges"), F.posexplode(zipped).alias("i", "p")).select("path", "open", "edges", (F.col("i") + 1).alias("line_no"), "p.*")
+    line, bare = F.col("line"), F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    cells = F.regexp_count(F.regexp_replace("line", r"\\.", ""), F.lit(r"\|")) - 1
+    is_row = line.rlike(r"^(?U:\s*)\|") & line.rlike(r"\|(?U:\s*)$")
+    so_far = by_line().rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumns({"cells": F.when(is_row, cells), "island": F.sum((~is_row).cast("int")).over(so_far), "math": F.sum(F.col("seen").rlike(ALONE_MATH).cast("int")).over(Window.partitionBy("path"))})
+    marked = marked.withColumn("expected", F.first("cells", ignorenulls=True).over(Window.partitionBy("path", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("line_no") == 1
+    told = lambda when, rule, message, at: F.when(when, F.struct(F.lit(rule).alias("rule"), at.cast("int").alias("line_no"), message.alias("message")))
+    here, whole = F.col("line_no"), F.lit(0)
+    checks = [
+        told(bare.startswith("<<<<<<<") | bare.startswith(">>>>>>>") | (F.col("edges") & (bare == "=======")), "conflict_marker", bare, here),
+        told(line.rlike(COURSE_RESIDUE), "template_residue", F.regexp_extract("line", COURSE_RESIDUE, 0), here),
+        told(F.lit(strict) & line.rlike(GENERIC_RESIDUE), "generic_template_residue", F.regexp_extract("line", GENERIC_RESIDUE, 0), here),
+        told(first & F.col("open"), "unbalanced_fence", F.lit("fence"), whole),
+        told(first & (F.col("math") % 2 == 1), "unbalanced_math", F.col("math").cast("string"), whole),
+        told(F.col("cells") != F.col("expected"), "broken_table", F.concat(F.col("cells").cast("string"), F.lit(" for "), F.col("expected").cast("string")), here),
+    ]
+    found = marked.select("path", F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+    return all_of(issue(empty, "empty_file", F.lit("no content")), found.select("rule", F.col("path").cast("string").alias("path"), "line_no", "message"))
+
+
+def course_issues(notes: DataFrame, strict_depth: bool = False, allow_exam: bool = False, require_audit: bool = False, least: tuple[int, int, int] = (LEAST_CHAPTER, LEAST_DETAILED, LEAST_EXAM)) -> DataFrame:
+    """Missing overviews, review pages, audits and review links; if strict, notes with too few lines that are not blank.
+
+    What single notes hold is told by ``content_issues``.
+    """
     pages = course_pages(notes)
     exam_only = F.lit(allow_exam) & (F.col("exams") > 0) & (F.col("detailed").isNull() | F.col("concise").isNull())
     absent = lambda column, rule, message: issue(pages.where(column).select(F.col("course").alias("path")), rule, F.lit(message))
@@ -201,30 +250,65 @@ def web_collection_issues(notes: DataFrame) -> DataFrame:
     )
 
 
+def _route_fragments(notes: DataFrame) -> DataFrame:
+    """``path``, ``line_no``, ``line``, ``fragment``: what may name a route, outside frontmatter, fences and comments.
+
+    A table's columns whose head forbids are left out of its rows; the set of
+    such columns is carried along the rows until the table ends or another head
+    forbids others.
+    """
+    rows = visible_lines(notes)
+    line = F.trim("line")
+    is_row = F.ltrim("line").startswith("|")
+    cells = F.when(is_row, F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)))
+    rule = F.forall("cells", lambda c: c.rlike("^:?-{3,}:?$"))
+    forbids = lambda c: c.rlike(FORBIDDING)
+    heads = F.filter(F.transform("cells", lambda c, k: F.when(forbids(c), k)), lambda k: k.isNotNull())
+    placed = rows.withColumn("cells", cells).withColumn("rule", F.coalesce(rule, F.lit(False)))
+    state = F.when(F.col("cells").isNull(), F.array().cast("array<int>")).when(~F.col("rule") & (F.size(heads) > 0), heads)
+    carried = placed.withColumn("out", F.last(state, ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.filter(F.transform("cells", lambda c, k: F.when(~F.array_contains("out", k), c)), lambda c: c.isNotNull())
+    whole = F.col("cells").isNull() | F.col("out").isNull() | (F.size("out") == 0)
+    return carried.select("path", "line_no", "line", F.explode(F.when(F.col("rule"), F.array().cast("array<string>")).when(whole, F.array("line")).otherwise(left)).alias("fragment"))
+
+
 def route_issues(notes: DataFrame) -> DataFrame:
-    """Lines about routes that name a category of their own beside the nine directions, unless they reject it."""
+    """Lines about routes that name a category of their own beside the nine directions, unless they reject it or stand in a forbidding column."""
     phrases = LEGACY_ROUTES + COMBINED_ROUTES
-    rows = masked_lines(notes.where(F.col("text").rlike("|".join(phrases)))).where(F.col("line").rlike(ROUTE_CONTEXT))
-    each = rows.select("path", "line_no", "line", F.explode(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains("line", p))).alias("phrase"))
-    parts = each.withColumn("parts", F.split("line", F.concat(F.lit(r"\Q"), "phrase", F.lit(r"\E"))))
+    rows = _route_fragments(notes.where(F.col("text").rlike("|".join(phrases)))).where(F.col("fragment").rlike(ROUTE_CONTEXT))
+    each = rows.select("path", "line_no", "fragment", F.explode(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains("fragment", p))).alias("phrase"))
+    parts = each.withColumn("parts", F.split("fragment", F.concat(F.lit(r"\Q"), "phrase", F.lit(r"\E")), -1))
     # An occurrence stands between two neighbouring parts; what is before and after it decides.
-    before = lambda k: F.regexp_extract(F.concat_ws("", F.slice("parts", k, F.lit(1))), r"(?s)(.{0,32})\z", 1)
-    after = lambda k: F.substring(F.concat_ws("", F.slice("parts", k + 1, F.lit(1))), 1, 40)
+    joined = lambda some: F.call_function("array_join", some, F.col("phrase"))
+    before = lambda k: F.regexp_extract(joined(F.slice("parts", F.lit(1), k)), r"(?s)(.{0,32})\z", 1)
+    after = lambda k: F.substring(joined(F.slice("parts", k + 1, F.size("parts"))), 1, 40)
     open_ = F.exists(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: ~(before(k).rlike(REJECTED_BEFORE) | after(k).rlike(REJECTED_AFTER)))
-    return issue(parts.where(open_), "extra_route", F.col("phrase"), F.col("line_no"))
+    return issue(parts.where(open_).select("path", "line_no", "phrase").distinct(), "extra_route", F.col("phrase"), F.col("line_no"))
+
+
+def matrix_headers(notes: DataFrame) -> DataFrame:
+    """Table rows that head a matrix of knowledge points or directions and name a category that is no direction."""
+    rows = visible_lines(notes.where(F.col("text").rlike("知识点|岗位方向"))).where(F.ltrim("line").startswith("|") & F.col("line").rlike("知识点|岗位方向"))
+    bare = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.regexp_replace(F.trim(c), "^[`*\"']+|[`*\"']+$", ""))
+    each = rows.select("path", "line_no", F.explode(F.array_intersect(bare, F.array(*map(F.lit, LEGACY_LABELS)))).alias("label"))
+    return issue(each, "extra_matrix_category", F.col("label"), F.col("line_no"))
 
 
 def direction_values(notes: DataFrame) -> DataFrame:
-    """Frontmatter directions that are legacy routes or unknown."""
+    """Frontmatter directions that are legacy routes or unknown, and aliases and tags that name a legacy route."""
     front = frontmatter(notes)
     scalars = front.select("path", F.explode(F.map_entries("keys")).alias("e")).select("path", F.col("e.key").alias("key"), F.col("e.value").alias("raw"))
     inline = F.transform(F.split(F.regexp_replace("raw", r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", ""))
     singles = scalars.select("path", "key", F.explode(F.when(F.col("raw").rlike(r"^\[.*\]$"), inline).otherwise(F.array("raw"))).alias("value"))
     lists = front.select("path", F.explode("lists").alias("l")).select("path", F.col("l.key").alias("key"), F.explode("l.value").alias("value"))
-    values = singles.union(lists).where(F.col("key").isin(DIRECTION_KEYS) & (F.trim("value") != ""))
+    values = singles.union(lists).where(F.col("key").isin(DIRECTION_KEYS + NAMING_KEYS) & (F.trim("value") != ""))
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("value")), r"[\s/.-]+", "_"), "^_+|_+$", "")
-    legacy = plain.isin(LEGACY_VALUES) | F.lower("value").rlike("|".join(p.lower() for p in LEGACY_ROUTES))
-    why = F.when(legacy, "legacy_direction").when((plain != "") & ~plain.isin(DIRECTION_IDS) & ~plain.isin(GENERIC_DIRECTIONS), "unknown_direction")
+    phrase, direction = F.lower("value").rlike("|".join(p.lower() for p in LEGACY_ROUTES)), F.col("key").isin(DIRECTION_KEYS)
+    why = (
+        F.when(~direction & phrase, "legacy_route_name")
+        .when(direction & (plain.isin(LEGACY_VALUES) | phrase), "legacy_direction")
+        .when(direction & (plain != "") & ~plain.isin(DIRECTION_IDS) & ~plain.isin(GENERIC_DIRECTIONS), "unknown_direction")
+    )
     return values.withColumn("rule", why).where("rule is not null").select("rule", F.col("path").cast("string").alias("path"), F.lit(0).alias("line_no"), F.col("value").alias("message"))
 
 

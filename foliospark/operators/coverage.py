@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.many import containing
+
 
 def tree_diff(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """``key``, ``state``: added, stale, changed or unchanged."""
@@ -65,8 +67,8 @@ def contained(passages: DataFrame, docs: DataFrame, tokens: int = 5) -> DataFram
     sixth word, every run of the document; of a shorter passage by fewer.  Runs
     carry ids only; the texts of candidate pairs are joined once, and
     ``contains`` decides.  Words at the passage's ends may be cut in the
-    document, so passages of fewer than three words have no key; they are tried
-    on each document together, as one expression per batch of passages.
+    document, so passages of fewer than three words have no key; they are looked
+    for together, by one automaton over each document.
     """
     words = lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ")
     sized = passages.where("text is not null and text <> ''").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
@@ -88,18 +90,13 @@ def contained(passages: DataFrame, docs: DataFrame, tokens: int = 5) -> DataFram
     if pairs is not None:
         held = pairs.distinct().join(keyed.select("item_id", "passage").distinct(), "item_id").join(docs.select("doc_id", "text"), "doc_id")
         found = held.where("contains(text, passage)").select("item_id", "doc_id")
-    short = [(r["item_id"], r["passage"]) for r in sized.where(F.size("w") < 3).select("item_id", "passage").toLocalIterator()]
-    for at in range(0, len(short), SHORT_BATCH):
-        hit = F.array(*(F.when(F.contains("text", F.lit(p)), F.lit(i)) for i, p in short[at : at + SHORT_BATCH]))
-        one = docs.select(F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("item_id"), "doc_id")
+    short = sized.where(F.size("w") < 3).select(F.col("item_id").alias("id"), F.col("passage").alias("text"))
+    if not short.isEmpty():
+        one = containing(docs, "doc_id", short).select(F.col("id").alias("item_id"), "doc_id")
         found = one if found is None else found.unionByName(one)
     return (found if found is not None else passages.select("item_id").limit(0).join(docs.select("doc_id"))).distinct()
 
 
-#: Passages of one or two words that one expression looks for.
-SHORT_BATCH = 64
-
-
 def second_places(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key an earlier (path, line_no) has, with the first place."""
     first = rows.groupBy(key).agg(F.min(F.struct("path", "line_no")).alias("f"), F.count("*").alias("n")).where("n > 1")

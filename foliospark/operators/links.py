@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.markdown import markdown_links as inline_links
-from foliospark.functions.markdown import masked_code
+from foliospark.functions.markdown import masked_code, without_code
 from foliospark.functions.text import nfkc, slug, stem_key, unescaped
 from foliospark.session import written
 
@@ -20,8 +20,9 @@ PATTERN = r"(?<!!)\[[^\]]*\]\(([^)\s]+)[^)]*\)"
 
 
 def wikilinks(notes: DataFrame, text: str = "text") -> DataFrame:
-    """``path``, ``pos``, ``raw``, ``target``, ``fragment``; embeds do not count, aliases are cut."""
-    each = notes.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(WIKI), F.lit(1))).alias("pos", "raw"))
+    """``path``, ``pos``, ``raw``, ``target``, ``fragment`` outside code; embeds do not count, aliases are cut."""
+    held = notes.where(F.contains(text, F.lit("[["))).select("path", without_code(F.col(text)).alias("folio_text"))
+    each = held.select("path", F.posexplode(F.regexp_extract_all("folio_text", F.lit(WIKI), F.lit(1))).alias("pos", "raw"))
     bare = F.trim(F.substring_index("raw", "|", 1))
     return each.select("path", "pos", "raw", F.trim(F.substring_index(bare, "#", 1)).alias("target"), F.nullif(F.regexp_extract(bare, "#(.*)$", 1), F.lit("")).alias("fragment"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import compact_length, has_control, heading_anchor, keyword_pile
 from foliospark.operators.frames import by_line, lines, without_frontmatter
+from foliospark.operators.many import first_patterns
 
 # Words and patterns that the rules look for.
 RESIDUE = "相关知识链接|TODO|FIXME|TBD|待补|待完善"
@@ -65,29 +66,13 @@ def residue(docs: DataFrame, pattern: str = RESIDUE, rule: str = "template_resid
     return issue(rows.where(F.col("line").rlike(pattern)), rule, F.regexp_extract("line", f"({pattern})", 1), F.col("line_no"))
 
 
-#: Patterns joined into one alternation that documents and lines are held against before each pattern is.
+#: Kept for callers that set it; lists are cut by ``many.PART_BYTES``.
 PATTERN_BATCH = 64
 
 
 def custom_residue(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Lines with the first fitting pattern (``id``, ``regex``) of a user's list.
-
-    The list is read in batches: lines that fit none of a batch's alternation are
-    left out before its patterns are tried one by one, and no line meets a join.
-    """
-    listed = [(r["id"], r["regex"]) for r in patterns.select("id", "regex").orderBy("id").toLocalIterator()]
-    found = None
-    for at in range(0, len(listed), PATTERN_BATCH):
-        batch = listed[at : at + PATTERN_BATCH]
-        any_ = "|".join(f"(?:{regex})" for _, regex in batch)
-        rows = lines(docs.where(F.col("text").rlike(f"(?m){any_}"))).where(F.col("line").rlike(any_))
-        first = F.coalesce(*(F.when(F.col("line").rlike(regex), F.lit(id_)) for id_, regex in batch))
-        one = rows.select("path", "line_no", first.alias("id")).where("id is not null")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return issue(docs.limit(0), "custom_residue", F.lit(""))
-    if len(listed) > PATTERN_BATCH:
-        found = found.groupBy("path", "line_no").agg(F.min("id").alias("id"))
+    """Lines with the first fitting pattern (``id``, ``regex``) of a user's list, each tried on its own; one scan for the whole list."""
+    found = first_patterns(docs, patterns)
     return issue(found, "custom_residue", F.col("id").cast("string"), F.col("line_no"))
 
 

@@ -75,7 +75,7 @@ UNION ALL SELECT 'missing_review_link', w.overview, w.name FROM w WHERE NOT EXIS
 """)
 def course_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overviews, review pages, audits, thin notes and review links of each course."""
-    return courses.course_issues(notes(spark, sf_dir), require_audit=True, least=(6, 9, 12)).select("rule", "path", "message")
+    return courses.course_issues(notes(spark, sf_dir), strict_depth=True, require_audit=True, least=(6, 9, 12)).select("rule", "path", "message")
 
 
 @query(_NOTES + _LINES.replace("FROM n)", "FROM (SELECT path, regexp_replace(text, '^---\\n(?s:.*?)\\n---\\n', '') AS text FROM n))") + r""",
