@@ -95,3 +95,34 @@ def decks(slides: DataFrame) -> DataFrame:
         return pd.DataFrame({"path": [f"{name}.pptx"], "content": [_deck(name, pages)]})
 
     return slides.select("deck", "pos", "title", "role", "proof").groupBy("deck").applyInPandas(one, "path string, content binary")
+
+
+def _laid(item: dict, number: int) -> str:
+    """One shape of a laid-out slide as XML: ``kind`` and ``x``, ``y``, and what its kind needs."""
+    name = f'<p:cNvPr id="{number}" name="{item["kind"]} {number}"/>'
+    off = f'<a:off x="{item["x"]}" y="{item["y"]}"/>'
+    lines = lambda text: "".join(f"<a:p><a:r><a:t>{escape(line)}</a:t></a:r></a:p>" for line in text.split("\n"))
+    if item["kind"] == "group":
+        (w, h), (cx, cy), (cw, ch) = item["ext"], item["child_off"], item["child_ext"]
+        frame = f'<a:xfrm{" flipH=" + chr(34) + "1" + chr(34) if item.get("flip") else ""}>{off}<a:ext cx="{w}" cy="{h}"/><a:chOff x="{cx}" y="{cy}"/><a:chExt cx="{cw}" cy="{ch}"/></a:xfrm>'
+        inner = "".join(_laid(x, 100 * number + k) for k, x in enumerate(item["items"], 1))
+        return f"<p:grpSp><p:nvGrpSpPr>{name}<p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr>{frame}</p:grpSpPr>{inner}</p:grpSp>"
+    if item["kind"] == "table":
+        rows = "".join('<a:tr h="1">' + "".join(f"<a:tc><a:txBody><a:bodyPr/>{lines(c)}</a:txBody></a:tc>" for c in row) + "</a:tr>" for row in item["rows"])
+        return f'<p:graphicFrame><p:nvGraphicFramePr>{name}<p:cNvGraphicFramePr/><p:nvPr/></p:nvGraphicFramePr><p:xfrm>{off}<a:ext cx="1" cy="1"/></p:xfrm><a:graphic><a:graphicData uri="{_A}/table"><a:tbl>{rows}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>'
+    if item["kind"] == "picture":
+        return f'<p:pic><p:nvPicPr>{name}<p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill/><p:spPr><a:xfrm>{off}<a:ext cx="1" cy="1"/></a:xfrm></p:spPr></p:pic>'
+    return f'<p:sp><p:nvSpPr>{name}<p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm>{off}<a:ext cx="1" cy="1"/></a:xfrm></p:spPr><p:txBody><a:bodyPr/>{lines(item["text"])}</p:txBody></p:sp>'
+
+
+def laid_deck(slides: list[dict]) -> bytes:
+    """A package of slides (``items`` and ``notes``, a text or None) with shapes, groups, tables and pictures where they are said to be."""
+    head = f'xmlns:a="{_A}" xmlns:p="{_P}" xmlns:r="{_R}"'
+    tree = lambda items: "<p:cSld><p:spTree><p:nvGrpSpPr><p:cNvPr id=\"1\" name=\"\"/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>" + "".join(_laid(x, k) for k, x in enumerate(items, 2)) + "</p:spTree></p:cSld>"
+    entries: dict[str, str] = {"ppt/presentation.xml": f"<p:presentation {head}/>"}
+    for n, slide in enumerate(slides, 1):
+        entries[f"ppt/slides/slide{n}.xml"] = f"<p:sld {head}>{tree(slide['items'])}</p:sld>"
+        if slide.get("notes") is not None:
+            entries[f"ppt/slides/_rels/slide{n}.xml.rels"] = f'<Relationships xmlns="{_TYPES}relationships"><Relationship Id="rId1" Type="{_R}/notesSlide" Target="../notesSlides/notesSlide{n}.xml"/></Relationships>'
+            entries[f"ppt/notesSlides/notesSlide{n}.xml"] = f"<p:notes {head}>{tree([{'kind': 'text', 'x': 0, 'y': 0, 'text': slide['notes']}])}</p:notes>"
+    return _zip({name: text.encode() for name, text in entries.items()}, 0)

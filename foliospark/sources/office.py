@@ -11,7 +11,6 @@ import io
 import re
 import struct
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources import pdf
+
 # Input budgets, coverage thresholds and the record types of presentations.
 MAX_BYTES, MAX_PAGES, MAX_CHARS = 256 << 20, 10_000, 64 << 20
 LEAST_SHARE, LEAST_CHARS = 0.5, 20
@@ -59,41 +60,8 @@ def _by_pdfplumber(content: bytes) -> list[str]:
         return [page.extract_text() or "" for page in pdf.pages]
 
 
-_STRING = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>"
-_SHOWN = re.compile(rb"(\[(?:" + _STRING + rb"|[^\]])*\]|" + _STRING + rb")\s*(?:TJ|Tj|'|\")|(T\*|(?:Td|TD|ET)\b)", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _string(raw: bytes) -> str:
-    if raw.startswith(b"<"):
-        data = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", raw[1:-1])) % 2))
-    else:
-        data = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
-    return data.decode("utf-16-be", "replace")[1:] if data.startswith(b"\xfe\xff") else data.decode("cp1252", "replace")
-
-
-def _plain_pages(content: bytes) -> list[str]:
-    """Pages of PDFs whose objects are not packed and whose fonts have byte encodings."""
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
-
-    def stream(number: int) -> bytes:
-        head, _, rest = objects.get(number, b"").partition(b"stream")
-        data = re.sub(rb"^\r?\n", b"", rest).rsplit(b"endstream", 1)[0]
-        return zlib.decompressobj().decompress(data, MAX_CHARS) if b"FlateDecode" in head else data
-
-    def shown(code: bytes) -> str:
-        out = []
-        for m in _SHOWN.finditer(code):
-            out.append("\n" if m[2] else "".join(map(_string, re.findall(_STRING, m[1], re.S))))
-        return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
-
-    pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", body)]
-    named = [re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) for body in pages]
-    return ["\n".join(shown(stream(int(n))) for n in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else "" for m in named]
-
-
 #: Readers of PDF pages in order; those whose library is missing are passed over.
-PDF_READERS: list[tuple[str, Callable[[bytes], list[str]]]] = [("pypdf", _by_pypdf), ("pdfplumber", _by_pdfplumber), ("plain", _plain_pages)]
+PDF_READERS: list[tuple[str, Callable[[bytes], list[str]]]] = [("pypdf", _by_pypdf), ("pdfplumber", _by_pdfplumber), ("plain", pdf.page_texts)]
 
 
 def covered(pages: list[str]) -> bool:
@@ -277,7 +245,7 @@ def gaps(found: DataFrame) -> DataFrame:
 
 def presentation_lines(shapes: DataFrame) -> DataFrame:
     """Lines of slides in document order: runs of equal lines once, slides without text left out."""
-    each = shapes.where("text is not null").select("source", "slide_no", "pos", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
+    each = shapes.where("text is not null and kind in ('text', 'table')").select("source", "slide_no", "pos", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
     clean = each.withColumn("line", F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     before = F.lag("line").over(Window.partitionBy("source", "slide_no").orderBy("pos", "k"))
     return clean.withColumn("before", before).where(~F.col("line").eqNullSafe(F.col("before"))).select("source", "slide_no", "pos", "k", "line")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import posixpath
 import re
 import tarfile
 import zipfile
@@ -99,7 +100,14 @@ def running_total(entries: DataFrame) -> DataFrame:
 
 
 def slide_shapes(files: DataFrame) -> DataFrame:
-    """Text shapes of PPTX files: ``source``, ``slide_no``, ``pos``, ``top``, ``left``, ``text``."""
+    """What slides of PPTX files show: ``source``, ``slide_no``, ``pos``, ``top``, ``left``, ``text``, ``kind``.
+
+    Kinds are text, table (a line for each row, cells parted by bars), image and
+    chart (with a placeholder as text) and notes (of the speaker).  Places are the
+    slide's, also of shapes in nested groups.  A part larger than
+    ``MAX_MEMBER`` and a package that cannot be read are a row without text, of
+    slide 0; a slide without anything is one of its own number.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,32 +115,103 @@ def slide_shapes(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for name in archive.namelist():
-                            if m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", name):
-                                rows += [(path, int(m[1]), *shape) for shape in _shapes(archive.read(name))]
-                except (zipfile.BadZipFile, ElementTree.ParseError):
-                    rows.append((path, 0, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["source", "slide_no", "pos", "top", "left", "text"]).astype({"top": "Int64", "left": "Int64"})
-
-    return files.select("path", "content").mapInPandas(run, "source string, slide_no int, pos int, top long, left long, text string")
-
-
-def _shapes(xml: bytes) -> list[tuple]:
-    out = []
-    for pos, shape in enumerate(ElementTree.fromstring(xml).iter(f"{_SHAPE}sp")):
-        place = shape.find(f".//{_TEXT}off")
-        lines = ["".join(t.text or "" for t in p.iter(f"{_TEXT}t")) for p in shape.iter(f"{_TEXT}p")]
-        text = "\n".join(x for x in lines if x.strip())
-        if text:
-            out.append((pos, int(place.get("y", 0)) if place is not None else 0, int(place.get("x", 0)) if place is not None else 0, text))
+                        found = [(path, number, pos, *shape) for number, name in _slides(archive) for pos, shape in enumerate(_slide(archive, name) or [(None, None, None, None)])]
+                    rows += found
+                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, TypeError):
+                    rows.append((path, 0, 0, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["source", "slide_no", "pos", "top", "left", "text", "kind"]).astype({"top": "Int64", "left": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "source string, slide_no int, pos int, top long, left long, text string, kind string")
+
+
+_RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+EMPTY_NOTE = "click to add notes"
+
+
+def _slides(archive: zipfile.ZipFile) -> list[tuple[int, str]]:
+    return sorted((int(m[1]), name) for name in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", name)))
+
+
+def _part(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    if archive.getinfo(name).file_size > MAX_MEMBER:
+        raise ValueError("too large")
+    return ElementTree.fromstring(archive.read(name))
+
+
+def _slide(archive: zipfile.ZipFile, name: str) -> list[tuple]:
+    """Place, text and kind of everything on a slide, then its notes."""
+    root = _part(archive, name)
+    tree = root.find(f".//{_SHAPE}spTree")
+    out = list(_shapes(root if tree is None else tree, (1.0, 0.0, 1.0, 0.0)))
+    relations = f"{posixpath.dirname(name)}/_rels/{posixpath.basename(name)}.rels"
+    if relations in archive.namelist():
+        for relation in _part(archive, relations).iter(_RELATION):
+            target = posixpath.normpath(posixpath.join(posixpath.dirname(name), relation.get("Target", ""))).lstrip("/")
+            if relation.get("Type", "").endswith("/notesSlide") and target in archive.namelist():
+                notes = (_paragraphs(shape) for shape in _part(archive, target).iter(f"{_SHAPE}sp"))
+                out += [(None, None, text, "notes") for text in notes if text and text.lower() != EMPTY_NOTE]
     return out
 
 
+def _paragraphs(node: ElementTree.Element) -> str:
+    """Paragraphs with text, line breaks kept."""
+    lines = ["".join("\n" if part.tag == f"{_TEXT}br" else part.text or "" for part in p.iter() if part.tag in (f"{_TEXT}t", f"{_TEXT}br")) for p in node.iter(f"{_TEXT}p")]
+    return "\n".join(x for x in lines if x.strip())
+
+
+def _numbers(node: ElementTree.Element | None, *names: str) -> list[int]:
+    return [int(node.get(n, 0) or 0) if node is not None else 0 for n in names]
+
+
+def _shapes(tree: ElementTree.Element | None, space: tuple[float, float, float, float]) -> Iterator[tuple]:
+    """Shapes of a tree; ``space`` (scale and shift of x and y) leads from the tree's coordinates to the slide's."""
+    for shape in tree if tree is not None else ():
+        kind = shape.tag.removeprefix(_SHAPE)
+        frame = shape.find(f"{_SHAPE}xfrm") if kind == "graphicFrame" else shape.find(f"{_SHAPE}{'grpSpPr' if kind == 'grpSp' else 'spPr'}/{_TEXT}xfrm")
+        x, y = _numbers(frame.find(f"{_TEXT}off") if frame is not None else shape.find(f".//{_TEXT}off") if kind == "sp" else None, "x", "y")
+        if kind == "grpSp":
+            yield from _shapes(shape, _inner(frame, x, y, space))
+            continue
+        place = (round(space[2] * y + space[3]), round(space[0] * x + space[1]))
+        name = next((p.get("name", "") for p in shape.iter(f"{_SHAPE}cNvPr")), "")
+        if kind == "sp" and (text := _paragraphs(shape)):
+            yield *place, text, "text"
+        elif kind == "pic":
+            yield *place, f"[Image placeholder: {name or 'picture'}]", "image"
+        elif kind == "graphicFrame":
+            rows = [[t for cell in row.iter(f"{_TEXT}tc") if (t := _paragraphs(cell).strip())] for row in shape.iter(f"{_TEXT}tr")]
+            if any(rows):
+                yield *place, "\n".join(dict.fromkeys(" | ".join(cells) for cells in rows if cells)), "table"
+            elif any("/chart" in (d.get("uri") or "") for d in shape.iter(f"{_TEXT}graphicData")):
+                yield *place, f"[Chart placeholder: {name or 'chart'}]", "chart"
+
+
+def _inner(frame: ElementTree.Element | None, x: int, y: int, space: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """The space of a group's children: their box is laid on the group's, mirrored where the group is."""
+    if frame is None or frame.find(f"{_TEXT}chExt") is None:
+        return space
+    (width, height), (from_x, from_y), (inner_w, inner_h) = (_numbers(frame.find(f"{_TEXT}{n}"), *ks) for n, ks in (("ext", ("cx", "cy")), ("chOff", ("x", "y")), ("chExt", ("cx", "cy"))))
+    sx, sy = width / inner_w if inner_w else 1.0, height / inner_h if inner_h else 1.0
+    dx, dy = x - sx * from_x, y - sy * from_y
+    if frame.get("flipH") in ("1", "true"):
+        sx, dx = -sx, 2 * x + width - dx
+    if frame.get("flipV") in ("1", "true"):
+        sy, dy = -sy, 2 * y + height - dy
+    return space[0] * sx, space[0] * dx + space[1], space[2] * sy, space[2] * dy + space[3]
+
+
 def slide_texts(shapes: DataFrame) -> DataFrame:
-    """One row per slide: shapes by (top, left), repeated texts once, and the title (first line)."""
+    """One row per slide: shapes by (top, left), repeated texts once, and the title (first line); notes and placeholders are no text of the slide."""
     ordered = F.array_sort(F.collect_list(F.struct("top", "left", "pos", "text")))
     texts = F.array_distinct(F.transform(ordered, lambda s: s["text"]))
-    return shapes.where("text is not null").groupBy("source", "slide_no").agg(F.array_join(texts, "\n").alias("text")).withColumn("title", F.substring_index("text", "\n", 1))
+    return shapes.where("text is not null and kind in ('text', 'table')").groupBy("source", "slide_no").agg(F.array_join(texts, "\n").alias("text")).withColumn("title", F.substring_index("text", "\n", 1))
+
+
+def slide_counts(shapes: DataFrame) -> DataFrame:
+    """``source``, ``slides``, ``blank_slides`` (without text), ``media`` and ``notes`` of each file that could be read."""
+    told = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    per = shapes.where("slide_no > 0").groupBy("source", "slide_no").agg(told("text", "table").alias("t"), told("image", "chart").alias("m"), told("notes").alias("n"))
+    return per.groupBy("source").agg(F.count("*").alias("slides"), F.count_if(F.col("t") == 0).alias("blank_slides"), F.sum("m").alias("media"), F.sum("n").alias("notes"))
 
 
 def content_digest(records: DataFrame) -> DataFrame:
