@@ -6,17 +6,19 @@ the rules to them anew.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import urls
 from foliospark.operators import coverage, frames, frontmatter, manifests, policies, rules
 from foliospark.plans.registry import query, table
-from foliospark.session import shared_folder, written
-from foliospark.sinks import files as sink
+from foliospark.session import shared_folder
+from foliospark.sinks import commit
 from foliospark.sinks import packages as pack
 from foliospark.sinks import reports
-from foliospark.sources import office, packages, vault
+from foliospark.sources import guarded, office, packages, vault
 from foliospark.streaming import incremental
 
 _NL, _TICK = "chr(10)", "chr(96)"
@@ -60,27 +62,22 @@ def affected_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files, one by one, and read again by a scan; by digest."""
     rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-    import uuid
-
-    root = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
-    state = sink.publish(rows, root.removeprefix("file://").removeprefix("file:"))
-    outcome = state.groupBy("state").agg(F.count("*").alias("n")).collect()  # the writing happens here, once
+    root, states = (f"{shared_folder(spark)}/published{k}-{uuid.uuid4().hex}" for k in ("", "-states"))
+    outcome = commit.publish(rows, root, states).groupBy("state").agg(F.count("*").alias("n")).collect()
     named = outcome[0]["state"] if len(outcome) == 1 else "mixed"
-    found = vault.named(vault.files(spark, root if "://" in root else f"file://{root}", "*.md").select("path", vault.strict_text(F.col("content")).alias("text")))
-    return found.select("path", F.lit(named).alias("state"), F.sha2("text", 256).alias("digest"))
+    found = guarded.guarded_files(spark, root, suffixes="md").where("problem is null")
+    return found.select("path", F.lit(named).alias("state"), F.sha2(vault.strict_text(F.col("content")), 256).alias("digest"))
 
 
 @query("SELECT doc_id::VARCHAR || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'unchanged' WHEN doc_id % 2 = 0 THEN 'written' ELSE 'conflict' END AS state FROM documents")
 def guarded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written again with the digest that their writer has seen: a stale one is a conflict and changes nothing."""
-    import uuid
-
-    root = f"{shared_folder(spark)}/guarded-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    root, first, second = (f"{shared_folder(spark)}/guarded{k}-{uuid.uuid4().hex}" for k in ("", "-first", "-second"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-    sink.publish(rows.select("path", "text"), root).count()
+    commit.publish(rows.select("path", "text"), root, first)
     seen = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.lit("older"), 256))
     again = rows.select("path", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"), seen.alias("expected"))
-    return written(sink.publish(again, root), "states")
+    return commit.publish(again, root, second)
 
 
 _PACKED = "SELECT concat('p', doc_id % 5) AS package, concat('d/', doc_id, '.md') AS name, text FROM documents"
