@@ -20,23 +20,28 @@ and the other columns pass through untouched.
 
 from __future__ import annotations
 
+import itertools
+import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pfs
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, lean, materialize
+from foliospark.llm._common import binary_column, bounded_batches, discard, fresh, group_starts, in_bitmap, key_bitmap, lean, materialize, shared_dir, sorted_runs
 
 #: Symbols of one index; bounds the memory of a task.
 SHARD_SYMBOLS = 1_000_000
 #: Every so manieth text position keeps its suffix position.
 SAMPLE = 16
-#: Bytes of benchmark text whose windows a task holds at a time.
+#: Bytes of benchmark text, about, whose windows a task holds at a time.
 PART_BYTES = 8 << 20
 
 #: Columns that the operator adds; input columns of these names give way.
@@ -182,29 +187,44 @@ def phrases(items: list[tuple[str | None, bytes | None]], window: int) -> Phrase
     return Phrases(vocabulary, windows, [name for name, _ in items], min(windows, default=0))
 
 
-def _hits(docs: list[np.ndarray], test: Phrases) -> list[tuple[list[tuple[int, int]], list[str | None]]]:
-    """Per document of one shard: merged spans of hit words, and the items that occur."""
+def _hits(docs: list[np.ndarray], tests: Iterator[Phrases], symbols: int, shortest: int, local: dict[bytes, int] | None = None) -> list[tuple[list[tuple[int, int]], list[str | None]]]:
+    """Per document of one shard: merged spans of hit words, and the items that occur.
+
+    The index is built once, for all parts of the test set.  With ``local``, the
+    numbers of the shard's own words, the windows of a part are numbered anew and
+    those with a word that the shard lacks are left out.
+    """
     parts, doc_of, word_of = [np.zeros(1, dtype=np.int64)], [np.full(1, -1)], [np.full(1, -1)]
     for d, ids in enumerate(docs):
         known = np.concatenate([[False], ids > 0, [False]])
         edge = np.flatnonzero(known[1:] != known[:-1]).reshape(-1, 2)
-        for a, b in edge[edge[:, 1] - edge[:, 0] >= test.shortest]:
+        for a, b in edge[edge[:, 1] - edge[:, 0] >= shortest]:
             parts += [ids[a:b], np.zeros(1, dtype=np.int64)]
             doc_of.append(np.full(b - a + 1, d))
             word_of.append(np.append(np.arange(a, b), -1))
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     items: list[set[str | None]] = [set() for _ in docs]
     if len(parts) > 1:
-        index = FMIndex(np.concatenate(parts), len(test.vocabulary))
+        index = FMIndex(np.concatenate(parts), symbols)
         doc, word = np.concatenate(doc_of), np.concatenate(word_of)
-        for size, (patterns, first, owners) in test.windows.items():
-            lo, hi = index.search(patterns)
-            found = np.flatnonzero(lo < hi)
-            times = hi[found] - lo[found]
-            rows = np.repeat(lo[found] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
-            for at, p in zip(index.locate(rows).tolist(), np.repeat(found, times).tolist(), strict=True):
-                spans[doc[at]].append((int(word[at]), int(word[at]) + size))
-                items[doc[at]].update(test.items[k] for k in owners[first[p] : first[p + 1]])
+        for test in tests:
+            renumber = None if local is None else np.array([0, *(local.get(w, 0) for w in test.vocabulary)], dtype=np.int32)
+            for size, (patterns, first, owners) in test.windows.items():
+                asked = np.arange(len(patterns))
+                if renumber is not None:
+                    patterns = renumber[patterns]
+                    asked = np.flatnonzero((patterns > 0).all(axis=1))
+                    patterns = patterns[asked]
+                if not len(asked):
+                    continue
+                lo, hi = index.search(patterns)
+                found = np.flatnonzero(lo < hi)
+                times = hi[found] - lo[found]
+                rows = np.repeat(lo[found] - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+                for at, p in zip(index.locate(rows).tolist(), np.repeat(asked[found], times).tolist(), strict=True):
+                    spans[doc[at]].append((int(word[at]), int(word[at]) + size))
+                    items[doc[at]].update(test.items[k] for k in owners[first[p] : first[p + 1]])
+            spans = [_merge(found) for found in spans]  # what one part finds is summed up before the next
     return [(_merge(s), _sorted(i)) for s, i in zip(spans, items, strict=True)]
 
 
@@ -229,19 +249,77 @@ class _Known(dict):
         return 0
 
 
-def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False, cut: str | None = None):
-    """Finds the windows of one part of the benchmark; what ``earlier`` parts found is merged in.
+class _Numbered(dict):
+    """Numbers of a shard's own words, given as they come; 0 for a word that the benchmark cannot have."""
+
+    def __init__(self, bitmap: np.ndarray):
+        super().__init__()
+        self.bitmap, self.size = bitmap, 0
+
+    def __missing__(self, word: bytes) -> int:
+        number = 0
+        if in_bitmap(self.bitmap, np.array([_hash(word)], dtype=np.int64))[0]:
+            self.size += 1
+            number = self.size
+        self[word] = number
+        return number
+
+
+def _hash(word: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
+
+
+@dataclass(frozen=True)
+class _Parts:
+    """A test set in files of the shared folder, each of about ``PART_BYTES`` of text, and a bitmap of its words."""
+
+    paths: list[str]
+    root: str
+    bitmap: np.ndarray
+    shortest: int
+
+    def load(self) -> Iterator[Phrases]:
+        store, _ = pfs.FileSystem.from_uri(self.root)
+        for path in self.paths:
+            with store.open_input_stream(path) as source:
+                yield pickle.loads(source.read())  # written by this operator
+
+
+def _stored(items: DataFrame, parts: int, window: int) -> _Parts:
+    """Makes the parts' windows in tasks and keeps them as files; the driver sees their names only."""
+    spark = items.sparkSession
+    root = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pfs.FileSystem.from_uri(root)
+        for table in sorted_runs(batches, ["part"]):
+            for a, b in itertools.pairwise(group_starts(table, ["part"])):
+                rows = table.slice(a, b - a)
+                test = phrases([(i, t.encode() if t is not None else None) for i, t in zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True)], window)
+                path = f"{base}/{uuid.uuid4().hex}"
+                store.create_dir(base, recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(pickle.dumps(test))
+                words = np.array([_hash(w) for w in test.vocabulary], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([path] + [None] * len(words)), pa.array([test.shortest] + [None] * len(words), pa.int64()), pa.array([None, *words.tolist()], pa.int64())], names=["path", "shortest", "word"])
+
+    made = materialize(items.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(make), "path string, shortest long, word long"), "windows-list")
+    named = made.where("path is not null").select("path", "shortest").collect()
+    bitmap = key_bitmap(made.where("word is not null"), "word")
+    discard(made)
+    return _Parts([r["path"] for r in named], root, bitmap, min((r["shortest"] for r in named if r["shortest"]), default=0))
+
+
+def _scan(test: Phrases | _Parts, kept: list[str], work: str, cut: str | None = None):
+    """Finds the windows of the benchmark in one pass over the texts.
 
     The column ``cut``, where given, becomes the text without the words inside windows.
     """
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
-    def emit(rows: list[pa.RecordBatch], docs: list[np.ndarray]) -> pa.RecordBatch:
+    def emit(rows: list[pa.RecordBatch], docs: list[np.ndarray], numbers: dict[bytes, int]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        found = _hits(docs, test)
-        if earlier:
-            before = zip(table["folio_spans"].to_pylist(), table["folio_items"].to_pylist(), strict=True)
-            found = [(_merge([*s, *((x["first"], x["last"] + 1) for x in spans)]), _sorted({*i, *names})) for (s, i), (spans, names) in zip(found, before, strict=True)]
+        found = _hits(docs, iter([test]), len(test.vocabulary), test.shortest) if isinstance(test, Phrases) else _hits(docs, test.load(), numbers.size, test.shortest, numbers)
         columns = [table[c].combine_chunks() for c in kept]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         if cut is not None and any(s for s, _ in found):
@@ -254,20 +332,22 @@ def _scan(test: Phrases, kept: list[str], work: str, earlier: bool = False, cut:
         return pa.RecordBatch.from_arrays([*columns, pa.array([len(d) for d in docs], pa.int64()), spans, names], names=[*kept, "folio_words", "folio_spans", "folio_items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, rows, docs, size = _Known(test.vocabulary).__getitem__, [], [], 0
+        fresh_numbers = lambda: _Known(test.vocabulary) if isinstance(test, Phrases) else _Numbered(test.bitmap)
+        numbers, rows, docs, size = fresh_numbers(), [], [], 0
         for batch in batches:
             first = 0
             for k, text in enumerate(binary_column(batch, work)):
                 words = words_of(text)
-                docs.append(np.fromiter(map(get, words), dtype=np.int64, count=len(words)))
+                docs.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
                 size += len(words)
                 if size >= SHARD_SYMBOLS:
-                    yield emit([*rows, batch.slice(first, k + 1 - first)], docs)
+                    yield emit([*rows, batch.slice(first, k + 1 - first)], docs, numbers)
                     rows, docs, size, first = [], [], 0, k + 1
+                    numbers = numbers if isinstance(test, Phrases) else fresh_numbers()
             if first < batch.num_rows:
                 rows.append(batch.slice(first))
         if docs:
-            yield emit(rows, docs)
+            yield emit(rows, docs, numbers)
 
     return run
 
@@ -280,9 +360,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     are one null at the end.  With ``cut`` the text column, which has to be kept,
     loses the words of its spans in the same pass (as ``remove_spans`` does in another).
 
-    Every task holds the windows of the benchmark, so its text is counted first:
-    beyond ``PART_BYTES`` it is dealt into parts of about that size, which are
-    searched one after the other and whose spans are merged.
+    Every task holds the windows of the benchmark, so its text is counted first.
+    Beyond ``PART_BYTES`` it is dealt into parts of about that size, whose windows
+    are made in tasks and kept in the shared folder: a task still reads its texts
+    and builds its index once, numbers the words of its shard itself, and loads the
+    parts in turn.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ADDED]
     work = fresh("folio_text", kept)
@@ -291,18 +373,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     bytes_ = benchmark.agg(F.sum(F.octet_length(item_text_col).cast("long"))).first()[0] or 0
     parts = max(1, -(-bytes_ // PART_BYTES))
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"), F.pmod(F.xxhash64(item_col, item_text_col), F.lit(parts)).alias("part"))
-    done = None
-    for part in range(parts):
-        rows = items.where(F.col("part") == part).collect()
-        test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in rows], window)
-        carried = [*kept, work] if part < parts - 1 else kept
-        schema = T.StructType([*source.select(*carried).schema.fields, *added.fields])
-        found = (source if done is None else done).mapInArrow(lean(_scan(test, carried, work, done is not None, text_col if cut and part == parts - 1 else None)), schema)
-        if part < parts - 1:
-            found, old = materialize(found, "searched"), done
-            discard(old)
-        done = found
-    return done
+    if parts == 1:
+        test = phrases([(r["i"], r["t"].encode() if r["t"] is not None else None) for r in items.collect()], window)
+    else:
+        test = _stored(items, parts, window)
+    schema = T.StructType([*source.select(*kept).schema.fields, *added.fields])
+    return source.mapInArrow(lean(_scan(test, kept, work, text_col if cut else None)), schema)
 
 
 def remove_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("foliospark.llm")
 import public_tokenizers  # noqa: E402
 
-from foliospark.llm import fill_middle, late_overwrite, queries, secret_scan  # noqa: E402
+from foliospark.llm import decontaminate, fill_middle, late_overwrite, queries, secret_scan  # noqa: E402
 
 AWKWARD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, " one two\x0b three \r\n"), (6, "é漢字 😀 " * 9), (None, "no id  here"), (7, "x" * 70_000), (8, "w   " * 20_000),
@@ -249,3 +249,17 @@ def test_late_empty_and_refused(spark, tmp_path):
     assert final.where("rewritten").count() == final.count() == 6
     with pytest.raises(ValueError, match="folio_"):
         late_overwrite.write_layout(empty.withColumn("folio_x", F.lit(1)), layout)
+
+
+def test_a_large_benchmark_in_one_pass(spark, monkeypatch):
+    """Documents searched for the texts of other documents: many parts, some windows in several, one pass over the texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    items = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.substring("text", 200, 900)).alias("text"))
+    items = items.unionByName(items.limit(3).withColumn("item_id", F.lit(None).cast("long")))
+    whole = decontaminate.find_contamination(docs, items, 10, ["doc_id"]).collect()
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 20_000)
+    monkeypatch.setattr(decontaminate, "SHARD_SYMBOLS", 5_000)
+    found = decontaminate.find_contamination(docs, items, 10, ["doc_id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(found.collect(), key=lambda r: r.doc_id) == sorted(whole, key=lambda r: r.doc_id)
+    assert sum(bool(r.folio_spans) for r in whole) > 20
