@@ -136,8 +136,9 @@ def extractability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat('s', l_orderkey % 40) AS source, 'page' AS kind, count(*) AS observed, count(*) FILTER (l_linenumber % 4 = 0) AS blank FROM lineitem GROUP BY 1")
 def unit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and blank pages of each source."""
-    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_orderkey") % 40).alias("source"), F.when(F.col("l_linenumber") % 4 == 0, " ").otherwise("text").alias("text"))
-    return rows.groupBy("source").agg(F.lit("page").alias("kind"), F.count("*").alias("observed"), F.count_if(~F.col("text").rlike(r"\S")).alias("blank"))
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.concat(F.lit("s"), F.col("l_orderkey") % 40).alias("source"), F.col("l_linenumber").alias("unit_no"), F.when(F.col("l_linenumber") % 4 == 0, " ").otherwise("text").alias("text"))
+    return office.unit_totals(rows, "page")
 
 
 _MANIFESTS = f"""SELECT concat(n_name, '/', CASE WHEN n_nationkey % 5 = 0 THEN '99_内容覆盖审查.md' ELSE 'source_manifest.md' END) AS path, concat('---', {_NL}, 'note_type: ', CASE n_nationkey % 4 WHEN 0 THEN 'audit_record' WHEN 1 THEN 'course_note' ELSE 'source_manifest' END, {_NL}, '---', {_NL},
@@ -279,9 +280,9 @@ def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes that report on a vault by name or type; formal audits beside a typed manifest pass."""
     rows = _view(spark, sf_dir, "documents", _REPORTS)
     plain = rows.select(F.concat_ws("/", F.substring_index("path", "/", 1), F.substring_index("path", "/", -1)).alias("path"), "text", "doc_id")
-    found = policies.report_notes(plain.withColumn("path", F.when(F.col("doc_id") % 8 == 5, F.col("path")).otherwise(F.col("path"))), allow_formal=True)
+    found = policies.report_notes(plain, allow_formal=True)
     # Several documents have one path; each is a note of its own in the oracle.
-    return plain.select("doc_id", "path").join(found.select("path", "message").distinct(), "path").where("(doc_id % 8 in (0, 1, 2, 3, 4, 6))").select("doc_id", "path", "message")
+    return plain.select("doc_id", "path").join(found.select("path", "message").distinct(), "path").select("doc_id", "path", "message")
 
 
 @query(f"WITH n AS ({_REPORTS}) SELECT doc_id, length(trim(text)) <= 260 AS bridge FROM n WHERE doc_id % 8 = 7")

@@ -237,6 +237,12 @@ def extractability(units: DataFrame) -> DataFrame:
     return grouped.select("source", "observed_units", "blank_units", (filled > 0).alias("has_text"), low.alias("low_coverage"), "problem")
 
 
+def unit_totals(units: DataFrame, kind: str) -> DataFrame:
+    """``source``, ``kind``, ``observed`` units (numbered from 1) and how many of them are ``blank`` (white space of any kind, or null)."""
+    blank = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    return units.where("unit_no > 0").groupBy("source").agg(F.lit(kind).alias("kind"), F.count("*").alias("observed"), F.count_if(blank).alias("blank"))
+
+
 def gaps(found: DataFrame) -> DataFrame:
     """Sources whose text has gaps, with what to do."""
     action = F.when(F.col("problem").isNotNull() & (F.col("observed_units") == 0), "repair or convert the file").when(~F.col("has_text"), "run OCR").when(F.size("blank_units") > 0, "look at the blank units").when(F.col("low_coverage"), "check the text against the file")
