@@ -27,7 +27,7 @@ CHAPTER = r"^(?!00_|99_)\d{2}_.+\.md$"
 AUDIT, MANIFEST = "(?i)覆盖审查|coverage", "(?i)source[_-]?manifest|源材料|source.*manifest"
 LEAST_CHAPTER, LEAST_DETAILED, LEAST_EXAM = 80, 250, 250
 COURSE_RESIDUE = "相关知识链接|TODO|FIXME|TBD|待补|待完善"
-ALONE_MATH = r"^(?:\s|>|[-+*]\s|\d{1,9}[.)]\s)*\$\$\s*$"
+ALONE_MATH = r"^[\s>]*(?:(?:[-+*]|\d{1,9}[.)])[\s>]+){0,20}\$\$\s*$"
 LINE_END = "\r\n|\r|\n"
 GENERIC_RESIDUE = r"例题模板|高频答题模板|答题模板|空话|套话|占位|\.\.\."
 # Notes of web collections.
@@ -140,11 +140,11 @@ def content_issues(notes: DataFrame, strict: bool = False) -> DataFrame:
     edges = F.contains("text", F.lit("<<<<<<<")) & F.contains("text", F.lit(">>>>>>>"))
     zipped = F.arrays_zip(F.split("m.masked", LINE_END).alias("line"), F.split("text", LINE_END).alias("raw"), F.split(masked_comments(F.col("m.masked")), LINE_END).alias("seen"))
     rows = both.select("path", F.col("m.left_open").alias("open"), edges.alias("edges"), F.posexplode(zipped).alias("i", "p")).select("path", "open", "edges", (F.col("i") + 1).alias("line_no"), "p.*")
-    line, bare = F.col("line"), F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    line, bare = F.col("line"), F.regexp_replace("raw", r"(?U)^\s+|(?<!\s)\s+$", "")
     cells = F.regexp_count(F.regexp_replace("line", r"\\.", ""), F.lit(r"\|")) - 1
     is_row = line.rlike(r"^(?U:\s*)\|") & line.rlike(r"\|(?U:\s*)$")
     so_far = by_line().rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumns({"cells": F.when(is_row, cells), "island": F.sum((~is_row).cast("int")).over(so_far), "math": F.sum(F.col("seen").rlike(ALONE_MATH).cast("int")).over(Window.partitionBy("path"))})
+    marked = rows.withColumns({"cells": F.when(is_row, cells), "island": F.sum((~is_row).cast("int")).over(so_far), "math": F.sum((F.contains("seen", F.lit("$$")) & F.col("seen").rlike(ALONE_MATH)).cast("int")).over(Window.partitionBy("path"))})
     marked = marked.withColumn("expected", F.first("cells", ignorenulls=True).over(Window.partitionBy("path", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     first = F.col("line_no") == 1
     told = lambda when, rule, message, at: F.when(when, F.struct(F.lit(rule).alias("rule"), at.cast("int").alias("line_no"), message.alias("message")))

@@ -14,12 +14,15 @@ visit; codes without a known character give none; output is bounded by
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
+
 #: Bytes that one stream may unpack to, and how deep objects and forms may nest.
 MAX_BYTES, MAX_DEPTH = 256 << 20, 64
 #: Thousandths of an em that a gap inside a line needs to be a blank.
@@ -94,9 +97,12 @@ class _Reader:
         if one == b"<":
             end = self.data.find(b">", self.at)
             end = len(self.data) if end < 0 else end
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", self.data[self.at : end])
-            self.at = end + 1
-            return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+            raw, self.at = self.data[self.at + 1 : end], end + 1
+            try:
+                return bytes.fromhex(raw.decode("ascii"))
+            except ValueError:  # an odd number of digits, or something between them
+                digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+                return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
         if one == b"/":
             m = _REGULAR.match(self.data, self.at + 1)
             raw = m[0] if m else b""
@@ -185,19 +191,14 @@ def _lzw(data: bytes, early: int) -> bytes:
 
 def _ascii85(data: bytes) -> bytes:
     digits = re.sub(rb"[\0\t\n\f\r ]", b"", data).removeprefix(b"<~").split(b"~", 1)[0]
-    out, group = bytearray(), []
-    for d in digits:
-        if d == 0x7A and not group:
-            out += b"\0\0\0\0"
-            continue
-        group.append(min(max(d - 33, 0), 84))
-        if len(group) == 5:
-            out += (sum(v * 85 ** (4 - k) for k, v in enumerate(group)) & 0xFFFFFFFF).to_bytes(4, "big")
-            group = []
-    if len(group) > 1:
-        full = group + [84] * (5 - len(group))
-        out += (sum(v * 85 ** (4 - k) for k, v in enumerate(full)) & 0xFFFFFFFF).to_bytes(4, "big")[: len(group) - 1]
-    return bytes(out)
+    digits = digits.replace(b"z", b"!!!!!")  # four zero bytes
+    short = -len(digits) % 5
+    if short == 4:  # a single digit holds no byte
+        digits, short = digits[:-1], 0
+    values = np.frombuffer(digits + b"u" * short, dtype=np.uint8).astype(np.int64).reshape(-1, 5) - 33
+    whole = (np.clip(values, 0, 84) @ np.array([85**k for k in (4, 3, 2, 1, 0)])) & 0xFFFFFFFF
+    out = whole.astype(">u4").tobytes()
+    return out[: len(out) - short]
 
 
 def _run_length(data: bytes) -> bytes:
@@ -443,12 +444,19 @@ class Font:
     texts: dict[bytes, str] = field(default_factory=dict)
     ranges: list[tuple[bytes, bytes, bytes]] = field(default_factory=list)
     bytewise: dict[int, str] | None = None
+    known: dict[int, str] | None = None  # texts of codes of one length, as numbers
 
     def text(self, data: bytes) -> str:
         out, at = [], 0
         if len({n for n, _, _ in self.spaces}) == 1:  # codes of one length
             size = self.spaces[0][0]
-            out = [self.one(data[k : k + size]) for k in range(0, len(data), size)]
+            if size <= 2:
+                whole = data[: len(data) // size * size]
+                known = self.known if self.known is not None else _Codes(self, size)
+                self.known = known
+                out = ["".join(map(known.__getitem__, whole if size == 1 else struct.unpack(f">{len(whole) // 2}H", whole)))]
+            else:
+                out = [self.one(data[k : k + size]) for k in range(0, len(data), size)]
             at = len(data)
         while at < len(data):
             size = next((n for n, low, high in self.spaces if all(a <= b <= c for a, b, c in zip(low, data[at : at + n], high, strict=False)) and at + n <= len(data)), self.spaces[0][0] if self.spaces else 1)
@@ -471,6 +479,18 @@ class Font:
         return found
 
 
+class _Codes(dict):
+    """The texts of a font's codes of one length, found when they first occur."""
+
+    def __init__(self, font: Font, size: int):
+        super().__init__()
+        self.font, self.size = font, size
+
+    def __missing__(self, code: int) -> str:
+        self[code] = text = self.font.one(code.to_bytes(self.size, "big"))
+        return text
+
+
 def _character_map(data: bytes, font: Font) -> None:
     """Reads a ToUnicode map into a font."""
     reader, held = _Reader(data), []
