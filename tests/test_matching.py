@@ -31,9 +31,9 @@ def chain(n):
 
 
 GRAPHS = {
-    "sparse": [(random.Random(k).randrange(60), random.Random(k + 999).randrange(50)) for k in range(110)],
-    "dense": [(random.Random(3 * k).randrange(20), random.Random(7 * k + 1).randrange(15)) for k in range(150)],
-    "chain": chain(12),
+    "sparse": [(random.Random(k).randrange(60), random.Random(k + 999).randrange(50)) for k in range(70)],
+    "dense": [(random.Random(3 * k).randrange(20), random.Random(7 * k + 1).randrange(15)) for k in range(80)],
+    "chain": chain(5),
     "star": [(k, 0) for k in range(9)] + [(0, 1), (1, 2)],
     "twice": [(1, 1), (1, 1), (2, 1)],
 }
