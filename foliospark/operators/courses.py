@@ -142,7 +142,7 @@ def content_issues(notes: DataFrame, strict: bool = False) -> DataFrame:
     rows = both.select("path", F.col("m.left_open").alias("open"), edges.alias("edges"), F.posexplode(zipped).alias("i", "p")).select("path", "open", "edges", (F.col("i") + 1).alias("line_no"), "p.*")
     line, bare = F.col("line"), F.regexp_replace("raw", r"(?U)^\s+|(?<!\s)\s+$", "")
     cells = F.regexp_count(F.regexp_replace("line", r"\\.", ""), F.lit(r"\|")) - 1
-    is_row = line.rlike(r"^(?U:\s*)\|") & line.rlike(r"\|(?U:\s*)$")
+    is_row = F.contains("line", F.lit("|")) & line.rlike(r"^(?U:\s*)\|") & line.rlike(r"\|(?U:\s*)$")
     so_far = by_line().rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.withColumns({"cells": F.when(is_row, cells), "island": F.sum((~is_row).cast("int")).over(so_far), "math": F.sum((F.contains("seen", F.lit("$$")) & F.col("seen").rlike(ALONE_MATH)).cast("int")).over(Window.partitionBy("path"))})
     marked = marked.withColumn("expected", F.first("cells", ignorenulls=True).over(Window.partitionBy("path", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
@@ -150,7 +150,7 @@ def content_issues(notes: DataFrame, strict: bool = False) -> DataFrame:
     told = lambda when, rule, message, at: F.when(when, F.struct(F.lit(rule).alias("rule"), at.cast("int").alias("line_no"), message.alias("message")))
     here, whole = F.col("line_no"), F.lit(0)
     checks = [
-        told(bare.startswith("<<<<<<<") | bare.startswith(">>>>>>>") | (F.col("edges") & (bare == "=======")), "conflict_marker", bare, here),
+        told(F.col("raw").rlike("<<<<<<<|>>>>>>>|=======") & (bare.startswith("<<<<<<<") | bare.startswith(">>>>>>>") | (F.col("edges") & (bare == "======="))), "conflict_marker", bare, here),
         told(line.rlike(COURSE_RESIDUE), "template_residue", F.regexp_extract("line", COURSE_RESIDUE, 0), here),
         told(F.lit(strict) & line.rlike(GENERIC_RESIDUE), "generic_template_residue", F.regexp_extract("line", GENERIC_RESIDUE, 0), here),
         told(first & F.col("open"), "unbalanced_fence", F.lit("fence"), whole),
