@@ -11,7 +11,9 @@ decides the others.
 
 DataFrame operations only.  Edges are counted per pair of hosts before they are
 shuffled; every round is written to the shared folder.  Rounds go on until no rank can change by more
-than ``TOLERANCE`` pages.
+than ``TOLERANCE`` pages.  Hosts with a thousandth of all links, or of all pages, are a
+thousand at most: their ranks are broadcast, their pages get the verdict as a literal, and pages
+with a rule are not shuffled at all.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule
 and no rank, and is allowed; null pages have no links; links to the page's own
@@ -26,13 +28,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm._common import discard, materialize
+from foliospark.llm._common import discard, materialize, salted_join
 
 DAMPING = 0.85
 #: Share of a host's pages that must count as distrusted.
 THRESHOLD = 0.5
 #: Pages by which a host's trust or distrust may be off, whatever the number of pages.
 TOLERANCE = 1e-4
+#: A host is a hub from this many rows and this share of them on, so hubs are at most 1 / ``HUB_SHARE``.
+HUB_ROWS, HUB_SHARE = 1000, 1e-3
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,11 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.select("src", dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
+def hub_limit(rows: int | None) -> float:
+    """The number of rows of one host beyond which it is a hub."""
+    return max(HUB_ROWS, HUB_SHARE * (rows or 0))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, scale: dict[str, int], damping: float = DAMPING, tolerance: float = TOLERANCE, max_rounds: int = 1000) -> DataFrame:
     """Personalised PageRank of several kinds at once: ``kind``, ``host``, ``rank``.
 
@@ -94,11 +103,20 @@ def propagate(seeds: DataFrame, edges: DataFrame, scale: dict[str, int], damping
     fixed = materialize(seeds.join(ends, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("linked", F.lit(False)).alias("linked")), "nodes")
     state = materialize(fixed.withColumn("rank", F.col("seed")).withColumn("moved", F.lit(1.0)), "rank")
     flow = materialize(edges, "flow")
+    # A hub's edges meet its rank by a broadcast of the hubs' ranks; no task holds them all.
+    out = flow.groupBy("kind", "src").agg(F.count("*").alias("n"))
+    hubs = materialize(out.where(F.col("n") > hub_limit(flow.count())).select("kind", "src"), "hubs")
+    has_hubs = not hubs.isEmpty()
+    cool, hot = (flow.join(F.broadcast(hubs), ["kind", "src"], how) for how in ("left_anti", "left_semi")) if has_hubs else (flow, None)
     # Two numbers per kind: the rank held by nodes without edges, and what the last round moved.
     tally = lambda t: t.groupBy("kind").agg(F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("rank"))).alias("held"), F.sum("moved").alias("moved")).collect()
     now = tally(state)
     for _ in range(max_rounds):
-        sent = flow.join(state.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        ranks = state.select("kind", F.col("host").alias("src"), "rank")
+        met = cool.join(ranks, ["kind", "src"])
+        if has_hubs:
+            met = met.unionByName(hot.join(F.broadcast(ranks.join(F.broadcast(hubs), ["kind", "src"])), ["kind", "src"]))
+        sent = met.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         back = F.lit(0.0)
         for r in now:
             back = F.when(F.col("kind") == r["kind"], F.lit(float(r["held"] or 0.0))).otherwise(back)
@@ -110,12 +128,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, scale: dict[str, int], damping
             break
     else:
         raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
-    discard(flow)
-    return state.select("kind", "host", "rank")
+    for done in (flow, hubs, fixed):
+        discard(done)
+    out = state.select("kind", "host", "rank")
+    out._folio_path = state._folio_path  # for ``discard``
+    return out
 
 
 def judge_hosts(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING) -> DataFrame:
-    """One row per host of a page: ``host``, ``pages``, ``trust``, ``distrust``, ``blocked``.
+    """One row per host of a page, as a written table: ``host``, ``pages``, ``trust``, ``distrust``, ``blocked``.
 
     Ranks are scaled so that a host whose own seeds only came back to it has
     its share of allowed, or blocked, pages.
@@ -131,23 +152,32 @@ def judge_hosts(pages: DataFrame, rules: list[Rule], url_col: str = "url", html_
     seeds = seed("trust", "allow").union(seed("distrust", "block"))
 
     def shares(kind: str, src: str, dst: str) -> DataFrame:
-        out = links.groupBy(src).agg(F.sum("links").alias("all"))
-        return links.join(out, src).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("links") / F.col("all")).alias("share"))
+        out = links.groupBy(src).agg(F.sum("links").alias("all"), F.count("*").alias("n"))
+        return salted_join(links, out, src, F.col(dst), "n").select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("links") / F.col("all")).alias("share"))
 
     ranks = propagate(seeds, shares("trust", "src", "dst").union(shares("distrust", "dst", "src")), {"trust": totals["allow"] or 0, "distrust": totals["block"] or 0}, damping)
     wide = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("d"))
     scaled = per_host.join(wide, "host").select("host", "pages", (F.col("t") * (totals["allow"] or 0) / F.col("pages")).alias("trust"), (F.col("d") * (totals["block"] or 0) / F.col("pages")).alias("distrust"))
-    return scaled.withColumn("blocked", (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")))
+    out = materialize(scaled.withColumn("blocked", (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))), "judged")
+    for done in (ranks, links, per_host):
+        discard(done)
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], keep: list[str] | None = None, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` (all, by default) of every page with ``folio_host``, ``folio_path``, ``folio_rule`` and ``folio_verdict``."""
-    hosts = judge_hosts(pages, rules, url_col, html_col, threshold).where("blocked").select(F.col("host").alias("folio_host"), "blocked")
+    hosts = judge_hosts(pages, rules, url_col, html_col, threshold)
+    limit = hub_limit(hosts.agg(F.sum("pages")).first()[0])
+    hubs = {r["host"]: r["blocked"] for r in hosts.where(F.col("pages") > limit).select("host", "blocked").collect()}
+    bad_hubs = [h for h, blocked in hubs.items() if blocked]
     kept = list(keep if keep is not None else pages.columns)
+    host = F.col("folio_host")
     named = pages.select(*kept, host_of(F.col(url_col)).alias("folio_host"), path_of(F.col(url_col)).alias("folio_path"))
-    ruled = named.withColumn("folio_r", matching_rule(F.col("folio_host"), F.col("folio_path"), rules))
-    # Pages with a rule need no host's verdict, so they do not take part in the join.
-    open_host = F.when(F.col("folio_r").isNull() & (F.col("folio_host") != ""), F.col("folio_host"))
-    joined = ruled.withColumn("folio_open", open_host).join(hosts.withColumnRenamed("folio_host", "folio_open").withColumnRenamed("blocked", "folio_blocked"), "folio_open", "left")
+    ruled = named.withColumn("folio_r", matching_rule(host, F.col("folio_path"), rules))
+    # Pages with a rule, without a host or of a hub need no row of ``hosts``: they pass the join by.
+    settled = F.col("folio_r").isNotNull() | (host == "") | host.isin(list(hubs))
+    by_host = ruled.where(settled).withColumn("folio_blocked", host.isin(bad_hubs))
+    bad = hosts.where("blocked").select(F.col("host").alias("folio_host"), F.lit(True).alias("folio_blocked"))
+    judged = by_host.unionByName(ruled.where(~settled).join(bad, "folio_host", "left"))
     verdict = F.coalesce(F.col("folio_r.verdict"), F.when(F.col("folio_blocked"), "block").otherwise("allow"))
-    return joined.select(*kept, "folio_host", "folio_path", F.col("folio_r.name").alias("folio_rule"), verdict.alias("folio_verdict"))
+    return judged.select(*kept, "folio_host", "folio_path", F.col("folio_r.name").alias("folio_rule"), verdict.alias("folio_verdict"))

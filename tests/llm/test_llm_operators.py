@@ -381,6 +381,30 @@ def test_ranks_settle_in_pages_whatever_the_size(spark):
     assert found["c.com"]["blocked"] and found["a.com"]["blocked"]
 
 
+def test_hubs_change_no_verdict(spark, monkeypatch):
+    """Every host with two links or pages as a hub gives the ranks and verdicts of none."""
+    rng = random.Random(11)
+    hosts = [f"h{k}.com" for k in range(9)]
+    pages = []
+    for k in range(90):
+        h = rng.choice(hosts[:7])
+        near = hosts[:3] if h < "h3" else hosts
+        links = "".join(f"<a href='http://{rng.choice(near)}/p'>t</a>" for _ in range(rng.randrange(4)))
+        pages.append((k, f"http://{h}/{rng.choice('bbbc' if h < 'h3' else 'acc')}/", links))
+    pages += [pages[0], (200, None, None), (201, "no scheme", ""), (202, "http:///x", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = [link_graph.Rule("com", "/a/", "allow"), link_graph.Rule("com", "/b/", "block")]
+    ranks = lambda: {r["host"]: r for r in link_graph.judge_hosts(table, rules).collect()}
+    verdicts = lambda: sorted(map(str, link_graph.filter_urls(table, rules, ["page_id"]).collect()))
+    plain, judged = ranks(), verdicts()
+    assert len({r["blocked"] for r in plain.values()}) == 2
+    monkeypatch.setattr(link_graph, "HUB_ROWS", 1)
+    monkeypatch.setattr(link_graph, "HUB_SHARE", 0.0)
+    for host, r in ranks().items():
+        assert abs(r["trust"] - plain[host]["trust"]) < 1e-6 and abs(r["distrust"] - plain[host]["distrust"]) < 1e-6
+    assert verdicts() == judged and len(judged) == len(pages)
+
+
 # 9: packing
 
 
