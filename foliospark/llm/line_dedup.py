@@ -11,7 +11,7 @@ verified by a banded bit-parallel edit distance.  Lines form classes by
 transitive closure; the first occurrence of a class, by document id and line
 number, stays and the others go.
 
-Equal lines are one line throughout, so a line in half of all documents is one
+Equal lines, by a 63-bit hash, are one line throughout, so a line in half of all documents is one
 row.  Groups are verified in bounded blocks and return spanning forests, not pairs.
 Keys and lines that very many rows share are dealt over many tasks before any sees them.
 
