@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import contracts, courses, decks, documents, files, guides, marks, pages, policies, registers, scalars, streams, tables, vault
+from foliospark.plans import contracts, courses, decks, documents, files, gates, guides, marks, pages, policies, registers, scalars, streams, tables, vault
 from foliospark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["contracts", "courses", "decks", "documents", "files", "guides", "marks", "pages", "policies", "registers", "scalars", "streams", "tables", "vault"]
+__all__ = ["contracts", "courses", "decks", "documents", "files", "gates", "guides", "marks", "pages", "policies", "registers", "scalars", "streams", "tables", "vault"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

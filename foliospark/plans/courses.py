@@ -266,6 +266,14 @@ def course_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "line_no", "term", "sentence", "category")
 
 
+@query("SELECT path, line_no, term, sentence FROM (" + _CLAIMS + rf""") WHERE NOT regexp_matches(sentence, {_sql(f"[?？]|{claims.NEGATED}|{claims.CONDITIONAL}")}) AND CASE WHEN term IN ('首次提出', '显著提升') THEN NOT regexp_matches(sentence, {_sql(claims.EVIDENCE)})
+ WHEN term = '必然' THEN NOT regexp_matches(sentence, {_sql(claims.CERTAIN_WITH_GROUNDS)}) WHEN term = '完全' THEN NOT regexp_matches(sentence, {_sql(claims.COMPLETE_DENIED)}) AND regexp_matches(sentence, {_sql(claims.COMPLETE_BOLD)})
+ WHEN term = '解决' THEN regexp_matches(sentence, {_sql(claims.SOLVES_BOLD)}) ELSE NOT regexp_matches(sentence, {_sql(claims.ASSURED_WITH_GROUNDS)}) AND regexp_matches(sentence, {_sql(claims.ASSURED_BOLD)}) END""")
+def confident_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the course notes that a strict gate refuses."""
+    return claims.audit(claims.prose_lines(notes(spark, sf_dir))).where("high_confidence").select("path", "line_no", "term", "sentence")
+
+
 @query("SELECT category, count(*) AS n FROM (" + _CLAIMS + ") GROUP BY category")
 def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of the course notes by category."""
