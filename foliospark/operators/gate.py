@@ -23,6 +23,8 @@ from foliospark.operators.rules import issue
 # Markers of unfinished work, and the characters that a note of a kind must hold.
 RESIDUE = r"需复核|待复核|人工确认|人工打开|手动打开|打开课件确认|TODO|FIXME|TBD|待补|待完善|占位|例题模板|高频答题模板|空话|套话|\.\.\.|�|严格逐句核对补充"
 LEAST_CHARS = {"concept_index": 800, "course_note": 600, "paper_note": 2500, "paper_topic_note": 800, "research_method_note": 1500, "review_compact": 1200, "review_detailed": 5000}
+#: The same markers, tried only where one of their first characters stands.
+RESIDUE_AT = f"(?=[{''.join(sorted({x.removeprefix(chr(92))[0] for x in RESIDUE.split('|')}))}])(?:{RESIDUE})"
 SEPARATOR = r"^(?:\|---|\| --)"
 MAY_BE_CODE = r"`|~~~| {4}|\t"
 LINK_RULES = {"broken": "broken_link", "ambiguous": "ambiguous_link", "self": "self_link"}
@@ -56,7 +58,9 @@ def own_issues(notes: DataFrame) -> DataFrame:
     """
     kind = F.col("note_type") if "note_type" in notes.columns else F.lit(None).cast("string")
     rows = without_frontmatter(notes.where("path is not null").select(F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind")))
-    rows = rows.select("path", "kind", "text", _plain(F.col("text")).alias("prose"), _plain(F.when(F.col("front").isNotNull(), F.col("body"))).alias("prose_body"))
+    # Opened from an array of one, so that every rule reads the masked text and none masks it anew.
+    masked = F.struct("text", _plain(F.col("text")).alias("prose"), _plain(F.when(F.col("front").isNotNull(), F.col("body"))).alias("prose_body"))
+    rows = rows.select("path", "kind", F.inline(F.array(masked)))
     text, prose, body = F.col("text"), F.col("prose"), F.coalesce("prose_body", "prose")
     least = F.coalesce(*(F.when(F.col("kind") == name, n) for name, n in LEAST_CHARS.items()))
     compact = F.when(least.isNotNull(), compact_length(body))
@@ -71,10 +75,11 @@ def own_issues(notes: DataFrame) -> DataFrame:
     ]
     none = F.array().cast("array<struct<rule:string,line_no:int,message:string>>")
     of_note = F.filter(F.array(*(F.when(hit, _found(rule, F.lit(0), message)) for rule, hit, message in whole)), lambda x: x.isNotNull())
-    residue = _of_lines(prose, RESIDUE, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(RESIDUE), F.lit(0)), lambda m: _found("residue", x["n"], m)))
+    residue = _of_lines(prose, RESIDUE_AT, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(RESIDUE_AT), F.lit(0)), lambda m: _found("residue", x["n"], m)))
     ruled = _of_lines(text, "解析：", lambda x: F.when(x["line"].rlike(SEPARATOR), F.array(_found("table_separator", x["n"], F.lit("解析：")))).otherwise(none))
     found = F.flatten(F.array(of_note, F.coalesce(F.when(~guidance, residue), none), F.coalesce(ruled, none)))
-    return rows.select("path", F.inline(found)).select("rule", "path", "line_no", "message")
+    # The outer form, as the plain one has Spark evaluate the array once more in a filter on its size.
+    return rows.select("path", F.inline_outer(found)).where("rule is not null").select("rule", "path", "line_no", "message")
 
 
 def link_issues(resolved: DataFrame) -> DataFrame:
