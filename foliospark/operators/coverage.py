@@ -132,9 +132,9 @@ def category_by_overlap(items: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def source_references(entries: DataFrame) -> DataFrame:
-    """``ref``, ``url``: a URL as it stands, a local path as a file URL with its blanks and marks escaped."""
+    """Adds ``url`` to entries with a ``ref``: a URL as it stands, a local path as a file URL with its blanks and marks escaped."""
     local = F.concat(F.lit("file://"), F.replace(F.url_encode(F.col("ref")), F.lit("%2F"), F.lit("/")))
-    return entries.select("ref", F.when(F.col("ref").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("ref")).otherwise(F.replace(local, F.lit("+"), F.lit("%20"))).alias("url"))
+    return entries.withColumn("url", F.when(F.col("ref").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("ref")).otherwise(F.replace(local, F.lit("+"), F.lit("%20"))))
 
 
 def within_time(rows: DataFrame, scan: str, order: str, seconds: str, budget: float, most: int | None = None) -> DataFrame:

@@ -174,7 +174,7 @@ def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, half of them local paths, as URLs."""
     key = F.col("page_id")
     rows = table(spark, sf_dir, "pages").select("page_id", F.when(key % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/notes/"), key, F.lit(" a#b.md"))).alias("ref"))
-    return coverage.source_references(rows).join(rows, "ref").select("page_id", "url")
+    return coverage.source_references(rows).select("page_id", "url")
 
 
 _TYPED = "SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN '.obsidian/templates/' WHEN 1 THEN 'papers/' ELSE 'c/' END, p_partkey, CASE p_partkey % 7 WHEN 0 THEN '_exam.md' WHEN 1 THEN '_compact.md' WHEN 2 THEN '_detailed.md' WHEN 3 THEN '_overview.md' ELSE '.md' END) AS path, CASE p_partkey % 3 WHEN 0 THEN 'navigation' WHEN 1 THEN 'unknown' END AS declared FROM part"
