@@ -1,7 +1,15 @@
 """Queries and operators on small tables of a shape that the given ones lack: copies, piles, packages of several volumes."""
 
+import io
+import zipfile
+
+import duckdb
+from pyspark.sql import functions as F
+
 from foliospark import catalog
 from foliospark.operators import coverage
+from foliospark.sinks import packages
+from foliospark.sources import packages as read
 
 
 def query_over(spark, folder, name, **tables):
@@ -16,3 +24,10 @@ def test_source_references_keep_each_entry(spark, tmp_path):
     assert found == {1: "https://a.example/x", 2: "https://a.example/x", 3: "file:///n/a%20b%23c.md", 4: None}
     pages = spark.createDataFrame([(2, "https://a.example/x"), (4, "https://a.example/x")], "page_id long, url string")
     assert sorted(r["page_id"] for r in query_over(spark, tmp_path, "source_urls", pages=pages)) == [2, 4]
+
+
+def test_paper_sections_count_by_length_as_in_the_sql(spark, tmp_path):
+    rows = [(6, "A " * 300), (30, "A " * 300), (7, "x" * 50)]
+    found = query_over(spark, tmp_path, "paper_gaps", documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = duckdb.sql(catalog.oracle_sql()["paper_gaps"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, found)) == sorted(wanted)
