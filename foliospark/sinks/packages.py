@@ -1,7 +1,7 @@
 """Packages with fixed bytes: ZIP archives with a manifest, and PPTX decks.
 
 Entries are in the order of their names with one timestamp, so equal rows give
-equal files.  A package is one file and is made by one task per package.
+equal files.  A deck, and a volume of a package, is one file and is made by one task.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliospark.sources.packages import MAX_TOTAL
 
 MANIFEST = "MANIFEST.json"
+# What a volume of a package holds, about: well under what readers take (``MAX_ENTRIES``, ``MAX_TOTAL``).
+VOLUME_ENTRIES, VOLUME_BYTES = 50_000, 32 << 20
 _A, _P = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
 _R, _TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/"
 
@@ -35,12 +38,15 @@ def _zip(entries: dict[str, bytes], epoch: int) -> bytes:
 
 
 def archives(rows: DataFrame, epoch: int = 0, kind: str = "notes") -> DataFrame:
-    """``path``, ``content`` of a ZIP per ``package`` over its (name, content) rows, a manifest of sizes and digests inside.
+    """``path``, ``volume`` from 0, ``content`` of ZIPs per ``package`` over its (name, content) rows, a manifest of sizes and digests in each.
 
-    Of equal names the least content stays; a package over the size budget fails.
+    A package of more entries or bytes than a volume's has several, over which its names are dealt
+    by their hash; each is an archive of its own, made by one task, and its manifest tells which of how many it is.
+    Of equal names the least content stays; a volume over the size budget, thus one huge entry, fails.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
+        volume, volumes = int(group["volume"].iloc[0]), int(group["volumes"].iloc[0])
         entries = dict(sorted(((n, bytes(c or b"")) for n, c in zip(group["name"], group["content"], strict=True)), reverse=True))
         if sum(map(len, entries.values())) > MAX_TOTAL:
             raise ValueError("package over the size budget")
@@ -48,10 +54,16 @@ def archives(rows: DataFrame, epoch: int = 0, kind: str = "notes") -> DataFrame:
         digest = hashlib.sha256(json.dumps(files, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
         stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(epoch))
         manifest = {"schema_version": 1, "package_type": kind, "generated_at": stamp, "source_date_epoch": epoch, "file_count": len(files), "archive_entry_count": len(files) + 1, "content_digest": digest, "files": files}
+        if volumes > 1:
+            manifest |= {"volume": volume, "volumes": volumes}
         entries[MANIFEST] = (json.dumps(manifest, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()
-        return pd.DataFrame({"path": [f"{group['package'].iloc[0]}.zip"], "content": [_zip(entries, epoch)]})
+        return pd.DataFrame({"path": [f"{group['package'].iloc[0]}.zip"], "volume": [volume], "content": [_zip(entries, epoch)]})
 
-    return rows.select("package", "name", "content").where("name is not null").groupBy("package").applyInPandas(one, "path string, content binary")
+    named = rows.select("package", "name", "content").where("name is not null")
+    parts = F.greatest(F.ceil(F.count("*") / VOLUME_ENTRIES), F.ceil(F.coalesce(F.sum(F.length("content")), F.lit(0)) / VOLUME_BYTES))
+    sized = named.groupBy("package").agg(parts.cast("int").alias("volumes")).withColumnRenamed("package", "of")
+    dealt = named.join(sized, F.col("package").eqNullSafe(F.col("of"))).withColumn("volume", F.pmod(F.xxhash64("name"), F.col("volumes")).cast("int"))
+    return dealt.select("package", "volume", "volumes", "name", "content").groupBy("package", "volume").applyInPandas(one, "path string, volume int, content binary")
 
 
 def _slide(title: str, lines: list[str]) -> str:

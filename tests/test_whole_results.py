@@ -31,3 +31,22 @@ def test_paper_sections_count_by_length_as_in_the_sql(spark, tmp_path):
     found = query_over(spark, tmp_path, "paper_gaps", documents=spark.createDataFrame(rows, "doc_id long, text string"))
     wanted = duckdb.sql(catalog.oracle_sql()["paper_gaps"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_large_packages_have_volumes(spark, monkeypatch):
+    rows = spark.range(40).selectExpr("concat('p', id % 2) AS package", "concat(id, '.md') AS name", "encode(repeat('x', cast(id as int)), 'UTF-8') AS content")
+    whole = packages.archives(rows)
+    assert [(r["path"], r["volume"]) for r in whole.orderBy("path").collect()] == [("p0.zip", 0), ("p1.zip", 0)]
+    monkeypatch.setattr(packages, "VOLUME_ENTRIES", 6)
+    made = packages.archives(rows)
+    assert made.where("path = 'p0.zip'").count() > 1 and made.groupBy("path", "volume").count().where("count > 1").isEmpty()
+    found = read.members(made).where(F.col("name") != packages.MANIFEST)
+    assert sorted((r["path"], r["name"], r["size"]) for r in found.collect()) == sorted((f"p{k % 2}.zip", f"{k}.md", k) for k in range(40))
+
+
+def test_packages_beyond_the_readers_entries_are_read_whole(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(packages, "VOLUME_ENTRIES", 10)
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    made = packages.archives(docs.selectExpr("'p' AS package", "concat(doc_id, '.md') AS name", "encode(text, 'UTF-8') AS content"))
+    sizes = [len(zipfile.ZipFile(io.BytesIO(r["content"])).namelist()) for r in made.collect()]
+    assert sum(sizes) == 200 + len(sizes) and max(sizes) < 40
