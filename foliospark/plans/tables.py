@@ -61,11 +61,16 @@ def outer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS t FROM part), s AS (SELECT DISTINCT lower(p_brand) AS brand, string_split(lower(p_name), ' ')[1] AS word FROM part) SELECT p_partkey, arg_min(brand, brand) AS brand, count(DISTINCT brand) AS brands FROM w JOIN s ON list_contains(t, word) GROUP BY ALL")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands whose leading words a part's name shares."""
+    """Brands whose leading words a part's name shares; brands are gathered once for each set of words, as many parts have the same."""
     part = table(spark, sf_dir, "part")
-    words = part.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
-    leads = part.select(F.lower("p_brand").alias("brand"), F.split(F.lower("p_name"), " ")[0].alias("word")).distinct()
-    return words.join(leads, "word").groupBy("p_partkey").agg(F.min("brand").alias("brand"), F.count_distinct("brand").alias("brands"))
+    split = F.split(F.lower("p_name"), " ")
+    leads = part.select(F.lower("p_brand").alias("brand"), split[0].alias("word")).distinct()
+    # A part's words: of all its rows, if a key has several.
+    keyed = part.groupBy("p_partkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(split)))).alias("words"))
+    sets = keyed.select("words").distinct()
+    found = sets.select("words", F.explode("words").alias("word")).join(leads, "word").select("words", "brand").distinct()
+    told = found.groupBy("words").agg(F.min("brand").alias("brand"), F.count("brand").alias("brands"))
+    return keyed.join(told, "words").select("p_partkey", "brand", "brands")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 1000 < 1024 THEN (p_size * 1000)::VARCHAR || ' B' ELSE printf('%.1f KiB', p_size * 1000 / 1024.0) END AS size FROM part")

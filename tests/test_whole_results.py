@@ -50,3 +50,9 @@ def test_packages_beyond_the_readers_entries_are_read_whole(spark, monkeypatch,
     made = packages.archives(docs.selectExpr("'p' AS package", "concat(doc_id, '.md') AS name", "encode(text, 'UTF-8') AS content"))
     sizes = [len(zipfile.ZipFile(io.BytesIO(r["content"])).namelist()) for r in made.collect()]
     assert sum(sizes) == 200 + len(sizes) and max(sizes) < 40
+
+
+def test_token_overlap_of_parts_with_equal_words(spark, tmp_path):
+    rows = [(1, "Red blue", "B1"), (2, "blue red", "B2"), (3, "blue blue", None), (4, "green", "B3"), (5, None, "B4"), (6, "red x", "B1"), (6, "green", "B5")]
+    found = query_over(spark, tmp_path, "token_overlap", part=spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string"))
+    assert sorted(map(tuple, found)) == [(1, "b1", 2), (2, "b1", 2), (3, "b2", 1), (4, "b3", 2), (6, "b1", 3)]
