@@ -4,9 +4,10 @@ import io
 import zipfile
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
-from foliospark import catalog
+from foliospark import catalog, session
 from foliospark.operators import coverage
 from foliospark.sinks import packages
 from foliospark.sources import packages as read
@@ -56,3 +57,23 @@ def test_token_overlap_of_parts_with_equal_words(spark, tmp_path):
     rows = [(1, "Red blue", "B1"), (2, "blue red", "B2"), (3, "blue blue", None), (4, "green", "B3"), (5, None, "B4"), (6, "red x", "B1"), (6, "green", "B5")]
     found = query_over(spark, tmp_path, "token_overlap", part=spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string"))
     assert sorted(map(tuple, found)) == [(1, "b1", 2), (2, "b1", 2), (3, "b2", 1), (4, "b3", 2), (6, "b1", 3)]
+
+
+def test_queries_keep_arrow_batches_small(spark, tmp_path):
+    records, size = session.BATCHES
+    before = {key: spark.conf.get(key) for key in (records, size)}
+    try:
+        spark.conf.set(records, "10000")
+        spark.conf.set(size, "64m")
+        text = "word " * 2000
+        docs = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        query_over(spark, tmp_path, "masked_plain", documents=docs)
+        seen = lambda batches: (pd.DataFrame({"rows": [len(b)], "size": [int(b["text"].str.len().sum())]}) for b in batches)
+        met = docs.mapInPandas(seen, "rows int, size long").agg(F.max("rows"), F.max("size"), F.sum("rows")).first()
+        assert met[0] <= session.BATCHES[records] and met[1] <= session.BATCHES[size] + len(text) and met[2] == 1500
+        spark.conf.set(records, "7")
+        session.bounded_batches(spark)
+        assert spark.conf.get(records) == "7"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
