@@ -133,7 +133,9 @@ def heading_issues(headings: DataFrame, all_lines: DataFrame) -> DataFrame:
     named = headings.withColumn("anchor", heading_anchor(F.col("title")))
     twice = named.withColumn("n", F.count("*").over(Window.partitionBy("path", "anchor"))).where("n > 1 and level <= 2")
     # Non-blank lines are numbered once; a section is empty if its count does not move until the next heading.
-    upto = all_lines.withColumn("upto", F.sum(F.col("line").rlike(r"(?U)\S").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
+    # What a window sorts are flags; lines with their texts would be the whole input once more.
+    filled = all_lines.select("path", "line_no", F.col("line").rlike(r"(?U)\S").cast("int").alias("filled"))
+    upto = filled.withColumn("upto", F.sum("filled").over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     total = upto.groupBy("path").agg(F.max("upto").alias("all_lines"))
     placed = headings.join(upto.select("path", "line_no", "upto"), ["path", "line_no"]).join(total, "path")
     nexts = placed.withColumns({"next_level": F.lead("level").over(by_line()), "next_upto": F.lead("upto").over(by_line())})
@@ -148,7 +150,7 @@ def heading_issues(headings: DataFrame, all_lines: DataFrame) -> DataFrame:
 def table_issues(docs: DataFrame) -> DataFrame:
     """Rows whose number of cells differs from their table's header."""
     cells = F.size(F.split(F.regexp_replace(F.regexp_replace("line", r"\\\\|\\\|", ""), r"^\||\|$", ""), r"\|"))
-    rows = lines(docs).withColumn("is_row", F.col("line").startswith("|") & F.col("line").endswith("|"))
+    rows = lines(docs.where(F.col("text").rlike(r"(?m)^\|"))).withColumn("is_row", F.col("line").startswith("|") & F.col("line").endswith("|"))
     rule = F.col("line").rlike(r"^\|(\s*:?-+:?\s*\|)+$")
     rows = rows.withColumns({"cells": F.when(F.col("is_row"), cells), "rule": F.col("is_row") & rule})
     island = F.sum((~F.col("is_row")).cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, 0))

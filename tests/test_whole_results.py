@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from foliospark import catalog, session
-from foliospark.operators import coverage
+from foliospark.operators import coverage, frames
 from foliospark.sinks import packages
 from foliospark.sources import packages as read
 
@@ -77,3 +77,10 @@ def test_queries_keep_arrow_batches_small(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_headings_meet_the_window_without_other_lines(spark):
+    text = "# A\nx\n```\n# code\n```\n## B #\n\n| a |\n~~~\n### no\n~~~\n    # indented\nEnd\n---"
+    found = frames.headings(spark.createDataFrame([("a", text), ("b", "no heading")], "path string, text string"))
+    assert [tuple(r) for r in found.orderBy("line_no").collect()] == [("a", 1, 1, "A"), ("a", 6, 2, "B #")]
+    assert "lead(" not in found._jdf.queryExecution().optimizedPlan().toString()
