@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import courses, many, rules
 from foliospark.plans.registry import query, table
+from foliospark.session import dealt
 from foliospark.sinks import packages as pack
 from foliospark.sinks import pdf as pdf_sink
 from foliospark.sources import office, packages
@@ -20,7 +21,7 @@ _BLANKS = r"[ \t\n\x0B\f\r\x1c-\x1f\x85\xa0\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 @query(rf"SELECT concat(doc_id, '.pdf') AS source, greatest(1, CAST(ceil(len(string_split(coalesce(text, ''), chr(10))) / {pdf_sink.PAGE_LINES}.0) AS INT)) AS pages, sha256(trim(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g'))) AS digest FROM documents")
 def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as PDF files, packed in four ways, and read again page by page; white space counts as one blank."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     way = F.element_at(F.array(*map(F.lit, pdf_sink.WAYS)), (F.pmod(F.xxhash64("doc_id"), F.lit(len(pdf_sink.WAYS))) + 1).cast("int"))
     files = pdf_sink.pdf_files(docs.select(F.concat("doc_id", F.lit(".pdf")).alias("path"), "text", way.alias("way")))
     pages = office.pdf_pages(files).groupBy("source").agg(F.count("*").cast("int").alias("pages"), F.array_sort(F.collect_list(F.struct("unit_no", "text"))).alias("p"))

@@ -31,12 +31,15 @@ PLACEHOLDER = re.compile(r"(?:\d+|幻灯片\s*\d+|单击此处编辑.*|Click to
 CFB_MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 END_OF_CHAIN = 0xFFFFFFFA  # sector numbers from here on are marks
 UNITS = "source string, unit_no int, text string, method string, problem string"
+BATCH_ROWS, BATCH_CHARS = 500, 1 << 20  # units that leave a reader together, about
 
 
 def _rows(files: DataFrame, read: Callable[[bytes], tuple[list[str], str]]) -> DataFrame:
     """One row per unit of each file; a file without units, or with a problem, is a row with unit 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source", "unit_no", "text", "method", "problem"]
+        held, chars = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
@@ -46,7 +49,13 @@ def _rows(files: DataFrame, read: Callable[[bytes], tuple[list[str], str]]) -> D
                     rows = [(path, n, text, method, None) for n, text in enumerate(units, 1)] or [(path, 0, None, method, "no units")]
                 except Exception as error:  # foreign formats fail in many ways; the row tells how
                     rows = [(path, 0, None, None, f"{type(error).__name__}: {error}"[:240])]
-                yield pd.DataFrame(rows, columns=["source", "unit_no", "text", "method", "problem"])
+                held += rows
+                chars += sum(len(row[2] or "") for row in rows)
+                if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, chars = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, UNITS)
 
@@ -62,6 +71,7 @@ def _by_pdfplumber(content: bytes) -> list[str]:
 
 #: Readers of PDF pages in order; those whose library is missing are passed over.
 PDF_READERS: list[tuple[str, Callable[[bytes], list[str]]]] = [("pypdf", _by_pypdf), ("pdfplumber", _by_pdfplumber), ("plain", pdf.page_texts)]
+_MISSING: set[Callable[[bytes], list[str]]] = set()  # readers without their library in this process, looked for once and not for each file
 
 
 def covered(pages: list[str]) -> bool:
@@ -74,9 +84,12 @@ def _pdf(content: bytes) -> tuple[list[str], str]:
     """The first reader with enough text, else the one with most pages with text, characters and pages."""
     tried, problems = [], []
     for name, read in PDF_READERS:
+        if read in _MISSING:
+            continue
         try:
             pages = read(content)
         except ImportError:
+            _MISSING.add(read)
             continue
         except Exception as error:
             problems.append(f"{name}: {error}")

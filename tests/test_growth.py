@@ -4,7 +4,11 @@ import contextlib
 import io
 import re
 
+import pandas as pd
+
 from foliospark.operators import frames
+from foliospark.sinks import pdf as pdf_sink
+from foliospark.sources import office, pdf
 
 
 def plan_of(rows):
@@ -22,3 +26,33 @@ def test_sentences_are_cut_where_paragraphs_are_found(spark):
     pattern = "[^。！？!?；;]+[。！？!?；;]+|[^。！？!?；;]+$"
     wanted = [(k, pos, n, nth, s) for k, text in enumerate(texts) for pos, (n, p) in enumerate(frames.prose(text or "")) for nth, raw in enumerate(re.findall(pattern, p)) if len(s := raw.strip(" ")) >= frames.MIN_CHARS]
     assert len(wanted) > 4 and sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+
+
+def test_pdf_units_leave_together_and_missing_readers_are_looked_for_once(spark, monkeypatch):
+    tried = []
+
+    def missing(content):
+        tried.append(content)
+        raise ImportError
+
+    monkeypatch.setattr(office, "PDF_READERS", [("missing", missing), ("plain", pdf.page_texts)])
+    made = [pdf_sink.pdf_of(f"page of file {k} with enough words on it\n" * 50, pdf_sink.WAYS[k % 4]) for k in range(8)]
+    texts = [office._pdf(content) for content in made]
+    assert len(tried) == 1 and all(method == "plain" and len(pages) == 2 for pages, method in texts)
+
+    class Files:  # the function that the pass runs
+        select = lambda self, *names: self
+        mapInPandas = lambda self, run, schema: run  # noqa: E731, N815
+
+    run = office.pdf_pages(Files())
+    batches = list(run(iter([pd.DataFrame({"path": list("abcdefgh"), "content": made})])))
+    assert len(batches) == 1 and batches[0]["source"].tolist() == [x for x in "abcdefgh" for _ in range(2)]
+    assert batches[0]["text"].tolist() == [p for pages, _ in texts for p in pages]
+
+
+def test_fonts_of_one_map_are_shared_and_others_are_not():
+    text = {way: pdf.page_texts(pdf_sink.pdf_of("shared map, é漢😀", way)) for way in pdf_sink.WAYS}
+    before = pdf._composite.cache_info().misses
+    assert all(pdf.page_texts(pdf_sink.pdf_of("shared map, é漢😀", way)) == text[way] == ["shared map, é漢😀"] for way in pdf_sink.WAYS)
+    assert pdf._composite.cache_info().misses == before
+    assert pdf.page_texts(pdf_sink.pdf_of("another map: ж", "plain")) == ["another map: ж"]
