@@ -54,11 +54,11 @@ def deck_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "content": [_deck(int(k), list(w)) for k, w in zip(batch["key"], batch["words"], strict=True)]})
 
-    words = F.coalesce(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 7), F.array().cast("array<string>"))
+    start = F.regexp_extract("text", r"\A(?:[^A-Za-z]*+[A-Za-z]++){0,7}", 0)  # seven words are wanted, of texts of any length
+    words = F.coalesce(F.regexp_extract_all(start, F.lit("[A-Za-z]+"), F.lit(0)), F.array().cast("array<string>"))
     docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".pptx")).alias("path"), F.col("doc_id").alias("key"), words.alias("words"))
-    shapes = packages.slide_shapes(docs.mapInPandas(run, "path string, content binary"))
-    texts = packages.slide_texts(shapes).where("slide_no = 1").select("source", "text")
-    found = packages.slide_counts(shapes).join(texts, "source", "left")
+    shapes = packages.slide_shapes(dealt(docs, "key").mapInPandas(run, "path string, content binary"))
+    found = packages.slide_counts(shapes, 1)
     return found.select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "blank_slides", "media", "notes")
 
 

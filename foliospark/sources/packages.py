@@ -200,18 +200,32 @@ def _inner(frame: ElementTree.Element | None, x: int, y: int, space: tuple[float
     return space[0] * sx, space[0] * dx + space[1], space[2] * sy, space[2] * dy + space[3]
 
 
+def _shown() -> Column:
+    """A slide's texts in the order of their places, repeated ones once, of its grouped shapes."""
+    of_slide = F.col("text").isNotNull() & F.col("kind").isin("text", "table")
+    ordered = F.array_sort(F.collect_list(F.when(of_slide, F.struct("top", "left", "pos", "text"))))
+    return F.array_distinct(F.transform(ordered, lambda s: s["text"]))
+
+
 def slide_texts(shapes: DataFrame) -> DataFrame:
     """One row per slide: shapes by (top, left), repeated texts once, and the title (first line); notes and placeholders are no text of the slide."""
-    ordered = F.array_sort(F.collect_list(F.struct("top", "left", "pos", "text")))
-    texts = F.array_distinct(F.transform(ordered, lambda s: s["text"]))
-    return shapes.where("text is not null and kind in ('text', 'table')").groupBy("source", "slide_no").agg(F.array_join(texts, "\n").alias("text")).withColumn("title", F.substring_index("text", "\n", 1))
+    texts = shapes.where("text is not null and kind in ('text', 'table')").groupBy("source", "slide_no").agg(F.array_join(_shown(), "\n").alias("text"))
+    return texts.withColumn("title", F.substring_index("text", "\n", 1))
 
 
-def slide_counts(shapes: DataFrame) -> DataFrame:
-    """``source``, ``slides``, ``blank_slides`` (without text), ``media`` and ``notes`` of each file that could be read."""
+def slide_counts(shapes: DataFrame, shown: int | None = None) -> DataFrame:
+    """``source``, ``slides``, ``blank_slides`` (without text), ``media`` and ``notes`` of each file that could be read.
+
+    With ``shown``, the number of a slide, also its ``text`` as ``slide_texts`` tells it (null without one): files are
+    read once for both.
+    """
     told = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    per = shapes.where("slide_no > 0").groupBy("source", "slide_no").agg(told("text", "table").alias("t"), told("image", "chart").alias("m"), told("notes").alias("n"))
-    return per.groupBy("source").agg(F.count("*").alias("slides"), F.count_if(F.col("t") == 0).alias("blank_slides"), F.sum("m").alias("media"), F.sum("n").alias("notes"))
+    parts = [told("text", "table").alias("t"), told("image", "chart").alias("m"), told("notes").alias("n")]
+    wholes = [F.count("*").alias("slides"), F.count_if(F.col("t") == 0).alias("blank_slides"), F.sum("m").alias("media"), F.sum("n").alias("notes")]
+    if shown is not None:
+        parts.append(_shown().alias("shown"))
+        wholes.append(F.max(F.when((F.col("slide_no") == shown) & (F.size("shown") > 0), F.array_join("shown", "\n"))).alias("text"))
+    return shapes.where("slide_no > 0").groupBy("source", "slide_no").agg(*parts).groupBy("source").agg(*wholes)
 
 
 def content_digest(records: DataFrame) -> DataFrame:

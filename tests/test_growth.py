@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 
+from foliospark.catalog import queries
 from foliospark.operators import frames
 from foliospark.sinks import pdf as pdf_sink
 from foliospark.sources import office, pdf
@@ -56,3 +57,7 @@ def test_fonts_of_one_map_are_shared_and_others_are_not():
     assert all(pdf.page_texts(pdf_sink.pdf_of("shared map, é漢😀", way)) == text[way] == ["shared map, é漢😀"] for way in pdf_sink.WAYS)
     assert pdf._composite.cache_info().misses == before
     assert pdf.page_texts(pdf_sink.pdf_of("another map: ж", "plain")) == ["another map: ж"]
+
+
+def test_decks_are_made_and_read_once(spark):
+    assert plan_of(queries()["deck_layouts"](spark, "/root/testdata/sf0.001")).count("MapInPandas") == 2
