@@ -181,8 +181,9 @@ def metadata_issues(packages: DataFrame, assets: DataFrame | None = None) -> Dat
     (that exist, where ``assets`` lists ``path`` and ``asset``), policy, tools, and
     the name's token in the prompt.
     """
-    read = packages.select("path", yaml.yaml_leaves("text").alias("y"))
-    sound = read.where("y.problem is null").select("path", F.col("y.leaves").alias("leaves"), F.map_from_entries(F.transform("y.leaves", lambda p: F.struct(p["key"], p["value"]))).alias("m"))
+    # A filter on what was read would go below the function and call it again; that which is not deterministic is called once.
+    read = packages.select("path", yaml.yaml_leaves.asNondeterministic()("text").alias("y"))
+    told = read.select("path", F.col("y.problem").alias("problem"), F.col("y.leaves").alias("leaves"), F.map_from_entries(F.transform("y.leaves", lambda p: F.struct(p["key"], p["value"]))).alias("m"))
     names = F.transform("leaves", lambda p: p["key"])
     part = lambda k, n: F.regexp_extract(k, r"^([^.\[]+)(?:\[\d+\])?(?:\.([^.\[]+))?", n)
     tops = F.array_distinct(F.transform(names, lambda k: part(k, 1)))
@@ -219,12 +220,12 @@ def metadata_issues(packages: DataFrame, assets: DataFrame | None = None) -> Dat
         F.when(F.exists(number, lambda i: tool(i, "type") != "mcp"), "tool type"),
         F.when(F.exists(number, lambda i: F.trim(tool(i, "value")) == "") | (F.size(loose) > 0), "tool text"),
     )
-    streams = [
-        issue(read.where("y.problem is not null"), "metadata_unreadable", F.col("y.problem")),
-        issue(sound.select("path", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("what")), "metadata", F.col("what")),
-    ]
+    unreadable = F.array(F.struct(F.lit("metadata_unreadable").alias("rule"), F.col("problem").alias("what")))
+    unsound = F.transform(F.filter(checks, lambda x: x.isNotNull()), lambda x: F.struct(F.lit("metadata").alias("rule"), x.alias("what")))
+    found = told.select("path", F.inline(F.when(F.col("problem").isNotNull(), unreadable).otherwise(unsound)))
+    streams = [issue(found, F.col("rule"), F.col("what"))]
     if assets is not None:
-        icons = sound.select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.regexp_replace(of(k), r"^(?:\./)+", "").alias("asset")) for k in ICON_KEYS))).alias("i")).select("path", "i.*").where((F.col("asset") != "") & ~F.col("asset").rlike(outside))
+        icons = told.where("problem is null").select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), F.regexp_replace(of(k), r"^(?:\./)+", "").alias("asset")) for k in ICON_KEYS))).alias("i")).select("path", "i.*").where((F.col("asset") != "") & ~F.col("asset").rlike(outside))
         streams.append(issue(icons.join(assets.select("path", "asset").distinct(), ["path", "asset"], "left_anti"), "metadata_asset", F.col("what")))
     return all_of(*streams)
 

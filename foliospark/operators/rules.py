@@ -38,7 +38,7 @@ COVERAGE = ["checked", "generated", "source_mapped", "special_rule"]
 REQUIRED_KEYS = ["course", "note_type", "source_files", "coverage", "last_checked"]
 
 
-def issue(rows: DataFrame, rule: str, message: Column, line_no: Column | None = None) -> DataFrame:
+def issue(rows: DataFrame, rule: str | Column, message: Column, line_no: Column | None = None) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.col("path").cast("string").alias("path"), (F.lit(0) if line_no is None else line_no).cast("int").alias("line_no"), message.alias("message"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import guidance
 from foliospark.plans.registers import _SLIDES, _view
 from foliospark.plans.registry import query, table
+from foliospark.session import dealt
 from foliospark.sinks import packages as pack
 from foliospark.sources import packages
 
@@ -82,7 +83,8 @@ _META = f"""SELECT concat('pack-', c_custkey) AS path, c_custkey, CASE WHEN c_cu
 UNION ALL SELECT 'metadata', path, 'brand_color' FROM s WHERE c_custkey % 3 = 0 UNION ALL SELECT 'metadata', path, 'unknown: extra' FROM s WHERE c_custkey % 6 = 0""")
 def package_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of packages' YAML metadata."""
-    return guidance.metadata_issues(_view(spark, sf_dir, "customer", _META)).select("rule", "path", "message")
+    packs = dealt(_view(spark, sf_dir, "customer", _META).select("path", "text"), "path")
+    return guidance.metadata_issues(packs).select("rule", "path", "message")
 
 
 @query("WITH a AS (SELECT o_orderkey AS k, o_orderkey % 11 AS d FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 13 ELSE o_orderkey % 11 END AS d FROM orders WHERE o_orderkey % 4 <> 0) SELECT coalesce(a.k, b.k) AS path, CASE WHEN b.k IS NULL THEN 'copy' WHEN a.k IS NULL THEN 'remove' WHEN a.d <> b.d THEN 'replace' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.k = b.k")

@@ -61,3 +61,7 @@ def test_fonts_of_one_map_are_shared_and_others_are_not():
 
 def test_decks_are_made_and_read_once(spark):
     assert plan_of(queries()["deck_layouts"](spark, "/root/testdata/sf0.001")).count("MapInPandas") == 2
+
+
+def test_metadata_is_read_once(spark):
+    assert plan_of(queries()["package_metadata"](spark, "/root/testdata/sf0.001")).count("ArrowEvalPython") == 1
