@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.markdown import masked_plain
-from foliospark.functions.text import compact_length, has_control, lines_of
+from foliospark.functions.text import compact_length, has_control, holds, lines_of
 from foliospark.operators.frames import without_frontmatter
 from foliospark.operators.policies import code_blocks, python_syntax
 from foliospark.operators.rules import issue
@@ -24,13 +24,14 @@ from foliospark.operators.rules import issue
 RESIDUE = r"需复核|待复核|人工确认|人工打开|手动打开|打开课件确认|TODO|FIXME|TBD|待补|待完善|占位|例题模板|高频答题模板|空话|套话|\.\.\.|�|严格逐句核对补充"
 LEAST_CHARS = {"concept_index": 800, "course_note": 600, "paper_note": 2500, "paper_topic_note": 800, "research_method_note": 1500, "review_compact": 1200, "review_detailed": 5000}
 SEPARATOR = r"^(?:\|---|\| --)"
-MAY_BE_CODE = r"`|~~~| {4}|\t"
+MARKERS = RESIDUE.replace("\\", "").split("|")  # as they stand
+MAY_BE_CODE = ["`", "~~~", "    ", "\t"]
 LINK_RULES = {"broken": "broken_link", "ambiguous": "ambiguous_link", "self": "self_link"}
 
 
 def _plain(text: Column) -> Column:
     """The text with code blanked in place; texts without a mark of code do not go to Python."""
-    may = text.rlike(MAY_BE_CODE)
+    may = holds(text, MAY_BE_CODE)
     return F.when(may, masked_plain(F.when(may, text))).otherwise(text)
 
 
@@ -42,11 +43,11 @@ def _times(text: Column, mark: str) -> Column:
     return F.size(F.split(text, mark)) - 1
 
 
-def _of_lines(text: Column, wanted: str, each) -> Column:
-    """Issues that ``each`` makes of the numbered lines; texts without ``wanted`` are not split."""
+def _of_lines(text: Column, wanted: list[str], each) -> Column:
+    """Issues that ``each`` makes of the numbered lines; texts without one of ``wanted`` are not split."""
     numbered = F.transform(lines_of(text), lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
-    held = F.filter(numbered, lambda x: x["line"].rlike(wanted))
-    return F.when(text.rlike(wanted), F.flatten(F.transform(held, each)))
+    held = F.filter(numbered, lambda x: holds(x["line"], wanted))
+    return F.when(holds(text, wanted), F.flatten(F.transform(held, each)))
 
 
 def own_issues(notes: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def own_issues(notes: DataFrame) -> DataFrame:
     ]
     none = F.array().cast("array<struct<rule:string,line_no:int,message:string>>")
     of_note = F.filter(F.array(*(F.when(hit, _found(rule, F.lit(0), message)) for rule, hit, message in whole)), lambda x: x.isNotNull())
-    residue = _of_lines(prose, RESIDUE, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(RESIDUE), F.lit(0)), lambda m: _found("residue", x["n"], m)))
-    ruled = _of_lines(text, "解析：", lambda x: F.when(x["line"].rlike(SEPARATOR), F.array(_found("table_separator", x["n"], F.lit("解析：")))).otherwise(none))
+    residue = _of_lines(prose, MARKERS, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(RESIDUE), F.lit(0)), lambda m: _found("residue", x["n"], m)))
+    ruled = _of_lines(text, ["解析："], lambda x: F.when(x["line"].rlike(SEPARATOR), F.array(_found("table_separator", x["n"], F.lit("解析：")))).otherwise(none))
     found = F.flatten(F.array(of_note, F.coalesce(F.when(~guidance, residue), none), F.coalesce(ruled, none)))
     return rows.select("path", F.inline(found)).select("rule", "path", "line_no", "message")
 

@@ -5,9 +5,12 @@ import io
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from foliospark.catalog import queries
-from foliospark.operators import frames
+from foliospark.functions import markdown
+from foliospark.functions.text import holds
+from foliospark.operators import frames, gate
 from foliospark.sinks import pdf as pdf_sink
 from foliospark.sources import office, pdf
 
@@ -65,3 +68,18 @@ def test_decks_are_made_and_read_once(spark):
 
 def test_metadata_is_read_once(spark):
     assert plan_of(queries()["package_metadata"](spark, "/root/testdata/sf0.001")).count("ArrowEvalPython") == 1
+
+
+def test_literal_markers_are_found_as_their_pattern_finds_them(spark):
+    assert all(re.fullmatch(gate.RESIDUE, m) for m in gate.MARKERS) and len(gate.MARKERS) == gate.RESIDUE.count("|") + 1
+    texts = [None, "", "plain", "..", "a... b", "a.b.c", "x\ty", "   y", "    z", "~~", "~~~", *(f"before {m} after" for m in gate.MARKERS), *(m[:-1] for m in gate.MARKERS)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", holds(F.col("text"), gate.MARKERS).alias("m"), holds(F.col("text"), gate.MAY_BE_CODE).alias("c"))
+    for text, marked, code in rows.collect():
+        assert (marked, code) == ((None, None) if text is None else (bool(re.search(gate.RESIDUE, text)), bool(re.search("`|~~~| {4}|\t", text))))
+
+
+def test_masked_texts_are_not_taken_apart_by_characters():
+    for text in ("no code", "a `b\r\nc` d `e", "```\n\x0bcode\r```\nafter `x`", "\\`not` `yes` ``no`", "    four\n\ttab\nplain"):
+        blanked = "".join(c if c in "\r\n" else " " for c in text)
+        assert markdown._blank(text) == blanked and len(markdown.mask_plain(text)) == len(text)
+    assert markdown.mask_inline("a `b\r\nc` d `e") == "a   \r\n   d `e" and markdown.mask_inline("\\`not` `yes` ``no`") == "\\`not   yes       "
