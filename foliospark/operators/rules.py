@@ -5,12 +5,13 @@ Every rule returns ``rule``, ``path``, ``line_no`` (0: the whole document) and `
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import compact_length, has_control, heading_anchor, keyword_pile
+from foliospark.functions.text import compact_length, has_control, heading_anchor, holds, keyword_pile
 from foliospark.operators.frames import by_line, lines, without_frontmatter
 from foliospark.operators.many import first_patterns
 
@@ -62,8 +63,11 @@ def conflict_markers(docs: DataFrame) -> DataFrame:
 
 def residue(docs: DataFrame, pattern: str = RESIDUE, rule: str = "template_residue") -> DataFrame:
     """Lines with a left-over; documents without one are not split."""
-    rows = lines(docs.where(F.col("text").rlike(pattern)))
-    return issue(rows.where(F.col("line").rlike(pattern)), rule, F.regexp_extract("line", f"({pattern})", 1), F.col("line_no"))
+    parts = pattern.split("|")
+    literal = all(parts) and not re.search(r"[\\.^$*+?()\[\]{}]", pattern)
+    fits = lambda text: holds(F.col(text), parts) if literal else F.col(text).rlike(pattern)
+    rows = lines(docs.where(fits("text"))).where(fits("line"))
+    return issue(rows, rule, F.regexp_extract("line", f"({pattern})", 1), F.col("line_no"))
 
 
 #: Kept for callers that set it; lists are cut by ``many.PART_BYTES``.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.catalog import queries
 from foliospark.functions import markdown
 from foliospark.functions.text import holds
-from foliospark.operators import frames, gate
+from foliospark.operators import frames, gate, rules
 from foliospark.sinks import pdf as pdf_sink
 from foliospark.sources import office, pdf
 
@@ -83,3 +83,13 @@ def test_masked_texts_are_not_taken_apart_by_characters():
         blanked = "".join(c if c in "\r\n" else " " for c in text)
         assert markdown._blank(text) == blanked and len(markdown.mask_plain(text)) == len(text)
     assert markdown.mask_inline("a `b\r\nc` d `e") == "a   \r\n   d `e" and markdown.mask_inline("\\`not` `yes` ``no`") == "\\`not   yes       "
+
+
+def test_left_overs_are_found_by_containment_where_the_pattern_is_literal(spark):
+    docs = spark.createDataFrame([("a", "x\nTODO TBD\n待补充 y"), ("b", "none"), ("c", None), ("d", "FIXME")], "path string, text string")
+    wanted = [("a", 2, "TODO"), ("a", 3, "待补"), ("d", 1, "FIXME")]
+    for pattern in (rules.RESIDUE, f"(?:{rules.RESIDUE})"):
+        found = rules.residue(docs, pattern)
+        assert sorted((r["path"], r["line_no"], r["message"]) for r in found.collect()) == wanted
+        assert ("RLIKE" in plan_of(found)) == (pattern != rules.RESIDUE)
+    assert sorted(r["message"] for r in rules.residue(docs, "T.D|F[I]XME").collect()) == ["FIXME", "TBD"]
