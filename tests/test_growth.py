@@ -92,4 +92,4 @@ def test_left_overs_are_found_by_containment_where_the_pattern_is_literal(spark)
         found = rules.residue(docs, pattern)
         assert sorted((r["path"], r["line_no"], r["message"]) for r in found.collect()) == wanted
         assert ("RLIKE" in plan_of(found)) == (pattern != rules.RESIDUE)
-    assert sorted(r["message"] for r in rules.residue(docs, "T.D|F[I]XME").collect()) == ["FIXME", "TBD"]
+    assert sorted(r["message"] for r in rules.residue(docs, "T.D|F[I]XME").collect()) == ["FIXME", "TOD"]
