@@ -23,6 +23,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pfs
@@ -38,15 +39,27 @@ class Busy(RuntimeError):
     """Another writer has the root."""
 
 
-def _digest(store: pfs.FileSystem, path: str) -> str | None:
-    """SHA-256 of a file, read as a stream; None where there is none."""
+@contextmanager
+def _held(store: pfs.FileSystem, path: str) -> Iterator[str | None]:
+    """SHA-256 of a file, read as a stream; None where there is none.
+
+    The file stays open within: where it is replaced meanwhile, its store frees it
+    when it is closed, side by side with others, and not within the move, which a
+    disk does one at a time.
+    """
     if store.get_file_info(path).type != pfs.FileType.File:
-        return None
+        yield None
+        return
     sha = hashlib.sha256()
     with store.open_input_stream(path) as source:
         while block := source.read(1 << 20):
             sha.update(block)
-    return sha.hexdigest()
+        yield sha.hexdigest()
+
+
+def _digest(store: pfs.FileSystem, path: str) -> str | None:
+    with _held(store, path) as digest:
+        return digest
 
 
 def _stager(root: str, work: str):
@@ -58,8 +71,7 @@ def _stager(root: str, work: str):
         number = 0
         for batch in batches:
             out = []
-            for row in range(batch.num_rows):
-                path, content, expected, create_only, nth = (batch.column(k)[row].as_py() for k in range(5))
+            for path, content, expected, create_only, nth in zip(*(column.to_pylist() for column in batch.columns)):
                 one = {"path": path, "state": "ready", "staged": None, "seen": None, "digest": None}
                 if path is None or content is None:
                     one["state"] = "empty"
@@ -76,7 +88,8 @@ def _stager(root: str, work: str):
                     elif expected is not None and expected != (one["seen"] or hashlib.sha256(b"").hexdigest()):
                         one["state"] = "conflict"
                     else:
-                        store.create_dir(folder, recursive=True)
+                        if not number:
+                            store.create_dir(folder, recursive=True)
                         one["staged"], number = f"{folder}/{number}", number + 1
                         with store.open_output_stream(one["staged"]) as target:
                             target.write(content)
@@ -91,24 +104,27 @@ def _publisher(root: str):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pfs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                state = row["state"]
+                state, place = row["state"], f"{base}/{row['path']}"
                 if state == "ready":
-                    place, now = f"{base}/{row['path']}", _digest(store, f"{base}/{row['path']}")
-                    if now == row["digest"]:
-                        state = "written"  # by this task before it was broken off
-                    elif now != row["seen"]:
-                        state = "conflict"
-                    else:
-                        store.create_dir(place.rpartition("/")[0], recursive=True)
-                        try:
-                            store.move(row["staged"], place)
-                        except FileNotFoundError:  # another attempt of this task was quicker
-                            if _digest(store, place) != row["digest"]:
-                                raise
-                        state = "written"
+                    with _held(store, place) as now:
+                        if now == row["digest"]:
+                            state = "written"  # by this task before it was broken off
+                        elif now != row["seen"]:
+                            state = "conflict"
+                        else:
+                            if now is None and (folder := place.rpartition("/")[0]) != made:
+                                store.create_dir(folder, recursive=True)
+                                made = folder
+                            try:
+                                store.move(row["staged"], place)
+                            except FileNotFoundError:  # another attempt of this task was quicker
+                                if _digest(store, place) != row["digest"]:
+                                    raise
+                            state = "written"
                 out.append({"path": row["path"], "state": state})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("state", pa.string())]))
 

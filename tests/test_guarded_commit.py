@@ -1,7 +1,9 @@
 """Guarded scans (links, swaps, sizes, filters) and publication in two phases (races, failures, recovery)."""
 
+import contextlib
 import os
 import threading
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,52 @@ def test_failed_and_repeated_tasks(spark, tmp_path):
     assert (root / "b").read_text() == "new"
 
 
+class Watched:
+    """A local store that counts its folders' making and knows which files are open to be read."""
+
+    def __init__(self, store):
+        self.store, self.open, self.made, self.moved = store, set(), [], []
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+    def create_dir(self, path, recursive):
+        self.made.append(path)
+        self.store.create_dir(path, recursive=recursive)
+
+    @contextlib.contextmanager
+    def open_input_stream(self, path):
+        self.open.add(path)
+        with self.store.open_input_stream(path) as source:
+            yield source
+        self.open.remove(path)
+
+    def move(self, source, target):
+        self.moved.append((target, target in self.open, os.path.exists(target)))
+        self.store.move(source, target)
+
+
+def test_replaced_files_are_open_until_they_are_moved_over_and_folders_made_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    pfs, watched, states_of, root = commit.pfs, [], [], tmp_path / "out"
+
+    def from_uri(uri):
+        watched.append(Watched(pfs.LocalFileSystem()))
+        return watched[-1], uri.removeprefix("file://")
+
+    monkeypatch.setattr(commit, "pfs", types.SimpleNamespace(FileSystem=types.SimpleNamespace(from_uri=from_uri), FileType=pfs.FileType))
+    for text in (b"old", b"new"):
+        asked = [{"path": f"{'a' if k < 5 else 'b'}/{k}", "content": text, "expected": None, "create_only": False, "nth": 1} for k in range(10)]
+        staged = list(commit._stager(f"file://{root}", ".folio-w")(iter([pa.RecordBatch.from_pylist(asked[:4]), pa.RecordBatch.from_pylist(asked[4:])])))
+        states_of.append([r["state"] for b in commit._publisher(f"file://{root}")(iter(staged)) for r in b.to_pylist()])
+    assert states_of == [["written"] * 10] * 2 and files(root) == {f"{'a' if k < 5 else 'b'}/{k}": "new" for k in range(10)}
+    stager, mover, again, replacing = watched
+    assert len(stager.made) == len(again.made) == 1 and mover.made == [f"{root}/a", f"{root}/b"] and replacing.made == []
+    assert [(held, there) for _, held, there in mover.moved] == [(False, False)] * 10
+    assert [(held, there) for _, held, there in replacing.moved] == [(True, True)] * 10 and not replacing.open
+
+
 def test_driver_that_dies(spark, tmp_path, monkeypatch):
     root = tmp_path / "out"
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, text string")
