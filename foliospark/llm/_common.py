@@ -229,14 +229,34 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch of edges: the same components with fewer edges."""
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+#: Edges of which a task keeps a spanning forest at a time, and edges that one task joins alone: fixed bounds on its memory, whatever the input.
+FOREST_EDGES, LOCAL_EDGES = 200_000, 1_000_000
+
+
+def _forest(most: int):
+    """Stars that span each run of about ``most`` edges of a task: every node but the smallest of its component, with that one."""
+
+    def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate([h.column(c).to_numpy(zero_copy_only=False) for h in held]) for c in ("u", "v"))
         names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
         label = local_components(len(names), flat[: len(a)], flat[len(a) :])
-        keep = label != np.arange(len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[label[keep]])], names=["u", "v"])
+        keep = np.flatnonzero(label != np.arange(len(names)))
+        for at in range(0, len(keep), 50_000):
+            some = keep[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[label[some]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield from stars(held)
+                held, size = [], 0
+        if held:
+            yield from stars(held)
+
+    return run
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -244,16 +264,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the long columns ``u`` and ``v``.  Alternating large-star and
     small-star rounds, each written to the shared folder, until none changes an
-    edge; their number grows with the logarithm of the nodes.  Only nodes with an
+    edge or at most ``LOCAL_EDGES`` are left, which one task joins: every round
+    is many stages, and what the driver holds for them adds up.  The rounds'
+    number grows with the logarithm of the nodes.  Only nodes with an
     edge to another node appear.  An empty table gives an empty table; nulls
     and loops are ignored.
     """
     clean = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    now = materialize(clean.mapInArrow(lean(_forest), "u long, v long").distinct(), "edges")
+    now = materialize(clean.mapInArrow(lean(_forest(FOREST_EDGES)), "u long, v long").distinct(), "edges")
     tally = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = tally(now)
-    while before[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while before[0] > LOCAL_EDGES:
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
@@ -267,6 +289,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            joined = materialize(now.coalesce(1).mapInArrow(lean(_forest(LOCAL_EDGES + 1)), "u long, v long"), "edges")
+            discard(now)
+            now = joined
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     out._folio_path = now._folio_path  # for ``discard``

@@ -426,7 +426,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by = ["comp", "bi", "bj"]
     whole = heads.union(tails).repartition(*by).sortWithinPartitions(*by, "fragment", "cls")
     checked = materialize(whole.mapInArrow(lean(_settle(percent)), "u long, v long, links long, multi boolean"), "checked")
-    discard(found)
 
     links = checked.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"))
     settled = checked.where("not multi").select(F.col("u").alias("cls"), F.col("v").alias("root"))
@@ -435,11 +434,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not across.isEmpty():
         joined = connected_components(across)
         settled = settled.union(joined.select(F.col("node").alias("cls"), F.col("component").alias("root")))
-    rooted = classes.select("cls", "low", "m").join(settled, "cls").join(links, "cls")
+    rooted = found.select("cls", "low", "m").join(settled, "cls").join(links, "cls")  # all that was verified, without another pass over the signatures
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lowest, "root").select("cls", "component", "links")
     facts = classes.select("cls", "low", "m").join(named, "cls", "left")
     facts = materialize(facts.select("cls", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "low").alias("component")), "classes")
+    discard(found)
     discard(checked)
     discard(joined)
     out = salted_join(signed.select("id", "n", "cls"), facts, "cls", F.col("id"), "m", "left")
